@@ -14,6 +14,15 @@ from pyspark.sql import Column, functions as F
 from .columns import _c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``.
+
+    Catalyst may inline a column's expression into the place that reads it. Inside an
+    element-wise lambda that would repeat the whole expression for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _sum(pixels: Column, value=lambda x: x) -> Column:
     return F.aggregate(pixels, F.lit(0.0), lambda acc, x: acc + value(x.cast("double")))
 
@@ -43,34 +52,30 @@ def clamp01(pixels) -> Column:
 
 def image_stats(pixels) -> Column:
     """Struct of min, max, mean and population standard deviation in double."""
-    px = _c(pixels)
-    mean = _mean(px)
-    moments = F.aggregate(
-        px,
-        F.struct(F.lit(0.0).alias("s"), mean.alias("m")),
-        lambda acc, x: F.struct(
-            (acc["s"] + (x.cast("double") - acc["m"]) * (x.cast("double") - acc["m"])).alias("s"),
-            acc["m"].alias("m"),
-        ),
-        lambda acc: F.struct(acc["m"].alias("mean"), F.sqrt(acc["s"] / F.size(px)).alias("std")),
-    )
-    return F.struct(
-        F.array_min(px).cast("double").alias("min"),
-        F.array_max(px).cast("double").alias("max"),
-        moments["mean"].alias("mean"),
-        moments["std"].alias("std"),
-    )
+
+    def stats(px: Column) -> Column:
+        return let(_mean(px), lambda mean: F.struct(
+            F.array_min(px).cast("double").alias("min"),
+            F.array_max(px).cast("double").alias("max"),
+            mean.alias("mean"),
+            F.sqrt(_mean(px, lambda x: (x - mean) * (x - mean))).alias("std"),
+        ))
+
+    return let(_c(pixels), stats)
 
 
 def quantile(pixels, prob: float) -> Column:
     """Linear-interpolation quantile of one image's pixels."""
-    ordered = F.array_sort(_c(pixels))
-    pos = (F.size(ordered) - 1) * F.lit(prob)
-    low = F.floor(pos).cast("int")
-    high = F.ceil(pos).cast("int")
-    a = F.element_at(ordered, low + 1).cast("double")
-    b = F.element_at(ordered, high + 1).cast("double")
-    return a + (b - a) * (pos - low)
+
+    def read(ordered: Column) -> Column:
+        pos = (F.size(ordered) - 1) * F.lit(prob)
+        low = F.floor(pos).cast("int")
+        high = F.ceil(pos).cast("int")
+        a = F.element_at(ordered, low + 1).cast("double")
+        b = F.element_at(ordered, high + 1).cast("double")
+        return a + (b - a) * (pos - low)
+
+    return let(F.array_sort(_c(pixels)), read)
 
 
 def mse(prediction, target) -> Column:
@@ -135,18 +140,20 @@ def metric_pair_error(ph, pw, pp, th, tw, tp) -> Column:
 
 def area_half(pixels, height: int, width: int) -> Column:
     """2x2 block means of a row-major image of fixed size."""
-    px = _c(pixels)
     half_w = width // 2
 
-    def block(i: Column) -> Column:
-        top = F.floor(i / half_w).cast("int") * (2 * width) + (i % half_w) * 2
+    def blocks(px: Column) -> Column:
+        def block(i: Column) -> Column:
+            top = F.floor(i / half_w).cast("int") * (2 * width) + (i % half_w) * 2
+
+            def at(k: int) -> Column:
+                return F.get(px, top + k).cast("double")
 
-        def at(k: int) -> Column:
-            return F.get(px, top + k).cast("double")
+            return (at(0) + at(1) + at(width) + at(width + 1)) / 4.0
 
-        return (at(0) + at(1) + at(width) + at(width + 1)) / 4.0
+        return F.transform(F.sequence(F.lit(0), F.lit((height // 2) * half_w - 1)), block)
 
-    return F.transform(F.sequence(F.lit(0), F.lit((height // 2) * half_w - 1)), block)
+    return let(_c(pixels), blocks)
 
 
 def d4(pixels, height, width, transform) -> Column:
@@ -155,28 +162,31 @@ def d4(pixels, height, width, transform) -> Column:
     ``transform % 4`` counter-clockwise quarter turns, then a left-right flip when
     ``transform >= 4``. Returns a struct of height, width and pixels.
     """
-    px, h, w = _c(pixels), _c(height), _c(width)
+    h, w = _c(height), _c(width)
     t = transform if isinstance(transform, Column) else F.lit(transform)
     turns = t % 4
     odd = turns % 2 == 1
     out_h, out_w = F.when(odd, w).otherwise(h), F.when(odd, h).otherwise(w)
 
-    def source(p: Column) -> Column:
-        y = F.floor(p / out_w).cast("int")
-        x0 = (p % out_w).cast("int")
-        x = F.when(t >= 4, out_w - 1 - x0).otherwise(x0)
-        index = (
-            F.when(turns == 0, y * w + x)
-            .when(turns == 1, x * w + (w - 1 - y))
-            .when(turns == 2, (h - 1 - y) * w + (w - 1 - x))
-            .otherwise((h - 1 - x) * w + y)
-        )
-        return F.get(px, index.cast("int"))
+    def turned(px: Column) -> Column:
+        def source(p: Column) -> Column:
+            y = F.floor(p / out_w).cast("int")
+            x0 = (p % out_w).cast("int")
+            x = F.when(t >= 4, out_w - 1 - x0).otherwise(x0)
+            index = (
+                F.when(turns == 0, y * w + x)
+                .when(turns == 1, x * w + (w - 1 - y))
+                .when(turns == 2, (h - 1 - y) * w + (w - 1 - x))
+                .otherwise((h - 1 - x) * w + y)
+            )
+            return F.get(px, index.cast("int"))
+
+        return F.transform(F.sequence(F.lit(0), h * w - 1), source)
 
     return F.struct(
         out_h.cast("int").alias("height"),
         out_w.cast("int").alias("width"),
-        F.transform(F.sequence(F.lit(0), h * w - 1), source).alias("pixels"),
+        let(_c(pixels), turned).alias("pixels"),
     )
 
 

@@ -33,6 +33,9 @@ def robust_scale(df: DataFrame, cols):
     return scaled, centre, scale
 
 
+_ROWS_PER_TASK = 50_000  # narrow rows; fewer would only add task overhead per iteration
+
+
 @dataclass
 class Clustering:
     assignments: DataFrame  # key column, cluster, distance2
@@ -75,7 +78,7 @@ class _Points:
         grid = F.array(*[F.round(F.col(c) / F.lit(self.unit)).cast("bigint") for c in cols])
         self.table = df.select(
             F.col(key).cast("string").alias("_id"), F.xxhash64(key).alias("_key"), grid.alias("_x")
-        )
+        ).coalesce(max(1, -(-self.n // _ROWS_PER_TASK)))
 
     def run(self, visit, ddl: str) -> DataFrame:
         """Apply ``visit(ids, keys, integer points) -> pandas`` to every Arrow batch."""

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import ContractError
-from ..functions.columns import _c, better, is_finite
+from ..functions.columns import better, is_finite
 from ..schema import METRICS, RANKED_METRICS
 from .quantiles import BUFFER_ROWS, exact_quantiles, group_sizes
 from .selection import worst_fraction
@@ -52,12 +52,15 @@ def finite_summary(df: DataFrame, keys, metrics=METRICS) -> DataFrame:
 # --- bootstrap ------------------------------------------------------------------------
 
 
-def _mix(x: Column) -> Column:
-    """One multiply-and-shift scrambling round on 31-bit integers."""
-    x = (x * F.lit(73244475)).bitwiseAND(F.lit(_MASK))
-    x = x.bitwiseXOR(F.shiftright(x, 15))
-    x = (x * F.lit(668265261)).bitwiseAND(F.lit(_MASK))
-    return x.bitwiseXOR(F.shiftright(x, 13))
+def _mix(df: DataFrame, column: str) -> DataFrame:
+    """One multiply-and-shift scrambling round on 31-bit integers, in place.
+
+    Each step is its own projection, so no step's expression is repeated in the next.
+    """
+    for factor, shift in ((73244475, 15), (668265261, 13)):
+        df = df.withColumn(column, (F.col(column) * F.lit(factor)).bitwiseAND(F.lit(_MASK)))
+        df = df.withColumn(column, F.col(column).bitwiseXOR(F.shiftright(column, shift)))
+    return df
 
 
 # Cumulative Poisson(1) probabilities, times 2^31.
@@ -66,21 +69,26 @@ POISSON_STEPS = tuple(
 )
 
 
-def resample_weight(key: str, replicate, seed: int) -> Column:
-    """Poisson(1) weight of a row in one replicate, a function of ``(seed, key, replicate)``."""
+def resample_weights(df: DataFrame, samples: int, seed: int, key: str) -> DataFrame:
+    """Every row once per replicate ``_b`` with its Poisson(1) weight ``_w``.
+
+    The weight is a function of ``(seed, key, replicate)`` alone: two 31-bit halves of a
+    digest of the key are scrambled with the replicate number.
+    """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)).cast("binary"))
-    h1, h2 = (
-        F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint").bitwiseAND(F.lit(_MASK)) for at in (1, 9)
-    )
-    return weight_of(h1, h2, _c(replicate).cast("bigint"))
 
+    def half(at):
+        return F.conv(F.substring("_digest", at, 8), 16, 10).cast("bigint").bitwiseAND(F.lit(_MASK))
 
-def weight_of(h1: Column, h2: Column, replicate: Column) -> Column:
-    mixed = _mix(_mix(h1.bitwiseXOR((replicate * F.lit(40503)).bitwiseAND(F.lit(_MASK)))).bitwiseXOR(h2))
-    weight = F.when(mixed < POISSON_STEPS[0], 0)
-    for w, step in enumerate(POISSON_STEPS[1:], start=1):
-        weight = weight.when(mixed < step, w)
-    return weight.otherwise(len(POISSON_STEPS))
+    rows = df.withColumn("_digest", digest).withColumn("_h1", half(1)).withColumn("_h2", half(9))
+    rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).drop("_digest")
+    step = (F.col("_b").cast("bigint") * F.lit(40503)).bitwiseAND(F.lit(_MASK))
+    rows = _mix(rows.withColumn("_x", F.col("_h1").bitwiseXOR(step)), "_x")
+    rows = _mix(rows.withColumn("_x", F.col("_x").bitwiseXOR(F.col("_h2"))), "_x")
+    weight = F.when(F.col("_x") < POISSON_STEPS[0], 0)
+    for w, bound in enumerate(POISSON_STEPS[1:], start=1):
+        weight = weight.when(F.col("_x") < bound, w)
+    return rows.withColumn("_w", weight.otherwise(len(POISSON_STEPS))).drop("_h1", "_h2", "_x")
 
 
 def bootstrap_poisson(df: DataFrame, keys, metrics, samples: int, seed: int, key: str = "stem") -> DataFrame:
@@ -90,17 +98,10 @@ def bootstrap_poisson(df: DataFrame, keys, metrics, samples: int, seed: int, key
     of any size and skew take one narrow pass plus a shuffle of ``groups x samples`` rows.
     """
     keys = list(keys)
-    finite = {m: is_finite(m) for m in metrics}
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)).cast("binary"))
-    half = [
-        F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint").bitwiseAND(F.lit(_MASK)) for at in (1, 9)
-    ]
-    rows = df.select(
-        *keys, half[0].alias("_h1"), half[1].alias("_h2"),
-        *[F.when(finite[m], F.col(m).cast("double")).alias(m) for m in metrics],
-    ).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    weighted = rows.withColumn("_w", weight_of(F.col("_h1"), F.col("_h2"), F.col("_b").cast("bigint")))
-    sums = weighted.filter("_w > 0").groupBy(*keys, "_b").agg(
+    values = [F.when(is_finite(m), F.col(m).cast("double")).alias(m) for m in metrics]
+    weighted = resample_weights(df.select(*keys, key, *values), samples, seed, key)
+    # Zero weights add nothing; a filter on them would repeat the whole weight expression.
+    sums = weighted.groupBy(*keys, "_b").agg(
         *[F.sum(F.col("_w") * F.col(m)).alias(f"s_{m}") for m in metrics],
         *[F.sum(F.when(F.col(m).isNotNull(), F.col("_w"))).alias(f"w_{m}") for m in metrics],
     )

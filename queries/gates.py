@@ -135,12 +135,13 @@ def casefold_order(v):
     return keyed.orderBy("key")
 
 
-@query("path_collisions", "", """SELECT lower(split_part(url, '?', 1)) AS key, count(*) AS count, min(u) AS first, max(u) AS last
-  FROM (SELECT url, CASE WHEN page_id % 2 = 0 THEN upper(split_part(url, '?', 1)) ELSE split_part(url, '?', 1) END AS u FROM pages)
+@query("path_collisions", "", """SELECT lower(u) AS key, count(*) AS count, min(u) AS first, max(u) AS last
+  FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE p_type END || '/' || p_partkey // 3 AS u FROM part)
   GROUP BY 1 HAVING count(*) > 1""")
 def path_collisions(v):
-    plain = F.substring_index("url", "?", 1)
-    rows = v.table("pages").select(F.when(F.col("page_id") % 2 == 0, F.upper(plain)).otherwise(plain).alias("u"))
+    folder = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_type")).otherwise(F.col("p_type"))
+    number = F.floor(F.col("p_partkey") / 3).cast("string")
+    rows = v.table("part").select(F.concat(folder, F.lit("/"), number).alias("u"))
     return checks.path_collisions(rows, "u")
 
 

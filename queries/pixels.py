@@ -11,13 +11,17 @@ from imgtables.functions.restoring import Bicubic, predict
 from imgtables.schema import SEVERITIES
 
 from .registry import query, r
+from .views import computed_once
 
 
 def _nearest(v):
     """Input enlarged by pixel repetition: a simple prediction both engines can build."""
     index = nearest_upsample_index(8)
-    up = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda p: F.get("input", index(p).cast("int")))
-    return v.img.withColumn("pred", up)
+
+    def enlarge(px):
+        return F.transform(F.sequence(F.lit(0), F.lit(255)), lambda p: F.get(px, index(p).cast("int")))
+
+    return computed_once(v.img.withColumn("pred", P.let(F.col("input"), enlarge)), "pred")
 
 
 _NEAR = """, npx AS (SELECT stem, t.y, t.x, i.v AS p, t.v AS t FROM tpx t JOIN ipx i USING (stem) WHERE i.y = t.y // 2 AND i.x = t.x // 2),

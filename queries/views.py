@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from imgtables import configure
 from imgtables.functions.columns import hash_uniform, with_path_parts
 from imgtables.functions.imaging import make_image
+from imgtables.functions.pixels import let
 
 SEVERITY_NAMES = ("downsample_only", "profile_low", "profile_high")
 
@@ -26,6 +27,15 @@ def sql_u(text: str) -> str:
     return f"(('0x' || substr(md5('2026:' || {text}), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE)"
 
 
+def computed_once(df: DataFrame, *columns: str) -> DataFrame:
+    """Pin computed columns behind a generator, so later expressions read plain attributes.
+
+    Tables read from storage need no such pin; these pixels are derived by expressions.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*columns)))).select(*df.columns)
+
+
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = configure(spark), sf_dir
@@ -47,21 +57,24 @@ class Views:
             vectors, lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.5) + 2.0 * x.cast("double")))
         )
 
-        def pixel(p: Column) -> Column:
-            top = F.floor(p / 8).cast("int") * 32 + (p % 8) * 2
-            total = F.get("target", top)
-            for step in (1, 16, 17):
-                total = total + F.get("target", top + step)
-            return total / 4.0 + 0.9 * (u(F.col("img"), ":", p) - 0.5)
+        def noisy_half(target: Column) -> Column:
+            def pixel(p: Column) -> Column:
+                top = F.floor(p / 8).cast("int") * 32 + (p % 8) * 2
+                total = F.get(target, top)
+                for step in (1, 16, 17):
+                    total = total + F.get(target, top + step)
+                return total / 4.0 + 0.9 * (u(F.col("img"), ":", p) - 0.5)
+
+            return F.transform(F.sequence(F.lit(0), F.lit(63)), pixel)
 
         base = quads.select("img", F.col("v")[0]["label"].alias("source_group"), target.alias("target"))
-        return base.select(
+        return computed_once(base.select(
             F.lpad(F.col("img").cast("string"), 6, "0").alias("stem"),
             "source_group",
             F.lit(8).alias("in_h"), F.lit(8).alias("in_w"), F.lit(16).alias("tg_h"), F.lit(16).alias("tg_w"),
-            F.transform(F.sequence(F.lit(0), F.lit(63)), pixel).alias("input"),
+            let(F.col("target"), noisy_half).alias("input"),
             "target",
-        )
+        ), "input", "target")
 
     @cached_property
     def pairs(self) -> DataFrame:
