@@ -1,6 +1,6 @@
 """PySpark operators and jobs for large tables of paired images."""
 
 from .errors import ContractError
-from .session import configure, ensure_checkpoint_dir, materialize
+from .session import checkpoint_root, configure, materialize
 
-__all__ = ["ContractError", "configure", "ensure_checkpoint_dir", "materialize"]
+__all__ = ["ContractError", "checkpoint_root", "configure", "materialize"]

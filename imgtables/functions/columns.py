@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import posixpath
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..schema import LOWER_IS_BETTER
@@ -52,9 +52,13 @@ def with_path_parts(df: DataFrame, path_col: str, root: str) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.StringType())
-def _casefold(values: pd.Series) -> pd.Series:
-    return values.map(str.casefold, na_action="ignore")
+def _texts(values: pa.Array, fn) -> pa.Array:
+    return pa.array([None if v is None else fn(v) for v in values.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def _casefold(values: pa.Array) -> pa.Array:
+    return _texts(values, str.casefold)
 
 
 def casefold_key(col) -> Column:
@@ -62,17 +66,18 @@ def casefold_key(col) -> Column:
     return _casefold(_c(col))
 
 
-@F.pandas_udf(T.StringType())
-def _path_error(values: pd.Series) -> pd.Series:
-    def check(text):
-        if text.startswith("/"):
-            return "path must be relative"
-        clean = posixpath.normpath(text) if text else ""
-        if not clean or clean == ".":
-            return "path is empty"
-        return "path escapes the dataset root" if clean.split("/")[0] == ".." else None
+def _refusal(text: str) -> str | None:
+    if text.startswith("/"):
+        return "path must be relative"
+    clean = posixpath.normpath(text) if text else ""
+    if not clean or clean == ".":
+        return "path is empty"
+    return "path escapes the dataset root" if clean.split("/")[0] == ".." else None
+
 
-    return values.fillna("").map(check)
+@F.arrow_udf(T.StringType())
+def _path_error(values: pa.Array) -> pa.Array:
+    return pa.array([_refusal(v or "") for v in values.to_pylist()], pa.string())
 
 
 def path_error(col) -> Column:
@@ -87,9 +92,9 @@ def shape_text(height, width) -> Column:
     return F.concat_ws("x", _c(height).cast("string"), _c(width).cast("string"))
 
 
-@F.pandas_udf(T.StringType())
-def _number_text(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: format(float(v), ".10g"), na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _number_text(values: pa.Array) -> pa.Array:
+    return _texts(values, lambda v: format(v, ".10g"))
 
 
 def number_text(col) -> Column:

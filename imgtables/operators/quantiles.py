@@ -7,6 +7,8 @@ and groups the few values inside it, and the exact order statistic is read from
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # The sketch's rank error is at most n / ACCURACY; brackets are five times as wide.
@@ -14,6 +16,7 @@ ACCURACY = 10_000
 _MARGIN = 5.0 / ACCURACY
 BUFFER_ROWS = 1_000_000  # largest group one task may sort in memory
 SMALL_GROUPS = 100_000  # most bracket rows that may be broadcast
+WHOLE_ROWS = 100_000  # groups up to this size lie wholly inside their bracket
 
 
 def _rank_bounds(n: Column, prob: float, kind: str):
@@ -70,9 +73,13 @@ def _bracketed(rows: DataFrame, names, probs, kind: str, groups: int) -> DataFra
 
     def span(i, p):
         r0, r1, w = _rank_bounds(F.col("n"), p, kind)
+        # The margin is a share of n; only a large group's margin spans both ranks.
+        whole = F.col("n") <= WHOLE_ROWS
+        lo, hi = F.element_at("_b", 2 * i + 1), F.element_at("_b", 2 * i + 2)
         return F.struct(
             F.lit(i).alias("i"),
-            F.element_at("_b", 2 * i + 1).alias("lo"), F.element_at("_b", 2 * i + 2).alias("hi"),
+            F.when(whole, F.lit(-math.inf)).otherwise(lo).alias("lo"),
+            F.when(whole, F.lit(math.inf)).otherwise(hi).alias("hi"),
             r0.alias("r0"), r1.alias("r1"), w.cast("double").alias("w"),
         )
 

@@ -123,8 +123,8 @@ def bootstrap_numpy(df: DataFrame, keys, metrics, samples: int, seed_col: str =
     """
     keys, offset = list(keys), {m: i for i, m in enumerate(metrics)}
     fields = df.schema
-    ddl = ", ".join(f"`{k}` {fields[k].dataType.simpleString()}" for k in keys)
-    ddl += ", metric string, ci_lo double, ci_hi double"
+    types = [f"`{k}` {fields[k].dataType.simpleString()}" for k in keys]
+    ddl = ", ".join([*types, "metric string", "ci_lo double", "ci_hi double"])
 
     def resample(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key, kind="stable")

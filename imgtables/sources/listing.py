@@ -1,8 +1,8 @@
 """Distributed directory listing that keeps every name, hidden or not.
 
-Spark's own file sources silently skip names that begin with ``_`` or ``.``. Here each
-level of the directory tree is listed by tasks, one row per directory, so neither the
-file names nor the directory names ever gather on the driver.
+Spark's own file sources silently skip names that begin with ``_`` or ``.``. Here the
+directory tree is walked by tasks in rounds, one row per directory, so neither the file
+names nor the directory names ever gather on the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from ..session import materialize
 
 _LISTING = "is_dir boolean, path string, length bigint, modified timestamp"
 _TARGET_BYTES = 64 << 20
+_ENTRIES_PER_TASK = 50_000
 
 
 def open_fs(uri: str):
@@ -36,28 +37,43 @@ def uri_prefix(uri: str) -> str:
     return uri[: uri.rstrip("/").rfind(path.rstrip("/"))]
 
 
-def _list_dirs(prefix: str):
+def _walk(prefix: str, budget: int):
+    """Task body: walk subtrees until ``budget`` entries are listed, then hand back the rest.
+
+    Directories handed back are spread over the cluster in the next round, so a small tree
+    takes one job and a large one is shared out however it is shaped.
+    """
     schema = pa.schema(
         [("is_dir", pa.bool_()), ("path", pa.string()), ("length", pa.int64()),
          ("modified", pa.timestamp("us", tz="UTC"))]
     )
 
+    def batch_of(is_dir, infos):
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([is_dir] * len(infos), pa.bool_()),
+                pa.array([i.path for i in infos], pa.string()),
+                pa.array([i.size or 0 for i in infos], pa.int64()),
+                pa.array([i.mtime for i in infos], pa.timestamp("us", tz="UTC")),
+            ],
+            schema=schema,
+        )
+
     def run(batches):
+        seen = 0
         for batch in batches:
-            for directory in batch.column("path").to_pylist():
-                fs, path = open_fs(prefix + directory)
+            stack = batch.column("path").to_pylist()
+            while stack and seen < budget:
+                at = stack.pop()
+                fs, path = open_fs(prefix + at)
                 infos = fs.get_file_info(pafs.FileSelector(path))
-                for at in range(0, len(infos), 10_000):
-                    part = infos[at : at + 10_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([i.type == pafs.FileType.Directory for i in part]),
-                            pa.array([i.path for i in part]),
-                            pa.array([i.size or 0 for i in part], pa.int64()),
-                            pa.array([i.mtime for i in part], pa.timestamp("us", tz="UTC")),
-                        ],
-                        schema=schema,
-                    )
+                seen += len(infos)
+                stack.extend(i.path for i in infos if i.type == pafs.FileType.Directory)
+                files = [i for i in infos if i.type == pafs.FileType.File]
+                for start in range(0, len(files), 10_000):
+                    yield batch_of(False, files[start : start + 10_000])
+            if stack:
+                yield batch_of(True, [pafs.FileInfo(path) for path in stack])
 
     return run
 
@@ -72,10 +88,10 @@ def list_files(spark: SparkSession, root: str, suffixes=(".npy",), ignore_case=F
         raise ContractError(f"input path is not a directory: {root}")
     prefix, base = uri_prefix(root), base.rstrip("/")
 
-    level = spark.createDataFrame([(base,)], "path string")
+    level = spark.range(0, 1, 1, 1).select(F.lit(base).alias("path"))
     found = None
     while True:
-        listed = materialize(level.mapInArrow(_list_dirs(prefix), _LISTING))
+        listed = materialize(level.mapInArrow(_walk(prefix, _ENTRIES_PER_TASK), _LISTING))
         files = listed.filter(~F.col("is_dir")).drop("is_dir")
         found = files if found is None else found.unionByName(files)
         level = listed.filter("is_dir").select("path")
