@@ -11,6 +11,8 @@ import numpy as np
 SSIM_RADIUS, SSIM_SIGMA = 5, 1.5
 SSIM_C1, SSIM_C2 = 0.01**2, 0.03**2
 
+CACHE_PIXELS = 1 << 16  # pixels per scoring step: one 256x256 image
+
 
 # --- resampling ----------------------------------------------------------------
 
@@ -72,11 +74,12 @@ def gaussian_blur(x: np.ndarray, sigma: float) -> np.ndarray:
     radius = max(1, min(4, int(round(3 * sigma))))
     taps = np.exp(-(np.arange(-radius, radius + 1, dtype=np.float64) ** 2) / (2 * sigma * sigma))
     taps = (taps / taps.sum()).astype(x.dtype)
-    for axis in (-2, -1):
-        pad = [(0, 0)] * x.ndim
+    shape, x = x.shape, x.reshape(-1, *x.shape[-2:])
+    for axis in (1, 2):
+        pad = [(0, 0)] * 3
         pad[axis] = (radius, radius)
         x = correlate_valid(np.pad(x, pad, mode="reflect"), taps, axis)
-    return x
+    return x.reshape(shape)
 
 
 def d4(x: np.ndarray, transform: int) -> np.ndarray:
@@ -134,16 +137,20 @@ def synthesize(target: np.ndarray, profile: dict, seed: int) -> np.ndarray:
 
 
 def correlate_valid(x: np.ndarray, taps: np.ndarray, axis: int) -> np.ndarray:
-    """1-D correlation along one axis, interior positions only, for symmetric taps."""
+    """1-D correlation of a stack along one image axis, interior only, symmetric taps."""
     radius = len(taps) // 2
     n = x.shape[axis] - 2 * radius
-    view = np.moveaxis(x, axis, -1)
-    out = view[..., radius : radius + n] * taps[radius]
+
+    def shifted(k):
+        return x[:, k : k + n] if axis == 1 else x[:, :, k : k + n]
+
+    out = shifted(radius) * taps[radius]
+    pair = np.empty_like(out)
     for k in range(1, radius + 1):
-        pair = view[..., radius - k : radius - k + n] + view[..., radius + k : radius + k + n]
+        np.add(shifted(radius - k), shifted(radius + k), out=pair)
         pair *= taps[radius + k]
         out += pair
-    return np.moveaxis(out, -1, axis)
+    return out
 
 
 def _window() -> np.ndarray:
@@ -163,7 +170,7 @@ def ssim(p: np.ndarray, t: np.ndarray) -> np.ndarray:
     taps = _window().astype(p.dtype)
 
     def smooth(x):
-        return correlate_valid(correlate_valid(x, taps, -2), taps, -1)
+        return correlate_valid(correlate_valid(x, taps, 1), taps, 2)
 
     mp, mt = smooth(p), smooth(t)
     mpp, mtt, mpt = mp * mp, mt * mt, mp * mt
@@ -199,7 +206,16 @@ def psnr(p: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 
 def image_metrics(raw: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
-    """All locked scalar metrics of a stack of raw predictions against targets."""
+    """All locked scalar metrics of a stack of raw predictions against targets.
+
+    The stack is scored a few images at a time so that intermediate maps stay in cache.
+    """
+    step = max(1, CACHE_PIXELS // (raw.shape[1] * raw.shape[2]))
+    parts = [_metrics(raw[i : i + step], target[i : i + step]) for i in range(0, len(raw), step)]
+    return {name: np.concatenate([part[name] for part in parts]) for name in parts[0]}
+
+
+def _metrics(raw: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
     p, t = np.clip(raw, 0, 1), np.clip(target, 0, 1)
     n, size = p.shape[0], p.shape[1] * p.shape[2]
     outside = ((raw < 0) | (raw > 1)).reshape(n, -1)
@@ -221,7 +237,12 @@ def gradient_magnitude(x: np.ndarray) -> np.ndarray:
 
 
 def texture_descriptor(stack: np.ndarray) -> np.ndarray:
-    """Eleven texture statistics per image, as ``[N, 11]``."""
+    """Eleven texture statistics per image, as ``[N, 11]``; a few images at a time."""
+    step = max(1, CACHE_PIXELS // (stack.shape[1] * stack.shape[2]))
+    return np.concatenate([_descriptor(stack[i : i + step]) for i in range(0, len(stack), step)])
+
+
+def _descriptor(stack: np.ndarray) -> np.ndarray:
     x = stack.astype(np.float64)
     n, h, w = x.shape
     flat = x.reshape(n, -1)

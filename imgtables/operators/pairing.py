@@ -52,6 +52,37 @@ def pair(inputs: DataFrame, targets: DataFrame, key: str = "stem", require_full:
     return named(inputs, "input").join(named(targets, "target"), key)
 
 
+def pair_listings(inputs: DataFrame, targets: DataFrame, columns=("path", "relpath", "length"),
+                  key: str = "stem") -> DataFrame:
+    """Pair two file listings in one shuffle of names; gaps and duplicates raise.
+
+    Same result as :func:`pair` on ``columns``, but uniqueness, completeness and the join
+    itself come from a single aggregation over the union of both sides.
+    """
+    union = inputs.select(key, *columns, F.lit(True).alias("_in")).unionByName(
+        targets.select(key, *columns, F.lit(False).alias("_in"))
+    )
+    sides = (("input", F.col("_in")), ("target", ~F.col("_in")))
+    grouped = union.groupBy(key).agg(
+        *[F.count(F.when(flag, 1)).alias(f"_{side}s") for side, flag in sides],
+        *[F.max(F.when(flag, F.col(c))).alias(f"{side}_{c}") for side, flag in sides for c in columns],
+    )
+    problem = (
+        F.when(F.trim(key) == "", "empty stem")
+        .when((F.col("_inputs") > 1) | (F.col("_targets") > 1), "duplicate stem")
+        .when(F.col("_targets") == 0, "missing target for")
+        .when(F.col("_inputs") == 0, "missing input for")
+    )
+    found = grouped.select(key, problem.alias("p")).filter("p is not null").groupBy("p").agg(F.count("*").alias("n"))
+    counts_by_problem = {r["p"]: r["n"] for r in found.collect()}
+    if counts_by_problem:
+        parts = [
+            f"{p}: {display_keys(grouped.filter(problem == p), key)}" for p in sorted(counts_by_problem)
+        ]
+        raise ContractError("pairing failed; " + "; ".join(parts))
+    return grouped.drop("_inputs", "_targets")
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only after counting (at most ``limit + 1`` rows are looked at)."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

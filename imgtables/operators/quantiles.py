@@ -11,6 +11,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.pixels import let
+
 # The sketch's rank error is at most n / ACCURACY; brackets are five times as wide.
 ACCURACY = 10_000
 _MARGIN = 5.0 / ACCURACY
@@ -30,6 +32,23 @@ def _rank_bounds(n: Column, prob: float, kind: str):
     return low, F.ceil(pos).cast("bigint"), pos - low
 
 
+def sorted_quantiles(value: Column, probs, kind: str = "linear") -> Column:
+    """Aggregate: array of quantiles read from the sorted group, NULLs left out.
+
+    About twice as fast as ``percentile``, whose buffer counts distinct boxed values. For
+    groups of proven size only.
+    """
+    def read(ordered: Column) -> Column:
+        def one(prob: float) -> Column:
+            low, high, weight = _rank_bounds(F.size(ordered), prob, kind)
+            a, b = F.get(ordered, low.cast("int")), F.get(ordered, high.cast("int"))
+            return a + (b - a) * weight
+
+        return F.array(*[one(float(p)) for p in probs])
+
+    return let(F.array_sort(F.collect_list(value)), read)
+
+
 def group_sizes(rows: DataFrame, names) -> tuple[int, int]:
     """Largest group and number of groups: the two facts every strategy choice needs."""
     row = rows.groupBy(*names).agg(F.count("*").alias("n")).agg(
@@ -44,7 +63,7 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs, kind: str = "linear"
 
     NULL, NaN and infinite values must be filtered out by the caller. ``kind`` is
     ``linear`` (interpolated) or ``nearest`` (the value at the half-even rounded rank).
-    Groups proven to have at most ``buffer_rows`` rows use Spark's own aggregates.
+    Groups proven to have at most ``buffer_rows`` rows are sorted whole.
     """
     keys, probs = list(keys), [float(p) for p in probs]
     names = keys or ["_all"]
@@ -53,13 +72,7 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs, kind: str = "linear"
     )
     largest, groups = group_sizes(rows, names)
     if largest <= buffer_rows:
-        if kind == "linear":
-            q = F.percentile("_v", F.array(*[F.lit(p) for p in probs]))
-        else:
-            ordered, n = F.array_sort(F.collect_list("_v")), F.count("*")
-            q = F.array(*[
-                F.element_at(ordered, (_rank_bounds(n, p, kind)[0] + 1).cast("int")) for p in probs
-            ])
+        q = sorted_quantiles(F.col("_v"), probs, kind)
         return rows.groupBy(*names).agg(F.count("*").alias("n"), q.alias("q")).select(*keys, "n", "q")
     return _bracketed(rows, names, probs, kind, groups).select(*keys, "n", "q")
 

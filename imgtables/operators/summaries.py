@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..errors import ContractError
 from ..functions.columns import better, is_finite
 from ..schema import METRICS, RANKED_METRICS
-from .quantiles import BUFFER_ROWS, exact_quantiles, group_sizes
+from .quantiles import BUFFER_ROWS, exact_quantiles, group_sizes, sorted_quantiles
 from .selection import worst_fraction
 
 NUMPY_ROWS = 100_000  # largest group that is resampled row by row in one task
@@ -39,7 +39,8 @@ def finite_summary(df: DataFrame, keys, metrics=METRICS) -> DataFrame:
     ]
     largest, _ = group_sizes(df.select(*keys), keys)
     if largest <= BUFFER_ROWS:
-        aggs.insert(2, F.percentile(F.when(finite, F.col("value")), F.lit(0.5)).alias("median"))
+        median = sorted_quantiles(F.when(finite, F.col("value")), [0.5])
+        aggs.insert(2, F.get(median, F.lit(0)).alias("median"))
         return rows.groupBy(*names).agg(*aggs)
     moments = rows.groupBy(*names).agg(*aggs)
     medians = exact_quantiles(rows.filter(finite), names, "value", [0.5]).select(

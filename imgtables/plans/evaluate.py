@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..errors import ContractError
 from ..functions.restoring import Bicubic, score, score_files, score_grid
 from ..operators.checks import require_count, require_unique_nonempty, select_splits
-from ..operators.pairing import attach_labels, pair, require_known
+from ..operators.pairing import attach_labels, pair_listings, require_known
 from ..operators.summaries import paired_deltas, paired_summary, summarize, summarize_scopes
 from ..schema import METRIC_FIELDS, METRICS, SEVERITIES
 from ..session import materialize
@@ -40,11 +40,8 @@ def evaluate_files(spark: SparkSession, input_dir: str, target_dir: str, predict
         raise ContractError("a split filter needs a manifest")
     sides = []
     for root in (input_dir, target_dir):
-        files = list_files(spark, root).filter(~F.col("ignored"))
-        if files.isEmpty():
-            raise ContractError(f"no valid .npy inputs found under {root}")
-        sides.append(files.select("stem", "path", "length"))
-    joined = pair(*sides)
+        sides.append(list_files(spark, root).filter(~F.col("ignored")))
+    joined = pair_listings(*sides)
     if labels is not None:
         require_known(joined, labels)
     chosen = select_splits(attach_labels(joined, labels), splits)

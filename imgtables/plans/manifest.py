@@ -6,36 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..errors import ContractError
 from ..functions.columns import shape_text
-from ..functions.imaging import image_statistics
-from ..operators.checks import require_count, require_unique_nonempty
-from ..operators.pairing import require_complete
+from ..operators.checks import require_count
+from ..operators.pairing import pair_listings
 from ..session import materialize
 from ..sinks import dataset_digest, guard_different, guard_output, render_manifest, write_json, write_manifest
-from ..sources import list_files, load_npy
+from ..sources import list_files
+from ..sources.images import profile_npy
 from ..sources.listing import spread
 
 
-def profile_side(files: DataFrame, prefix: str, folder: str) -> DataFrame:
-    """Decode and profile one side; pixels stay in the task that read them."""
-    read = files.withColumn("_npy", load_npy("path"))
-    stats = read.select(
-        "stem", "relpath", "length", "_npy.*",
-        image_statistics("_npy.image").alias("_stats"),
-    )
-    return stats.select(
-        "stem",
-        F.concat(F.lit(folder), "relpath").alias(f"{prefix}_relpath"),
-        F.col("image.height").alias(f"{prefix}_h"),
-        F.col("image.width").alias(f"{prefix}_w"),
-        F.when(F.col("image").isNotNull(), F.lit("float32")).alias(f"{prefix}_dtype"),
-        F.col("src_dtype").alias(f"{prefix}_src_dtype"),
-        *[F.col(f"_stats.{s}").alias(f"{prefix}_{s}") for s in ("min", "max", "mean", "std")],
-        F.col("sha256").alias(f"sha256_{prefix}"),
-        F.col("length").alias(f"{prefix}_bytes"),
-        F.col("error").alias(f"{prefix}_error"),
-    )
-
-
 def _counts_map(df: DataFrame, column: str):
     rows = df.groupBy(column).agg(F.count("*").alias("c")).filter(F.col(column).isNotNull())
     return rows.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "c"))))).scalar()
@@ -63,23 +42,35 @@ def dataset_audit(manifest: DataFrame) -> DataFrame:
     return base
 
 
-def manifest_rows(inputs: DataFrame, targets: DataFrame, input_folder: str, target_folder: str,
-                  scale: int = 2) -> DataFrame:
-    """Joined and checked manifest rows with an ``error`` column."""
-    left = profile_side(inputs, "input", input_folder)
-    right = profile_side(targets, "target", target_folder)
-    both = left.join(right, "stem")
+def manifest_rows(pairs: DataFrame, input_folder: str, target_folder: str, scale: int = 2) -> DataFrame:
+    """Profiled and checked manifest rows with an ``error`` column, one per listed pair.
+
+    The task that holds a pair's names reads both files; only their statistics leave it.
+    """
+    read = pairs.withColumn("_input", profile_npy("input_path")).withColumn("_target", profile_npy("target_path"))
+
+    def side(name, folder):
+        p = F.col(f"_{name}")
+        return [
+            F.concat(F.lit(folder), F.col(f"{name}_relpath")).alias(f"{name}_relpath"),
+            p["height"].alias(f"{name}_h"), p["width"].alias(f"{name}_w"),
+            shape_text(p["height"], p["width"]).alias(f"{name}_shape"),
+            F.lit("float32").alias(f"{name}_dtype"), p["src_dtype"].alias(f"{name}_src_dtype"),
+            *[p[s].alias(f"{name}_{s}") for s in ("min", "max", "mean", "std")],
+            p["sha256"].alias(f"sha256_{name}"),
+            F.col(f"{name}_length").alias(f"{name}_bytes"),
+            p["error"].alias(f"{name}_error"),
+        ]
+
+    rows = read.select("stem", *side("input", input_folder), *side("target", target_folder))
     shape_error = F.when(
         (F.col("target_h") != scale * F.col("input_h")) | (F.col("target_w") != scale * F.col("input_w")),
         F.concat(
-            F.lit("target shape "), shape_text("target_h", "target_w"), F.lit(f" is not {scale}x input "),
-            shape_text("input_h", "input_w"),
+            F.lit("target shape "), F.col("target_shape"), F.lit(f" is not {scale}x input "), F.col("input_shape")
         ),
     )
-    return both.select(
+    return rows.select(
         "*",
-        shape_text("input_h", "input_w").alias("input_shape"),
-        shape_text("target_h", "target_w").alias("target_shape"),
         F.lit("").alias("source_group"),
         F.lit("").alias("texture_cluster"),
         F.lit("").alias("split"),
@@ -103,14 +94,12 @@ def build_manifest(spark: SparkSession, input_dir: str, target_dir: str, manifes
     kept = {}
     for side, files in listed.items():
         kept[side] = files.filter(~F.col("ignored"))
-        if kept[side].isEmpty():
-            raise ContractError(f"no valid .npy {side}s found")
-        require_unique_nonempty(kept[side], "stem")
-    require_complete(kept["input"], kept["target"])
-    require_count(kept["input"], expected_pairs, "pairs")
+    pairs = pair_listings(kept["input"], kept["target"])
+    require_count(pairs, expected_pairs, "pairs")
 
     folders = [d.rstrip("/").rsplit("/", 1)[-1] + "/" for d in (input_dir, target_dir)]
-    rows = materialize(manifest_rows(spread(kept["input"]), spread(kept["target"]), *folders))
+    both = spread(pairs.withColumn("length", F.col("input_length") + F.col("target_length")))
+    rows = materialize(manifest_rows(both, *folders))
     bad = rows.filter("error is not null").orderBy("stem").select("stem", "error").limit(10).collect()
     if bad:
         raise ContractError("; ".join(f"pair '{r['stem']}': {r['error']}" for r in bad))

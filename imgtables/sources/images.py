@@ -19,10 +19,7 @@ from .listing import list_files, open_fs, spread, uri_prefix
 
 def scan_npy(spark: SparkSession, root: str) -> DataFrame:
     """The real ``.npy`` files under ``root``, evenly spread over tasks."""
-    files = list_files(spark, root).filter(~F.col("ignored"))
-    if files.isEmpty():
-        raise ContractError(f"no valid .npy inputs found under {root}")
-    return spread(files)
+    return spread(list_files(spark, root).filter(~F.col("ignored")))
 
 
 def read_npy(content: bytes):
@@ -80,6 +77,34 @@ def load_npy(path) -> Column:
     return run.asNondeterministic()(_c(path))
 
 
+PROFILE_DDL = (
+    "struct<height:int,width:int,src_dtype:string,min:double,max:double,mean:double,std:double,"
+    "sha256:string,error:string>"
+)
+
+
+def profile_npy(path) -> Column:
+    """Shape, statistics and digest of the array file a path names; no pixels leave the task."""
+
+    def one(content: bytes) -> dict:
+        array, dtype, error = read_npy(content)
+        row = {"src_dtype": dtype, "sha256": hashlib.sha256(content).hexdigest(), "error": error}
+        if array is not None:
+            wide = array.astype(np.float64)
+            row.update(height=array.shape[0], width=array.shape[1], min=float(wide.min()), max=float(wide.max()),
+                       mean=float(wide.mean()), std=float(wide.std()))
+        return row
+
+    @F.arrow_udf(PROFILE_DDL)
+    def run(paths: pa.Array) -> pa.Array:
+        kinds = [("height", pa.int32()), ("width", pa.int32()), ("src_dtype", pa.string())]
+        kinds += [(n, pa.float64()) for n in ("min", "max", "mean", "std")]
+        kinds += [("sha256", pa.string()), ("error", pa.string())]
+        return pa.array([one(read_bytes(p)) for p in paths.to_pylist()], pa.struct(kinds))
+
+    return run.asNondeterministic()(_c(path))
+
+
 def decode_npy(files: DataFrame) -> DataFrame:
     """Replace nothing, add ``image, src_dtype, sha256, error`` to a file listing."""
     loaded = files.withColumn("_npy", load_npy("path"))

@@ -122,8 +122,10 @@ def count_ignored(files: DataFrame) -> int:
 
 
 def spread(files: DataFrame) -> DataFrame:
-    """Even out file rows so that one task reads about 64 MB of content."""
+    """Even out file rows so that one task reads about 64 MB; an empty listing is an error."""
     row = files.agg(F.count("*").alias("n"), F.sum("length").alias("b")).first()
+    if not row["n"]:
+        raise ContractError("no valid .npy inputs found")
     parallel = files.sparkSession.sparkContext.defaultParallelism
-    parts = max(-(-(row["b"] or 0) // _TARGET_BYTES), min(parallel, row["n"]), 1)
+    parts = max(-(-row["b"] // _TARGET_BYTES), min(parallel, row["n"]))
     return files.repartition(int(parts))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from imgtables import materialize
 from imgtables.functions import columns as C
 from imgtables.operators import selection, summaries, tensors
 from imgtables.operators.quantiles import clipped_range, exact_quantiles
@@ -43,13 +44,13 @@ _SCOPES = """, wk AS (SELECT greatest(1, ceil((SELECT count(*) FROM met) * 0.1::
 
 @query("scope_summaries", "met metl", _SCOPES + _summary_sql("scope, group_key", "sc"))
 def scope_summaries(v):
-    return summaries.summarize_scopes(v.met).drop("ci_lo", "ci_hi")
+    return summaries.summarize_scopes(materialize(v.met)).drop("ci_lo", "ci_hi")
 
 
 @query("worst_decile", "met", """SELECT stem FROM met WHERE isfinite(psnr_db) ORDER BY psnr_db, stem
   LIMIT (SELECT greatest(1, ceil(count(*) * 0.1::DOUBLE))::BIGINT FROM met)""")
 def worst_decile(v):
-    return selection.worst_fraction(v.met).select("stem")
+    return selection.worst_fraction(materialize(v.met.select("stem", "psnr_db"))).select("stem")
 
 
 @query("worst_decile_with_ties", "", """WITH m AS (SELECT stem, floor(psnr_db) AS psnr_db FROM (
