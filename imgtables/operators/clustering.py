@@ -34,6 +34,8 @@ def robust_scale(df: DataFrame, cols):
 
 
 _ROWS_PER_TASK = 50_000  # narrow rows; fewer would only add task overhead per iteration
+_ROWS_PER_CALL = 16_384  # Arrow batches are short for images; points are taken in longer runs
+_DRIVER_SUM_ROWS = 100_000  # points up to which the batches' partial sums go straight to the driver
 
 
 @dataclass
@@ -81,12 +83,21 @@ class _Points:
         ).coalesce(max(1, -(-self.n // _ROWS_PER_TASK)))
 
     def run(self, visit, ddl: str) -> DataFrame:
-        """Apply ``visit(ids, keys, integer points) -> pandas`` to every Arrow batch."""
+        """Apply ``visit(ids, keys, integer points) -> pandas`` to runs of Arrow batches."""
+
+        def call(held):
+            pdf = held[0] if len(held) == 1 else pd.concat(held)
+            return visit(pdf["_id"].to_numpy(), pdf["_key"].to_numpy(), np.stack(pdf["_x"].to_numpy()))
 
         def batches(frames):
+            held, rows = [], 0
             for pdf in frames:
-                if len(pdf):
-                    yield visit(pdf["_id"].to_numpy(), pdf["_key"].to_numpy(), np.stack(pdf["_x"].to_numpy()))
+                held, rows = [*held, pdf], rows + len(pdf)
+                if rows >= _ROWS_PER_CALL:
+                    yield call(held)
+                    held, rows = [], 0
+            if rows:
+                yield call(held)
 
         return self.table.mapInPandas(batches, ddl)
 
@@ -172,12 +183,9 @@ def kmeans(df: DataFrame, cols, k: int, seed: int = 2026, restarts: int = 8, max
             return pd.DataFrame(out, columns=["r", "c", "size", "moved", "sums"])
 
         part = points.run(visit, "r int, c int, size bigint, moved bigint, sums array<bigint>")
-        total = part.groupBy("r", "c").agg(
-            F.sum("size").alias("size"), F.sum("moved").alias("moved"),
-            F.array(*[F.sum(F.col("sums")[j]) for j in range(dims)]).alias("sums"),
-        ).collect()  # at most restarts * k rows
+        total = _add_up(part, points, dims)
         for r in live:
-            rows = {row["c"]: row for row in total if row["r"] == r}
+            rows = {c: row for (q, c), row in total.items() if q == r}
             if not any(row["moved"] for row in rows.values()):
                 active.remove(r)
                 continue
@@ -198,6 +206,25 @@ def kmeans(df: DataFrame, cols, k: int, seed: int = 2026, restarts: int = 8, max
     return Clustering(assigned, final, float(inertia[best]))
 
 
+def _add_up(part: DataFrame, points: _Points, dims: int) -> dict:
+    """Totals per ``(restart, cluster)`` of the batches' partial sums, at most ``restarts x k``.
+
+    A few batches are added on the driver as they are; many are added by Spark first.
+    """
+    if points.n > _DRIVER_SUM_ROWS:
+        part = part.groupBy("r", "c").agg(
+            F.sum("size").alias("size"), F.sum("moved").alias("moved"),
+            F.array(*[F.sum(F.col("sums")[j]) for j in range(dims)]).alias("sums"),
+        )
+    total: dict = {}
+    for row in part.collect():
+        at = total.setdefault((row["r"], row["c"]), {"size": 0, "moved": 0, "sums": np.zeros(dims, dtype=object)})
+        at["size"] += row["size"]
+        at["moved"] += row["moved"]
+        at["sums"] = at["sums"] + np.array(row["sums"], dtype=object)
+    return total
+
+
 def _updated(points: _Points, rows: dict, centres: np.ndarray, k: int, nearest) -> np.ndarray:
     """New centres from exact sums; empty clusters move to the farthest points in turn."""
     new = centres.copy()

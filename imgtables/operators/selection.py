@@ -10,9 +10,11 @@ from ..errors import ContractError
 from ..functions.columns import is_finite, rank_key
 from ..schema import LOWER_IS_BETTER
 from ..session import materialize
-from .quantiles import exact_quantiles
+from .pairing import small
+from .quantiles import SMALL_GROUPS, exact_quantiles, group_sizes
 
-_PREFIX = 4  # hex digits of the rank key that form one histogram bucket
+_BUCKET_ROWS = 2_000  # rows wanted in one histogram bucket of the rank key
+_MAX_DIGITS = 5  # at most 16^5 buckets per group
 TIE_ROWS = 1_000_000  # most tied rows that one task may order
 
 
@@ -22,23 +24,27 @@ TIE_ROWS = 1_000_000  # most tied rows that one task may order
 def _cutoffs(ranked: DataFrame, groups, quotas: DataFrame) -> DataFrame:
     """Per group, the ``quota``-th lowest ``(_key, stem)``.
 
-    A histogram of key prefixes (at most 65,536 rows per group, counted map-side) finds
-    the one bucket that holds the cutoff; only that bucket's rows are ranked.
+    A histogram of key prefixes, counted map-side, finds the one bucket that holds the
+    cutoff; only that bucket's rows are ranked. Hash keys are uniform, so the prefix length
+    follows from the group size alone.
     """
-    hist = ranked.groupBy(*groups, F.substring("_key", 1, _PREFIX).alias("_p")).agg(
-        F.count("*").alias("_c")
-    )
+    largest, found = group_sizes(ranked, groups)
+    few = F.broadcast if found <= SMALL_GROUPS else (lambda df: df)
+    digits = math.ceil(math.log(max(largest / _BUCKET_ROWS, 1), 16))
+    digits = min(max(digits, 1), _MAX_DIGITS)
+    prefix = F.substring("_key", 1, digits)
+    hist = ranked.groupBy(*groups, prefix.alias("_p")).agg(F.count("*").alias("_c"))
     upto = F.sum("_c").over(Window.partitionBy(*groups).orderBy("_p"))
     edge = (
         hist.withColumn("_upto", upto)
-        .join(F.broadcast(quotas), list(groups))
+        .join(few(quotas), list(groups))
         .filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_c") < F.col("quota")))
         .select(*groups, "_p", (F.col("quota") - (F.col("_upto") - F.col("_c"))).alias("_need"))
     )
     position = F.row_number().over(Window.partitionBy(*groups).orderBy("_key", "stem"))
     return (
-        ranked.withColumn("_p", F.substring("_key", 1, _PREFIX))
-        .join(F.broadcast(edge), [*groups, "_p"])
+        ranked.withColumn("_p", prefix)
+        .join(few(edge), [*groups, "_p"])
         .withColumn("_pos", position)
         .filter(F.col("_pos") == F.col("_need"))
         .select(*groups, F.col("_key").alias("_cut_key"), F.col("stem").alias("_cut_stem"))
@@ -78,7 +84,7 @@ def stratified_holdout(df: DataFrame, quotas: DataFrame, group: str, seed: int =
     keyed = df.withColumn("_key", rank_key(F.trim("stem"), seed, tag))
     cut = _cutoffs(keyed.select(group, "_key", "stem"), [group], quotas.select(group, "quota"))
     return (
-        keyed.join(F.broadcast(cut), group, "left")
+        keyed.join(small(cut, SMALL_GROUPS), group, "left")
         .withColumn("held_out", _at_or_below())
         .drop("_key", "_cut_key", "_cut_stem")
     )
@@ -86,7 +92,7 @@ def stratified_holdout(df: DataFrame, quotas: DataFrame, group: str, seed: int =
 
 def take_quota(ranked: DataFrame, quotas: DataFrame, group: str, rank: str = "rank") -> DataFrame:
     """Rows whose rank lies within their group's quota (quotas: one row per group)."""
-    return ranked.join(F.broadcast(quotas.select(group, "quota")), group).filter(
+    return ranked.join(small(quotas.select(group, "quota")), group).filter(
         F.col(rank) <= F.col("quota")
     ).drop("quota")
 

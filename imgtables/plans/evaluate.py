@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..errors import ContractError
 from ..functions.restoring import Bicubic, score, score_files, score_grid
 from ..operators.checks import require_count, require_unique_nonempty, select_splits
-from ..operators.pairing import attach_labels, pair_listings, require_known
+from ..operators.pairing import attach_labels, pair_listings, require_known, small
 from ..operators.summaries import paired_deltas, paired_summary, summarize, summarize_scopes
 from ..schema import METRIC_FIELDS, METRICS, SEVERITIES
 from ..session import materialize
@@ -20,7 +20,10 @@ def evaluate(pairs: DataFrame, predictor=None, labels: DataFrame | None = None,
     """Per-image metric rows of paired image columns.
 
     Labels are joined and filtered before prediction, so unselected pixels are not scored.
+    Up to a million labels are broadcast and the pixels stay where they are; beyond that,
+    store the labels with the pairs or use :func:`evaluate_files`.
     """
+    labels = None if labels is None else small(labels)
     labelled = attach_labels(pairs, labels) if labels is not None or "split" not in pairs.columns else pairs
     chosen = select_splits(labelled, splits)
     scored = chosen.select(
@@ -80,11 +83,10 @@ def severity_grid_eval(references: DataFrame, predictors: dict, severities: dict
     """``(rows, summary, paired)`` over reference images, severities and methods.
 
     ``references`` holds ``relative_path``, ``defect_group`` and ``image``; the first
-    predictor is the baseline of the paired comparison. Each image is decoded once.
+    predictor is the baseline of the paired comparison. Each image is decoded once; keys
+    and counts are checked on the narrow score rows.
     """
     severities = severities or SEVERITIES
-    require_unique_nonempty(references, "relative_path")
-    require_count(references, expected, "images")
     grid = score_grid("image", "relative_path", severities, predictors, seed, perceptual)
     rows = materialize(
         references.select("relative_path", "defect_group", grid.alias("g")).select(
@@ -92,6 +94,8 @@ def severity_grid_eval(references: DataFrame, predictors: dict, severities: dict
         )
     )
     names = list(severities), list(predictors)
+    first = rows.filter((F.col("severity") == names[0][0]) & (F.col("method") == names[1][0]))
+    require_count(require_unique_nonempty(first, "relative_path"), expected, "images")
     base = F.lit(seed)
     for i, s in enumerate(names[0]):
         for j, m in enumerate(names[1]):

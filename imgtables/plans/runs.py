@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..errors import ContractError
+from ..operators.checks import require_count
 from ..operators.tensors import compare_tensors, latency_summary, max_difference, run_summary, running_best
-from ..sources import list_files, load_npy
-from ..sources.images import read_bytes
+from ..sources import list_files
+from ..sources.images import profile_npy, read_bytes
 from ..sources.listing import spread
 
 
@@ -30,22 +33,20 @@ def compare_runs(a: DataFrame, b: DataFrame, provenance_a: dict, provenance_b: d
 def output_violations(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """``relpath, violation`` for restored images that break the output contract.
 
-    Both tables hold ``relpath, image, src_dtype, error``. Only shapes of the inputs are
-    compared, so input pixels are pruned before the join.
+    Both tables hold ``relpath`` and file profiles (``height, width, src_dtype, min, max,
+    error``); no pixels take part in the join.
     """
-    left = inputs.select("relpath", F.col("image.height").alias("_h"), F.col("image.width").alias("_w"))
-    low, high = F.array_min("image.pixels"), F.array_max("image.pixels")
+    left = inputs.select("relpath", F.col("height").alias("_h"), F.col("width").alias("_w"), F.lit(True).alias("_in"))
     right = outputs.select(
         "relpath",
         F.coalesce(
             F.col("error"),
             F.when(F.col("src_dtype") != "float32", F.lit("dtype is not float32")),
-            F.when((low < 0) | (high > 1), F.lit("values outside [0,1]")),
+            F.when((F.col("min") < 0) | (F.col("max") > 1), F.lit("values outside [0,1]")),
         ).alias("_e"),
-        F.col("image.height").alias("_oh"), F.col("image.width").alias("_ow"),
-        F.lit(True).alias("_out"),
+        F.col("height").alias("_oh"), F.col("width").alias("_ow"), F.lit(True).alias("_out"),
     )
-    both = left.withColumn("_in", F.lit(True)).join(right, "relpath", "full_outer")
+    both = left.join(right, "relpath", "full_outer")
     violation = F.when(F.col("_out").isNull(), "missing output").when(F.col("_in").isNull(), "unexpected output").otherwise(
         F.coalesce(
             F.col("_e"),
@@ -61,14 +62,10 @@ def verify_outputs(spark: SparkSession, input_dir: str, output_dir: str, expecte
     sides = []
     for root in (input_dir, output_dir):
         files = list_files(spark, root).filter(~F.col("ignored"))
-        count = files.count()
-        if expected is not None and count != expected:
-            raise ContractError(f"expected {expected} files under {root}, found {count}")
-        read = spread(files).withColumn("_npy", load_npy("path"))
+        require_count(files, expected, f"files under {root}")
+        read = spread(files).withColumn("_npy", profile_npy("path"))
         sides.append(read.select("relpath", "_npy.*"))
     if artifact is not None:
-        import hashlib
-
         if hashlib.sha256(read_bytes(artifact)).hexdigest() != artifact_sha256:
             raise ContractError("artifact SHA-256 does not match")
     return output_violations(*sides)

@@ -112,24 +112,33 @@ def decode_npy(files: DataFrame) -> DataFrame:
 
 
 def validate_images(images: DataFrame, mode: str = "fail", name_col: str = "relpath") -> DataFrame:
-    """Apply the image contract: ``fail`` raises naming offenders, ``quarantine`` keeps them.
+    """Apply the image contract.
 
-    In quarantine mode bad rows stay, with ``error`` set. ``fail`` decides in one
-    aggregation before anything downstream runs.
+    ``fail`` decides in one pass of its own before anything downstream runs and names the
+    offenders; ``assert`` raises inside the task that meets the first one, so files are
+    decoded only once; ``quarantine`` keeps bad rows with ``error`` set.
     """
-    if mode not in ("fail", "quarantine"):
-        raise ValueError(f"unknown mode {mode!r}")
     found = image_error("image.height", "image.width", "image.pixels")
     checked = images.withColumn(
         "error", F.coalesce(F.col("error"), found) if "error" in images.columns else found
     )
+    return _settle(checked, mode, name_col)
+
+
+def _settle(checked: DataFrame, mode: str, name_col: str) -> DataFrame:
+    """Turn an ``error`` column into the behaviour of a validation mode."""
     if mode == "quarantine":
         return checked
+    if mode == "assert":
+        message = F.concat_ws(": ", name_col, "error")
+        image = F.when(F.col("error").isNull(), F.col("image")).otherwise(F.raise_error(message))
+        return checked.withColumn("image", image).drop("error")
+    if mode != "fail":
+        raise ValueError(f"unknown mode {mode!r}")
     bad = checked.filter(F.col("error").isNotNull()).select(name_col, "error")
     first = bad.orderBy(name_col).limit(10).collect()
     if first:
-        shown = "; ".join(f"{r[0]}: {r[1]}" for r in first)
-        raise ContractError(f"invalid image(s): {shown}")
+        raise ContractError("invalid image(s): " + "; ".join(f"{r[0]}: {r[1]}" for r in first))
     return checked.drop("error")
 
 
@@ -193,16 +202,10 @@ def scan_jpeg(spark: SparkSession, root: str) -> DataFrame:
 
 def require_even(images: DataFrame, min_side: int = 12, mode: str = "fail",
                  name_col: str = "relative_path") -> DataFrame:
-    """Decoded images with even sides of at least ``min_side`` pixels."""
+    """Decoded images with even sides of at least ``min_side`` pixels; modes as above."""
     h, w = F.col("image.height"), F.col("image.width")
     error = F.when(F.col("image").isNull(), F.lit("could not decode")).when(
         (F.least(h, w) < min_side) | (h % 2 != 0) | (w % 2 != 0),
         F.lit(f"expected even sides of at least {min_side}"),
     )
-    checked = images.withColumn("error", error)
-    if mode == "quarantine":
-        return checked
-    bad = checked.filter("error is not null").select(name_col, "error").limit(10).collect()
-    if bad:
-        raise ContractError("; ".join(f"{r[0]}: {r[1]}" for r in bad))
-    return checked.drop("error")
+    return _settle(images.withColumn("error", error), mode, name_col)

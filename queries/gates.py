@@ -384,14 +384,12 @@ def stratified(v):
   WHERE stem::INT % 10 IN (3, 4, 6) OR (stem::INT % 10 = 5 AND list_max(target) > 0.98)""")
 def output_verification(v):
     n = F.col("stem").cast("int")
-    image = lambda h, w, px: F.struct(F.col(h).alias("height"), F.col(w).alias("width"), px.alias("pixels"))
-    inputs = v.img.select(F.col("stem").alias("relpath"), image("in_h", "in_w", F.col("input")).alias("image"))
+    inputs = v.img.select(F.col("stem").alias("relpath"), F.col("in_h").alias("height"), F.col("in_w").alias("width"))
     stretched = F.when(n % 10 == 5, F.transform("target", lambda x: x / 0.98)).otherwise(F.col("target"))
-    bent = F.struct(
-        F.when(n % 10 == 6, 15).otherwise(F.col("tg_h")).alias("height"), F.col("tg_w").alias("width"), stretched.alias("pixels")
-    )
     outputs = v.img.filter(n % 10 != 3).select(
-        F.col("stem").alias("relpath"), bent.alias("image"),
-        F.when(n % 10 == 4, "float64").otherwise("float32").alias("src_dtype"), F.lit(None).cast(T.StringType()).alias("error"),
+        F.col("stem").alias("relpath"), F.when(n % 10 == 6, 15).otherwise(F.col("tg_h")).alias("height"),
+        F.col("tg_w").alias("width"), F.when(n % 10 == 4, "float64").otherwise("float32").alias("src_dtype"),
+        F.array_min(stretched).alias("min"), F.array_max(stretched).alias("max"),
+        F.lit(None).cast(T.StringType()).alias("error"),
     )
     return output_violations(inputs, outputs)

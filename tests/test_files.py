@@ -71,6 +71,8 @@ def test_bad_arrays_fail_or_are_quarantined(spark, tmp_path, save):
     assert kept.pop("int") is None and all(kept.values()) and len(kept) == 6
     with pytest.raises(ContractError, match="nan.npy"):
         validate_images(images)
+    with pytest.raises(Exception, match="npy: "):
+        validate_images(images, "assert").collect()
 
 
 def test_npy_round_trip_is_idempotent(spark, images, tmp_path, rng):
