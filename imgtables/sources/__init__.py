@@ -1,4 +1,6 @@
-from .images import decode_npy, load_npy, scan_jpeg, scan_npy, require_even, validate_images
+from .images import (
+    decode_npy, load_npy, load_pairs, profile_npy, require_even, scan_jpeg, scan_npy, validate_images,
+)
 from .listing import count_ignored, list_files
 from .tables import (
     read_history, read_labels, read_manifest, read_pairs, read_profile, read_summary,
@@ -6,7 +8,7 @@ from .tables import (
 )
 
 __all__ = [
-    "count_ignored", "decode_npy", "list_files", "load_npy", "read_history", "read_labels",
-    "read_manifest", "read_pairs", "read_profile", "read_summary", "require_even", "scan_jpeg",
+    "count_ignored", "decode_npy", "list_files", "load_npy", "load_pairs", "read_history", "read_labels",
+    "read_manifest", "read_pairs", "read_profile", "profile_npy", "read_summary", "require_even", "scan_jpeg",
     "scan_npy", "validate_images", "validate_profile",
 ]

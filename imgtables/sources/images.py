@@ -111,6 +111,25 @@ def decode_npy(files: DataFrame) -> DataFrame:
     return loaded.select(*files.columns, "_npy.*")
 
 
+def load_pairs(pairs: DataFrame, scale: int = 2) -> DataFrame:
+    """Decode the files of ``read_pairs`` rows into ``input`` and ``target`` image columns.
+
+    Both files of a pair are read by the task that holds its names. A bad file or a pair
+    of the wrong shapes raises there.
+    """
+    read = pairs.withColumn("_i", load_npy("input_path")).withColumn("_t", load_npy("target_path"))
+    h, w = F.col("_i.image.height"), F.col("_i.image.width")
+    wrong = (F.col("_t.image.height") != scale * h) | (F.col("_t.image.width") != scale * w)
+    error = F.coalesce(F.col("_i.error"), F.col("_t.error"), F.when(wrong, F.lit(f"target is not {scale}x the input")))
+
+    def checked(column):
+        message = F.concat_ws(": ", "stem", error)
+        return F.when(error.isNull(), F.col(f"{column}.image")).otherwise(F.raise_error(message))
+
+    keep = [c for c in pairs.columns if not c.endswith("_path")]
+    return read.select(*keep, checked("_i").alias("input"), checked("_t").alias("target"))
+
+
 def validate_images(images: DataFrame, mode: str = "fail", name_col: str = "relpath") -> DataFrame:
     """Apply the image contract.
 

@@ -12,6 +12,7 @@ from ..functions.columns import label_or_unassigned, path_error
 from ..operators.checks import require_unique_nonempty
 from ..schema import HISTORY_DDL, METRICS, PROFILE_DDL, text_schema
 from .images import read_bytes
+from .listing import list_files, spread
 
 
 def _read_text_csv(spark: SparkSession, path: str, required) -> DataFrame:
@@ -59,19 +60,24 @@ def select_pairs(manifest: DataFrame, split: str, files: DataFrame | None = None
 
 def read_pairs(spark: SparkSession, manifest_path: str, root: str, split: str) -> DataFrame:
     """Existing input/target paths of one split: ``stem, input_path, target_path, split``."""
-    from .listing import list_files
-
     manifest = _read_text_csv(
         spark, manifest_path, ("stem", "input_relpath", "target_relpath", "split")
     )
-    rows = select_pairs(manifest, split, list_files(spark, root))
+    files = list_files(spark, root)
+    rows = select_pairs(manifest, split, files)
+    for side in ("input", "target"):
+        sizes = files.select(F.col("relpath").alias(f"{side}_relpath"), F.col("length").alias(f"_{side}"))
+        rows = rows.join(sizes, f"{side}_relpath")
     base = F.lit(root.rstrip("/") + "/")
-    return rows.select(
-        "stem",
-        F.concat(base, "input_relpath").alias("input_path"),
-        F.concat(base, "target_relpath").alias("target_path"),
-        "split",
-    )
+    return spread(
+        rows.select(
+            "stem",
+            F.concat(base, "input_relpath").alias("input_path"),
+            F.concat(base, "target_relpath").alias("target_path"),
+            "split",
+            (F.col("_input") + F.col("_target")).alias("length"),
+        )
+    ).drop("length")
 
 
 def label_columns(manifest: DataFrame) -> DataFrame:
