@@ -16,7 +16,7 @@ from ..functions.pixels import let
 # The sketch's rank error is at most n / ACCURACY; brackets are five times as wide.
 ACCURACY = 10_000
 _MARGIN = 5.0 / ACCURACY
-BUFFER_ROWS = 1_000_000  # largest group one task may sort in memory
+BUFFER_ROWS = 250_000  # largest group one task may sort in memory
 SMALL_GROUPS = 100_000  # most bracket rows that may be broadcast
 WHOLE_ROWS = 100_000  # groups up to this size lie wholly inside their bracket
 

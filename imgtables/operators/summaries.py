@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import ContractError
-from ..functions.columns import better, is_finite
+from ..functions.columns import better, hash_uniform, is_finite
 from ..schema import METRICS, RANKED_METRICS
-from .quantiles import BUFFER_ROWS, exact_quantiles, group_sizes, sorted_quantiles
-from .selection import worst_fraction
+from ..session import materialize
+from .quantiles import BUFFER_ROWS, SMALL_GROUPS, exact_quantiles, group_sizes, sorted_quantiles
+from .selection import global_rank, worst_fraction
 
 NUMPY_ROWS = 100_000  # largest group that is resampled row by row in one task
 _MASK = (1 << 31) - 1
@@ -102,13 +103,48 @@ def bootstrap_poisson(df: DataFrame, keys, metrics, samples: int, seed: int, key
     values = [F.when(is_finite(m), F.col(m).cast("double")).alias(m) for m in metrics]
     weighted = resample_weights(df.select(*keys, key, *values), samples, seed, key)
     # Zero weights add nothing; a filter on them would repeat the whole weight expression.
-    sums = weighted.groupBy(*keys, "_b").agg(
+    sums = weighted.groupBy(*keys, "_b").agg(*_weighted_sums(metrics))
+    return _interval(sums, keys, metrics)
+
+
+def bootstrap_index(df: DataFrame, keys, metrics, samples: int, seed: int, key: str = "stem") -> DataFrame:
+    """Percentile interval from exactly ``n`` hash-drawn row positions per replicate.
+
+    A row's position inside its group comes from a range-partitioned global rank, so no
+    task holds a group; draw ``i`` of replicate ``b`` picks position ``floor(u(b, i) * n)``.
+    The draws are counted and joined back, which shuffles up to ``n x samples`` rows: use
+    it where the exact resample size matters and ``poisson`` on very large tables.
+    """
+    keys = list(keys)
+    values = [F.when(is_finite(m), F.col(m).cast("double")).alias(m) for m in metrics]
+    ranked = global_rank(df.select(*keys, key, *values), *keys, key)
+    starts = ranked.groupBy(*keys).agg(F.min("_rank").alias("_start"), F.count("*").alias("_n"))
+    if keys:
+        _, groups = group_sizes(df.select(*keys), keys)
+        placed = ranked.join(F.broadcast(starts) if groups <= SMALL_GROUPS else starts, keys)
+    else:
+        placed = ranked.withColumn("_start", F.lit(0)).withColumn("_n", starts.select("_n").scalar())
+    placed = materialize(placed.withColumn("_i", F.col("_rank") - F.col("_start")).drop("_rank", "_start", key))
+    draws = placed.select(*keys, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_b"))
+    text = F.concat_ws(":", F.lit(str(seed)), F.col("_b").cast("string"), F.col("_i").cast("string"))
+    counted = draws.select(*keys, "_b", F.floor(hash_uniform(text) * F.col("_n")).alias("_i")).groupBy(
+        *keys, "_b", "_i"
+    ).agg(F.count("*").alias("_w"))
+    sums = counted.join(placed.drop("_n"), [*keys, "_i"]).groupBy(*keys, "_b").agg(*_weighted_sums(metrics))
+    return _interval(sums, keys, metrics)
+
+
+def _weighted_sums(metrics) -> list:
+    return [
         *[F.sum(F.col("_w") * F.col(m)).alias(f"s_{m}") for m in metrics],
         *[F.sum(F.when(F.col(m).isNotNull(), F.col("_w"))).alias(f"w_{m}") for m in metrics],
-    )
+    ]
+
+
+def _interval(sums: DataFrame, keys, metrics) -> DataFrame:
+    """2.5 % and 97.5 % quantiles of the replicate means: ``samples`` values per group."""
     means = sums.select(*keys, *[(F.col(f"s_{m}") / F.col(f"w_{m}")).alias(m) for m in metrics])
-    # At most `samples` means per group and metric: percentile's buffer is bounded.
-    q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
+    q = sorted_quantiles(F.col("value"), [0.025, 0.975])
     return (
         long_metrics(means, keys, metrics).groupBy(*keys, "metric").agg(q.alias("q"))
         .select(*keys, "metric", F.element_at("q", 1).alias("ci_lo"), F.element_at("q", 2).alias("ci_hi"))
@@ -144,7 +180,8 @@ def bootstrap_ci(df: DataFrame, keys, metrics=METRICS, samples: int = 1000, seed
     """95 % interval of each mean: ``keys, metric, ci_lo, ci_hi``; ``samples=0`` gives NULLs.
 
     ``numpy`` reproduces a seeded row-by-row stream and refuses groups above
-    ``NUMPY_ROWS``; ``poisson`` has no size limit; ``auto`` takes the first when it fits.
+    ``NUMPY_ROWS``; ``poisson`` has no size limit; ``auto`` takes the first when it fits;
+    ``index`` draws exactly ``n`` hashed positions per replicate.
     """
     keys = list(keys)
     if samples == 0:
@@ -157,6 +194,8 @@ def bootstrap_ci(df: DataFrame, keys, metrics=METRICS, samples: int = 1000, seed
             return bootstrap_numpy(seeded, keys, metrics, samples, key=key)
         if method == "numpy":
             raise ContractError(f"group of {largest} rows is too large for method='numpy'; use 'poisson'")
+    elif method == "index":
+        return bootstrap_index(df, keys, metrics, samples, seed, key)
     elif method != "poisson":
         raise ValueError(f"unknown bootstrap method {method!r}")
     return bootstrap_poisson(df, keys, metrics, samples, seed, key)

@@ -15,11 +15,8 @@ ARROW_ROWS = "256"
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings used by image jobs; safe to call repeatedly."""
+    """Keep Arrow batches short enough for image rows; safe to call repeatedly."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     return spark
 
 

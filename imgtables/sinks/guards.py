@@ -11,7 +11,7 @@ from ..sources.listing import open_fs
 
 
 def _clean(path: str) -> str:
-    return posixpath.normpath(open_fs(path)[1]) if "://" in path or path else path
+    return posixpath.normpath(open_fs(path)[1])
 
 
 def guard_output(path: str, overwrite: bool = False, directory: bool = True) -> str:

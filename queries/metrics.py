@@ -96,6 +96,21 @@ def bootstrap_interval(v):
     return summaries.bootstrap_ci(v.met, ["split"], ["psnr_db", "ssim"], samples=200, method="poisson")
 
 
+_INDEX = f""", n AS (SELECT split, psnr_db, ssim, row_number() OVER (PARTITION BY split ORDER BY stem) - 1 AS i,
+    count(*) OVER (PARTITION BY split) AS n FROM (SELECT split, stem, CASE WHEN isfinite(psnr_db) THEN psnr_db END AS psnr_db, ssim FROM met)),
+  d AS (SELECT split, b, floor((('0x' || substr(md5('2026:' || b || ':' || i), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE) * n)::BIGINT AS j
+    FROM n, (SELECT unnest(range(40)) AS b)),
+  s AS (SELECT d.split, b, avg(psnr_db) AS psnr_db, avg(ssim) AS ssim FROM d JOIN n ON n.split = d.split AND n.i = d.j GROUP BY ALL),
+  l AS (UNPIVOT s ON psnr_db, ssim INTO NAME metric VALUE value)
+  SELECT split, metric, {r("quantile_cont(value, 0.025)")} AS ci_lo, {r("quantile_cont(value, 0.975)")} AS ci_hi FROM l GROUP BY ALL"""
+
+
+@query("bootstrap_interval_index", "met", _INDEX)
+def bootstrap_interval_index(v):
+    """Exactly n hash-drawn rows per replicate and group."""
+    return summaries.bootstrap_ci(v.met, ["split"], ["psnr_db", "ssim"], samples=40, method="index")
+
+
 @query("bootstrap_interval_numpy")
 def bootstrap_interval_numpy(v):
     """Row-by-row seeded resampling per texture cluster (a NumPy stream, not SQL)."""

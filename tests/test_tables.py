@@ -209,6 +209,8 @@ def test_poisson_bootstrap_agrees_with_resampling(spark, rng, monkeypatch):
     assert row["ci_hi"] == pytest.approx(x.mean() + half, abs=0.3 * half)
     again = summaries.bootstrap_ci(df.repartition(9), [], ["psnr_db"], 400, method="poisson").first()
     assert again["ci_lo"] == pytest.approx(row["ci_lo"], abs=1e-9)
+    index = summaries.bootstrap_ci(df, [], ["psnr_db"], 400, method="index").first()
+    assert index["ci_hi"] - index["ci_lo"] == pytest.approx(2 * half, rel=0.2)
     w = summaries.resample_weights(df.select("stem"), 50, 3, "stem").agg(F.avg("_w"), F.var_pop("_w")).first()
     assert w[0] == pytest.approx(1, abs=0.02) and w[1] == pytest.approx(1, abs=0.03)
     monkeypatch.setattr(summaries, "NUMPY_ROWS", 10)
