@@ -13,13 +13,15 @@ from ..functions.imaging import ImageBatch, RESIDUAL_FIELDS, image_array, residu
 from ..operators.checks import require_train
 from ..operators.quantiles import clipped_range, exact_quantiles
 from ..schema import IMAGE_DDL
+from ..session import materialize
 
 
 def fit_profile(pairs: DataFrame, manifest_sha256: str | None = None, split: str = "train",
                 input_col: str = "input", target_col: str = "target") -> DataFrame:
     """One-row table with the ``profile`` struct fitted on training pairs only."""
     train = require_train(pairs, split) if "split" in pairs.columns else pairs
-    features = train.select(residual_features(input_col, target_col).alias("f")).select("f.*")
+    # Materialised, so that the quantile passes read four doubles per pair and no pixels.
+    features = materialize(train.select(residual_features(input_col, target_col).alias("f")).select("f.*"))
     values = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in RESIDUAL_FIELDS]
     long = features.select(F.inline(F.array(*values)))
     q = exact_quantiles(long, ["feature"], "value", [0.1, 0.9])

@@ -128,9 +128,9 @@ def path_parts(v):
     return C.with_path_parts(full, "path", "/data").select("side", "relpath", "name", "stem", "parent")
 
 
-@query("casefold_order")
+@query("casefold_order", "files", "SELECT relpath, lower(relpath) || '/strasse' AS key FROM files WHERE side = 'input'")
 def casefold_order(v):
-    """Stable scan order by full case folding; DuckDB's ``lower`` is not case folding."""
+    """Stable scan order by full case folding, which turns a sharp s into two letters."""
     keyed = v.files.filter("side = 'input'").select("relpath", C.casefold_key(F.concat("relpath", F.lit("/Straße"))).alias("key"))
     return keyed.orderBy("key")
 
@@ -159,9 +159,10 @@ def shape_text(v):
     return v.img.select("stem", C.shape_text("in_h", "in_w").alias("input_shape"), C.shape_text("tg_h", "tg_w").alias("target_shape"))
 
 
-@query("number_text")
+@query("number_text", "met", """SELECT stem, printf('%.10g', psnr_db) AS psnr_db, printf('%.10g', ssim) AS ssim,
+  printf('%.10g', lpips_alex) AS lpips_alex FROM met""")
 def number_text(v):
-    """Ten-digit text of every metric; DuckDB has no ``%g`` formatting."""
+    """Ten-digit text of every metric, without trailing zeros."""
     return v.met.select("stem", *[C.number_text(m).alias(m) for m in ("psnr_db", "ssim", "lpips_alex")])
 
 
@@ -180,7 +181,12 @@ def dataset_digest(v):
     return digest_rows(rows, "stem", ["stem", "input_relpath", "target_relpath", "split"])
 
 
-@query("manifest_rendering")
+_NUMBERS = [f"{side}_{s}" for side in ("input", "target") for s in ("min", "max", "mean", "std")]
+
+
+@query("manifest_rendering", "man", "SELECT stem, input_relpath, target_relpath, input_shape, target_shape, input_dtype, target_dtype, "
+       + ", ".join(f"printf('%.10g', {n}) AS {n}" for n in _NUMBERS)
+       + ", source_group, texture_cluster, split, sha256_input, sha256_target FROM man")
 def manifest_rendering(v):
     return render_manifest(v.man)
 

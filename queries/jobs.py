@@ -15,6 +15,7 @@ from imgtables.plans.restore import validate_predictor
 from imgtables.plans.splits import label_texture_splits
 from imgtables.schema import TEXTURE_FIELDS
 
+from .pixels import RESIDUALS
 from .registry import query, r
 
 _UP_METRICS = """, cpx AS (SELECT u.stem, u.y, u.x, u.v AS raw, least(1, greatest(0, u.v))::DOUBLE AS p, least(1, greatest(0, t.v))::DOUBLE AS t
@@ -66,7 +67,18 @@ def texture_clusters_mllib(v):
     return kmeans(scaled, TEXTURE_FIELDS, 4, restarts=2, max_iter=20, engine="mllib").assignments
 
 
-@query("fit_degradation_profile")
+def _range_sql(value: str, name: str, factor: float, cap: float) -> str:
+    def end(p):
+        return f"least(greatest(0, quantile_cont({value}, {p}) * {factor}), {cap})"
+
+    return f"{r(end(0.1))} AS {name}_low, {r(f'greatest({end(0.1)}, {end(0.9)})')} AS {name}_high"
+
+
+@query("fit_degradation_profile", "img lab tpx ipx wh down", RESIDUALS + f""", f AS (SELECT sd, mn, mad,
+    least(1.5, greatest(0, (1 - gs / greatest(gb, 1e-8)) * 1.5)) AS blur
+    FROM ga JOIN sp USING (stem) JOIN lab USING (stem) WHERE split = 'train')
+  SELECT count(*) AS fit_pair_count, {_range_sql("blur", "blur", 1.0, 1.5)}, {_range_sql("sd", "gaussian", 0.7, 0.2)},
+    {_range_sql("mad", "speckle", 0.3, 0.3)}, {r("quantile_cont(mn, 0.1)")} AS bias_low, {r("quantile_cont(mn, 0.9)")} AS bias_high FROM f""")
 def fit_degradation_profile(v):
     """Quantile ranges of the residual features of the training pairs."""
     return fit_profile(v.pairs).select("profile.*").select(

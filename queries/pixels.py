@@ -246,7 +246,7 @@ def charbonnier_loss(v):
     return rows.select("stem", "supervised", P.blended_loss("supervised", "t", 0.7, 0.3).alias("blended"))
 
 
-@query("residual_features", "img tpx ipx wh down", f""", rs AS (SELECT i.stem, i.y, i.x, i.v - d.v AS rs, d.v AS base, i.v AS seen FROM ipx i JOIN down d USING (stem, y, x)),
+RESIDUALS = f""", rs AS (SELECT i.stem, i.y, i.x, i.v - d.v AS rs, d.v AS base, i.v AS seen FROM ipx i JOIN down d USING (stem, y, x)),
   ra AS (SELECT stem, rs / base AS q FROM rs WHERE abs(base) > 0.1),
   rm AS (SELECT stem, median(q) AS md FROM ra GROUP BY 1),
   sp AS (SELECT stem, 1.4826 * median(abs(q - md)) AS mad FROM ra JOIN rm USING (stem) GROUP BY 1),
@@ -255,8 +255,10 @@ def charbonnier_loss(v):
       CASE WHEN x = 0 THEN lead({c}) OVER wx - {c} WHEN x = 7 THEN {c} - lag({c}) OVER wx ELSE (lead({c}) OVER wx - lag({c}) OVER wx) / 2 END AS gx_{c},'''
       for c in ("base", "seen"))} rs FROM rs WINDOW wy AS (PARTITION BY stem, x ORDER BY y), wx AS (PARTITION BY stem, y ORDER BY x)),
   ga AS (SELECT stem, stddev_pop(rs) AS sd, avg(rs) AS mn, avg(sqrt(gy_base * gy_base + gx_base * gx_base)) AS gb,
-    avg(sqrt(gy_seen * gy_seen + gx_seen * gx_seen)) AS gs FROM gr GROUP BY 1)
-  SELECT stem, {r("sd")} AS residual_std, {r("mn")} AS residual_mean, {r("mad")} AS speckle_mad,
+    avg(sqrt(gy_seen * gy_seen + gx_seen * gx_seen)) AS gs FROM gr GROUP BY 1) """
+
+
+@query("residual_features", "img tpx ipx wh down", RESIDUALS + f"""SELECT stem, {r("sd")} AS residual_std, {r("mn")} AS residual_mean, {r("mad")} AS speckle_mad,
     {r("least(1.5, greatest(0, (1 - gs / greatest(gb, 1e-8)) * 1.5))")} AS blur_proxy FROM ga JOIN sp USING (stem)""")
 def residual_features(v):
     return v.pairs.select("stem", I.residual_features("input", "target").alias("f")).select("stem", "f.*")
