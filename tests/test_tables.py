@@ -365,14 +365,14 @@ def test_ablation_gate(spark):
 def test_model_selection_breaks_the_tie_by_ood(spark):
     # Published scores of two candidates with equal mean rank.
     rows = [
-        ("real_pairs_d4_baseline", "val_id", 29.228288645604167, 0.7764908591691666, 0.2708827439618125),
-        ("real_pairs_d4_baseline", "val_ood", 25.244151621725415, 0.6645521163430427, 0.35236031924684597),
-        ("conditioned_naf_sr", "val_id", 29.226240489125, 0.7765724780562501, 0.2714418435856459),
-        ("conditioned_naf_sr", "val_ood", 25.251256508274583, 0.6660728102397031, 0.35307973583929503),
+        ("baseline", "val_id", 29.228288645604167, 0.7764908591691666, 0.2708827439618125),
+        ("baseline", "val_ood", 25.244151621725415, 0.6645521163430427, 0.35236031924684597),
+        ("conditioned", "val_id", 29.226240489125, 0.7765724780562501, 0.2714418435856459),
+        ("conditioned", "val_ood", 25.251256508274583, 0.6660728102397031, 0.35307973583929503),
     ]
     df = spark.createDataFrame([(*r, "m") for r in rows], "name string, split string, psnr_db double, ssim double, lpips_alex double, manifest_sha256 string")
     got = {r["name"]: r for r in select_model(df).collect()}
-    win = got["conditioned_naf_sr"]
+    win = got["conditioned"]
     assert win["winner"] and win["mean_rank"] == 1.5 and win["id_mean_rank"] == pytest.approx(5 / 3) and win["ood_mean_rank"] == pytest.approx(4 / 3)
     with pytest.raises(ContractError, match="duplicate"):
         select_model(df.union(df.limit(1)))
