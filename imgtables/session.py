@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +46,21 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_root(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the library and the query modules to the Python workers, as ``--py-files`` would; once per session."""
+    context = spark.sparkContext
+    if getattr(context, "_imgtables_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="imgtables-"), "imgtables_code.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for package in ("imgtables", "queries"):
+            for folder, _, names in os.walk(os.path.join(root, package)):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+    context._imgtables_shipped = True
