@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from .byte_bpe import encode_texts, read_ranks
 from .exact_dedup import exact_dedup
 from .registry import ORACLES, QUERIES, query, table
 
@@ -21,3 +24,12 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
     )
+
+
+@query("op4_byte_bpe")
+def op4_byte_bpe(spark, sf_dir):
+    vocabulary = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return encode_texts(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN,
+        outputs=("n_tokens", "ids_sha256", "decoded_sha256"),
+    )
