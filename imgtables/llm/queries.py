@@ -7,6 +7,7 @@ import public_tokenizers
 from .byte_bpe import encode_texts, read_ranks
 from .exact_dedup import exact_dedup
 from .registry import ORACLES, QUERIES, query, table
+from .simhash import simhash_components
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -33,3 +34,8 @@ def op4_byte_bpe(spark, sf_dir):
         table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN,
         outputs=("n_tokens", "ids_sha256", "decoded_sha256"),
     )
+
+
+@query("op10_simhash")
+def op10_simhash(spark, sf_dir):
+    return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
