@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from .ann_forest import nearest_by_inner_product
 from .byte_bpe import encode_texts, read_ranks
 from .exact_dedup import exact_dedup
 from .registry import ORACLES, QUERIES, query, table
@@ -39,3 +40,8 @@ def op4_byte_bpe(spark, sf_dir):
 @query("op10_simhash")
 def op10_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op8_ann_forest")
+def op8_ann_forest(spark, sf_dir):
+    return nearest_by_inner_product(table(spark, sf_dir, "embeddings"))
