@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 
+from ..session import checkpoint_root
+
 from .ann_forest import nearest_by_inner_product
 from .byte_bpe import encode_texts, read_ranks
 from .exact_dedup import exact_dedup
 from .registry import ORACLES, QUERIES, query, table
 from .simhash import simhash_components
+from .warc import read_archive, write_archive
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -45,3 +50,23 @@ def op10_simhash(spark, sf_dir):
 @query("op8_ann_forest")
 def op8_ann_forest(spark, sf_dir):
     return nearest_by_inner_product(table(spark, sf_dir, "embeddings"))
+
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, {1 + 5 * (i // 4)}, 5))::BIGINT >> {15 - 5 * (i % 4)}) % 32 + 1, 1)"
+    for i in range(32)
+)
+
+
+@query("op7_warc", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+g AS (SELECT page_id, strlen(body) AS n, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS first_id FROM p)
+SELECT page_id, n AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM g
+""")
+def op7_warc(spark, sf_dir):
+    folder = f"{checkpoint_root(spark)}/warc-{uuid.uuid4().hex}"
+    write_archive(table(spark, sf_dir, "pages"), folder)
+    return read_archive(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
