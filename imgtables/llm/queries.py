@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
 
 from .ann_forest import nearest_by_inner_product
 from .byte_bpe import encode_texts, read_ranks
 from .exact_dedup import exact_dedup
+from .quality_gam import fit_quality, remainder, score_quality
 from .registry import ORACLES, QUERIES, query, table
 from .simhash import simhash_components
 from .warc import read_archive, write_archive
@@ -70,3 +72,14 @@ def op7_warc(spark, sf_dir):
     folder = f"{checkpoint_root(spark)}/warc-{uuid.uuid4().hex}"
     write_archive(table(spark, sf_dir, "pages"), folder)
     return read_archive(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_quality_gam")
+def op6_quality_gam(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(remainder(F.col("doc_id"), 4) != 2)
+    scored = score_quality(docs, fit_quality(docs, labels))
+    return scored.select(
+        "doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
