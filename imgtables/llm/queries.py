@@ -12,6 +12,7 @@ from ..session import checkpoint_root
 from .ann_forest import nearest_by_inner_product
 from .byte_bpe import encode_texts, read_ranks
 from .exact_dedup import exact_dedup
+from .language_crf import fit_language_crf, identify_languages
 from .quality_gam import fit_quality, remainder, score_quality
 from .registry import ORACLES, QUERIES, query, table
 from .simhash import simhash_components
@@ -83,3 +84,12 @@ def op6_quality_gam(spark, sf_dir):
         "doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@query("op1_language_crf")
+def op1_language_crf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language_crf(docs.filter(remainder(F.col("doc_id"), 5) != 0))
+    return identify_languages(docs.select("doc_id", "text"), model).select(
+        "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "n_words", "n_switches"
+    )
