@@ -13,6 +13,7 @@ from .ann_forest import nearest_by_inner_product
 from .byte_bpe import encode_texts, read_ranks
 from .exact_dedup import exact_dedup
 from .language_crf import fit_language_crf, identify_languages
+from .mixing import count_tokens, mixture_plan, realise
 from .quality_gam import fit_quality, remainder, score_quality
 from .registry import ORACLES, QUERIES, query, table
 from .simhash import simhash_components
@@ -93,3 +94,54 @@ def op1_language_crf(spark, sf_dir):
     return identify_languages(docs.select("doc_id", "text"), model).select(
         "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "n_words", "n_switches"
     )
+
+
+@query("op3_mixing", r"""
+WITH RECURSIVE n AS MATERIALIZED (
+    SELECT doc_id, source, coalesce(source, '') AS s, coalesce(doc_id::VARCHAR, '') AS id,
+           greatest(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')), 1)::BIGINT AS n_tokens
+    FROM documents
+),
+t AS MATERIALIZED (SELECT s, sum(n_tokens)::BIGINT AS tokens FROM n GROUP BY s),
+h AS MATERIALIZED (SELECT s, tokens, tokens / (SELECT sum(tokens) FROM t)::DOUBLE AS share FROM t),
+ends AS (SELECT -sum(share * ln(share)) AS h1, ln(count(*)) AS h0 FROM h),
+bisected(i, low, width) AS (
+    SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+    UNION ALL
+    SELECT i + 1, CASE WHEN ok THEN low ELSE low + width / 2 END, width / 2
+    FROM (
+        SELECT i, low, width,
+               ln(sum(p)) - sum(p * ln(p)) / sum(p) <= any_value(h1 + 0.5 * (h0 - h1)) AND max(p / share) / sum(p) <= 4.0 AS ok
+        FROM (SELECT b.i, b.low, b.width, share, pow(share, b.low + b.width / 2) AS p, h1, h0 FROM bisected b, h, ends WHERE b.i < 30)
+        GROUP BY i, low, width
+    )
+),
+w AS MATERIALIZED (
+    SELECT s, tokens, greatest(round(pow(share, alpha) / sum(pow(share, alpha)) OVER (), 12), 1e-12) AS weight
+    FROM h, (SELECT low + width AS alpha FROM bisected WHERE i = 30)
+),
+plan AS MATERIALIZED (
+    SELECT s, budget // tokens AS full_epochs, budget % tokens AS rest, ceil(tokens / 100000.0)::BIGINT AS n_blocks
+    FROM (SELECT s, tokens, floor(weight * (SELECT sum(tokens) FROM t)::DOUBLE)::BIGINT AS budget FROM w)
+),
+shown AS MATERIALIZED (
+    SELECT *, ((u * n_blocks) >> 32) AS block
+    FROM (
+        SELECT *, ('0x' || substr(md5('2026:' || epoch || ':' || id), 1, 8))::BIGINT AS u
+        FROM (SELECT n.*, full_epochs, rest, n_blocks, unnest(generate_series(0, full_epochs)) AS epoch FROM n JOIN plan USING (s))
+    )
+),
+ordered AS (
+    SELECT *, sum(n_tokens) OVER (PARTITION BY s, epoch ORDER BY block) AS upto,
+           sum(n_tokens) OVER (PARTITION BY s, epoch ORDER BY u, id) AS taken
+    FROM shown
+),
+cuts AS (SELECT s, min(block) AS cut_block FROM ordered WHERE epoch = full_epochs AND upto > rest GROUP BY s)
+SELECT doc_id, source, n_tokens, epoch AS mix_epoch, block AS mix_block
+FROM ordered JOIN cuts USING (s)
+WHERE epoch < full_epochs OR block < cut_block OR (block = cut_block AND taken <= rest)
+""")
+def op3_mixing(spark, sf_dir):
+    counted = count_tokens(table(spark, sf_dir, "documents"))
+    plan = mixture_plan(counted, entropy_share=0.5, max_repeats=4.0)
+    return realise(counted, plan)
