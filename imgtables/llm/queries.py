@@ -16,6 +16,7 @@ from .language_crf import fit_language_crf, identify_languages
 from .mixing import count_tokens, mixture_plan, realise
 from .quality_gam import fit_quality, remainder, score_quality
 from .registry import ORACLES, QUERIES, query, table
+from .repeats import remove_repeats
 from .simhash import simhash_components
 from .warc import read_archive, write_archive
 
@@ -145,3 +146,8 @@ def op3_mixing(spark, sf_dir):
     counted = count_tokens(table(spark, sf_dir, "documents"))
     plan = mixture_plan(counted, entropy_share=0.5, max_repeats=4.0)
     return realise(counted, plan)
+
+
+@query("op5_repeats")
+def op5_repeats(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
