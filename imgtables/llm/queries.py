@@ -13,6 +13,7 @@ from .ann_forest import nearest_by_inner_product
 from .byte_bpe import encode_texts, read_ranks
 from .exact_dedup import exact_dedup
 from .language_crf import fit_language_crf, identify_languages
+from .line_dedup import line_report
 from .mixing import count_tokens, mixture_plan, realise
 from .quality_gam import fit_quality, remainder, score_quality
 from .registry import ORACLES, QUERIES, query, table
@@ -151,3 +152,8 @@ def op3_mixing(spark, sf_dir):
 @query("op5_repeats")
 def op5_repeats(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op2_line_dedup")
+def op2_line_dedup(spark, sf_dir):
+    return line_report(table(spark, sf_dir, "documents"))
