@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -42,8 +43,9 @@ SHARD_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
 NO_ID = (1 << 63) - 1  # a row without an id comes after all others
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_NONE = U(0xFFFFFFFFFFFFFFFF)
+_FACTORS = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(32)]  # odd multipliers, one per word
+_NONE = np.uint32(0xFFFFFFFF)
+_BLOCK = 1 << 16  # positions hashed at a time, so that the arrays stay in the processor's cache
 SHARD_DDL = "shard long, n_bytes long, ids binary, sizes binary, payload binary"
 ANSWER_DDL = "shard long, cids binary, firsts binary, lasts binary, sources binary, windows binary, window_sources binary"
 
@@ -80,19 +82,23 @@ def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(out[:len(x) - width + 1], out[width - n:width - n + len(x) - width + 1]) if n < width else out
 
 
-def _grams(data: np.ndarray, width: int) -> np.ndarray:
-    """Polynomial hash of every ``width``-byte string: powers of two are joined as needed."""
-    powers, n = {1: data.astype(U) + U(1)}, 1
-    while 2 * n <= width:
-        h = powers[n]
-        powers[2 * n] = h[:-n] * U(pow(_BASE, n, 1 << 64)) + h[n:]
-        n *= 2
-    out, done, count = None, 0, len(data) - width + 1
-    for n in sorted(powers, reverse=True):
-        if done + n <= width:
-            part = powers[n][done:done + count]
-            out = part if out is None else out * U(pow(_BASE, n, 1 << 64)) + part
-            done += n
+def _words(data: np.ndarray, kind: str = "<u8") -> np.ndarray:
+    """The eight bytes at every position as a number; a view, nothing is copied."""
+    return np.ndarray((max(len(data) - 7, 0),), kind, data.data if len(data) else b"", strides=(1,))
+
+
+def _offsets(width: int) -> list[int]:
+    """Word positions that cover ``width`` bytes."""
+    return [*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]
+
+
+def _string_hash(words: np.ndarray, width: int, at: np.ndarray | slice | None = None) -> np.ndarray:
+    """Hash of the ``width`` bytes at the given positions, or at every position."""
+    count = len(words) + 8 - width
+    out = None
+    for i, o in enumerate(_offsets(width)):
+        part = (words[o:o + count] if at is None else words[at + o]) * U(_FACTORS[i])
+        out = part if out is None else np.add(out, part, out=out)
     return out
 
 
@@ -114,33 +120,43 @@ class Shard:
     def anchors(self) -> None:
         """Positions, hashes, owning texts and usable flanks of all anchors."""
         s = self.setting
-        hashes = _mix(_grams(self.data, s.gram))
-        np.minimum(hashes, _NONE - U(1), out=hashes)
-        usable = np.zeros(len(hashes), bool)
-        for start, end in zip(self.starts.tolist(), self.ends.tolist()):
-            if end - start >= s.length:
-                usable[start:end - s.gram + 1] = True
-        hashes[~usable] = _NONE
-        lowest = _slide(hashes, s.flank + 1, np.minimum)  # of the window that starts here
-        edge = np.zeros(s.flank, U)
-        reached = _slide(np.r_[edge, lowest, edge], s.flank + 1, np.maximum)
-        # ties are all anchors, so equal windows share one at the same offset
-        self.at = np.flatnonzero((hashes == reached) & usable)
-        self.keys = hashes[self.at]
+        words = _words(self.data)
+        count = len(self.data) - s.gram + 1
+        usable = np.zeros(count + 1, np.int8)
+        fit = self.sizes >= s.length
+        np.add.at(usable, self.starts[fit], 1)
+        np.add.at(usable, self.ends[fit] - s.gram + 1, -1)
+        usable = np.cumsum(usable[:-1], dtype=np.int8).astype(bool)
+        found = []
+        for start in range(0, count, _BLOCK):
+            low, high = max(0, start - s.flank), min(count, start + _BLOCK + s.flank)
+            # 32 bits order the grams of a window; more ties only mean more anchors
+            order = (_string_hash(words[low:high + s.gram - 8], s.gram) >> U(32)).astype(np.uint32)
+            np.minimum(order, _NONE - np.uint32(1), out=order)
+            order[~usable[low:high]] = _NONE
+            edge = np.zeros(s.flank, np.uint32)
+            if len(order) > s.flank:
+                lowest = _slide(order, s.flank + 1, np.minimum)  # of the window that starts here
+                reached = _slide(np.concatenate([edge, lowest, edge]), s.flank + 1, np.maximum)
+                # ties are all anchors, so equal windows share one at the same offset
+                at = np.flatnonzero((order == reached) & usable[low:high]) + low
+                found.append(at[(at >= start) & (at < start + _BLOCK)])
+        self.at = np.concatenate(found) if found else np.zeros(0, np.int64)
+        self.keys = _mix(_string_hash(words, s.gram, self.at))
         self.owner = np.searchsorted(self.ends, self.at, "right")
         self.docs = self.ids[self.owner] if len(self.at) else np.zeros(0, np.int64)
         self.left = np.minimum(s.flank, self.at - self.starts[self.owner]) if len(self.at) else self.at
         self.right = np.minimum(s.flank, self.ends[self.owner] - s.gram - self.at) if len(self.at) else self.at
 
-    def context_ids(self) -> np.ndarray:
-        """A hash of each anchor's context and flanks; contexts under one hash are compared by bytes when sent."""
+    def context_ids(self, pick: np.ndarray) -> np.ndarray:
+        """A hash of the picked anchors' contexts and flanks; contexts under one hash are compared by bytes when sent."""
         s = self.setting
-        whole = _grams(self.data, s.width)[self.at - s.flank]
-        return _mix(whole + _mix(self.keys + U(1)) + (self.left * 256 + self.right).astype(U))
+        whole = _mix(_string_hash(_words(self.data), s.width, self.at[pick] - s.flank))
+        return _mix(whole + (self.left[pick] * 256 + self.right[pick]).astype(U))
 
-    def window_ids(self) -> np.ndarray:
-        """A hash of the window at every position."""
-        return _mix(_grams(self.data, self.setting.length) ^ U(0xA5A5A5A5A5A5A5A5))
+    def window_ids(self, spots: np.ndarray) -> np.ndarray:
+        """A hash of the windows at the given positions."""
+        return _mix(_string_hash(_words(self.data), self.setting.length, spots) ^ U(0xA5A5A5A5A5A5A5A5))
 
     def bytes_at(self, positions: np.ndarray, width: int) -> np.ndarray:
         return self.data[positions[:, None] + np.arange(width)]
@@ -150,6 +166,21 @@ def _joined(values) -> bytes:
     return b"".join(values or ())
 
 
+def _short(keys: np.ndarray) -> bytes:
+    """48-bit hashes in six bytes each. Equality on 48 bits only nominates anchors; bytes decide."""
+    return (keys >> U(16)).astype("<u4").tobytes() + keys.astype("<u2").tobytes()
+
+
+def _long(blob: bytes) -> np.ndarray:
+    n = len(blob) // 6
+    return (np.frombuffer(blob, "<u4", n).astype(U) << U(16)) | np.frombuffer(blob, "<u2", n, 4 * n)
+
+
+def _longs(blobs) -> np.ndarray:
+    """All hashes of some blobs, sorted."""
+    return np.sort(np.concatenate([_long(b) for b in blobs])) if blobs else np.zeros(0, U)
+
+
 def _isin(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
     """Membership in a sorted array."""
     if not len(listed):
@@ -201,8 +232,9 @@ def _shared_anchors(shards: DataFrame, setting: Setting, buckets: int) -> DataFr
             for row in batch.to_pylist():
                 shard = Shard(setting, row["ids"], row["sizes"], row["payload"])
                 shard.anchors()
-                keys = np.unique(shard.keys)
-                out = [(bucket, row["shard"], part[0].tobytes()) for bucket, part in _by((keys % U(buckets)).astype(np.int64), keys)]
+                keys = np.sort(shard.keys >> U(16))
+                keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+                out = [(bucket, row["shard"], _short(part[0])) for bucket, part in _by((keys % U(buckets)).astype(np.int64), keys)]
                 if out:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "shard", "keys"]
@@ -210,9 +242,9 @@ def _shared_anchors(shards: DataFrame, setting: Setting, buckets: int) -> DataFr
 
     def meet(table: pa.Table) -> pa.Table:
         blobs = table["keys"].to_pylist()
-        keys = np.frombuffer(b"".join(blobs), U)
-        owner = np.repeat(np.asarray(table["shard"]), [len(b) // 8 for b in blobs])
-        order = np.argsort(keys, kind="stable")
+        keys = np.concatenate([_long(b) for b in blobs])
+        owner = np.repeat(np.asarray(table["shard"]), [len(b) // 6 for b in blobs])
+        order = np.argsort(keys)
         keys, owner = keys[order], owner[order]
         head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         count = np.diff(np.r_[head, len(keys)])
@@ -221,7 +253,7 @@ def _shared_anchors(shards: DataFrame, setting: Setting, buckets: int) -> DataFr
         out = []
         for shard, (mine, n) in _by(owner[many], keys[many], times[many]):
             hot = n > setting.hot_shards
-            out.append((shard, mine[~hot].tobytes(), mine[hot].tobytes()))
+            out.append((shard, _short(mine[~hot]), _short(mine[hot])))
         return pa.table([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["shard", "shared", "hot"])
 
     sent = shards.select("shard", "ids", "sizes", "payload").mapInArrow(send, "bucket long, shard long, keys binary")
@@ -232,7 +264,7 @@ def _shared_anchors(shards: DataFrame, setting: Setting, buckets: int) -> DataFr
 
 def _fold(ids: np.ndarray, docs: np.ndarray, *same: np.ndarray):
     """First row, smallest and largest document per id; rows under one id must be the same."""
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids)
     head = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]]) if len(ids) else np.zeros(0, np.int64)
     first = np.repeat(order[head], np.diff(np.r_[head, len(ids)]))
     for values in same:
@@ -246,14 +278,14 @@ def _fold(ids: np.ndarray, docs: np.ndarray, *same: np.ndarray):
 def _contexts(shard: Shard, shared: np.ndarray, hot: np.ndarray):
     """What a shard sends: (bucket key, id, kind, left, right, smallest, largest, bytes) arrays."""
     s = shard.setting
-    order = np.argsort(shard.keys, kind="stable")
+    order = np.argsort(shard.keys)
     keys, docs = shard.keys[order], shard.docs[order]
     head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     twice = keys[head][np.minimum.reduceat(docs, head) != np.maximum.reduceat(docs, head)] if len(keys) else keys
-    is_hot = _isin(shard.keys, np.sort(hot))
-    listed = _isin(shard.keys, np.sort(shared)) | (_isin(shard.keys, twice) & ~is_hot)
+    is_hot = _isin(shard.keys >> U(16), hot)
+    listed = _isin(shard.keys >> U(16), shared) | (_isin(shard.keys, twice) & ~is_hot)
     pick = np.flatnonzero(listed & (shard.left + s.gram + shard.right >= s.length))
-    ids = shard.context_ids()[pick]
+    ids = shard.context_ids(pick)
     found = shard.bytes_at(shard.at[pick] - s.flank, s.width)
     sides = shard.left[pick] * 256 + shard.right[pick]
     first, low, high = _fold(ids, shard.docs[pick], found, sides, shard.keys[pick])
@@ -264,7 +296,7 @@ def _contexts(shard: Shard, shared: np.ndarray, hot: np.ndarray):
         spots = [np.arange(a - l, a - s.flank + r + 1) for a, l, r in
                  zip(shard.at[is_hot].tolist(), shard.left[is_hot].tolist(), shard.right[is_hot].tolist())]
         spots = np.unique(np.concatenate(spots))
-        ids = shard.window_ids()[spots]
+        ids = shard.window_ids(spots)
         owner = np.searchsorted(shard.ends, spots, "right")
         found = np.zeros((len(spots), s.width), np.uint8)
         found[:, :s.length] = shard.bytes_at(spots, s.length)
@@ -283,50 +315,62 @@ def suffix_sources(contexts: np.ndarray, rows: np.ndarray, columns: np.ndarray,
     equal suffixes documents ascend and the previous smaller entry is met walking back to the
     head of the run. Where the longest previous factor falls short, the source is the own document.
     """
-    flat = np.r_[contexts.ravel(), np.zeros(8, np.uint8)].astype(U)
-    word, n = flat, 8
-    for step in (1, 2, 4):
-        word = (word[:-step] << U(n)) | word[step:]
-        n *= 2
+    flat = np.r_[contexts.ravel(), np.zeros(8, np.uint8)]
     start = rows * contexts.shape[1] + columns
-    offsets = [*range(0, length - 7, 8)]
-    if length % 8:
-        offsets.append(length - 8)
-    words = [word[start + o] for o in offsets]
+    own = docs[rows]
+    # Suffixes that no other one equals by hash have no previous factor of this length.
+    hashes = _mix(_string_hash(_words(flat), length, start))
+    order = np.argsort(hashes)
+    again = hashes[order][1:] == hashes[order][:-1]
+    paired = np.zeros(len(start), bool)
+    paired[order[1:][again]] = True
+    paired[order[:-1][again]] = True
+    rest = np.flatnonzero(paired)
+    sources = own.copy()
+    start, own = start[rest], own[rest]
+    view = _words(flat, ">u8")  # big-endian words compare like the bytes
+    words = [view[start + o].astype(U) for o in _offsets(length)]
     order = np.lexsort(words[::-1])
     longer = np.zeros(max(len(order) - 1, 0), bool)  # neighbours in suffix order that differ within length
     for w in words:
         longer |= w[order][1:] != w[order][:-1]
     head = np.flatnonzero(np.r_[True, longer]) if len(order) else np.zeros(0, np.int64)
-    sources = np.empty(len(order), np.int64)
     if len(order):
-        smallest = np.minimum.reduceat(docs[rows][order], head)
-        sources[order] = np.repeat(smallest, np.diff(np.r_[head, len(order)]))
+        smallest = np.minimum.reduceat(own[order], head)
+        sources[rest[order]] = np.repeat(smallest, np.diff(np.r_[head, len(order)]))
     return sources
 
 
 def _previous_factors(shards: DataFrame, shared: DataFrame, setting: Setting, buckets: int) -> DataFrame:
     """Answers per shard and bucket: context or window ids, start offsets, and the smallest document."""
     width, flank, length = setting.width, setting.flank, setting.length
-    numbers = ("keys", "cids", "kinds", "lefts", "rights", "lows", "highs", "contexts")
+    kinds = ((U, 1), (np.uint8, 1), (np.uint8, 1), (np.uint8, 1), (np.int64, 1), (np.int64, 1), (np.uint8, width))
 
     def send(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(setting, row["ids"], row["sizes"], row["payload"])
                 shard.anchors()
-                columns = _contexts(shard, np.frombuffer(_joined(row["shared"]), U), np.frombuffer(_joined(row["hot"]), U))
-                out = [(b, row["shard"], *[p.tobytes() for p in part]) for b, part in _by((columns[0] % U(buckets)).astype(np.int64), *columns)]
+                columns = _contexts(shard, _longs(row["shared"]), _longs(row["hot"]))
+                pack = zstandard.ZstdCompressor(level=1).compress
+                out = [(b, row["shard"], len(part[0]), pack(b"".join(p.tobytes() for p in part)))
+                       for b, part in _by((columns[0] % U(buckets)).astype(np.int64), *columns[1:])]
                 if out:
-                    kinds = (pa.int64(), pa.int64(), *[pa.binary()] * len(numbers))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["bucket", "shard", *numbers])
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["bucket", "shard", "n", "packed"])
 
     def answer(table: pa.Table) -> pa.Table:
-        kinds = (U, U, np.uint8, np.uint8, np.uint8, np.int64, np.int64, np.uint8)
-        key, cid, kind, left, right, low, high, found = [
-            np.frombuffer(b"".join(table[n].to_pylist()), k) for n, k in zip(numbers, kinds)
-        ]
-        owner = np.repeat(np.asarray(table["shard"]), [len(b) // 8 for b in table["keys"].to_pylist()])
+        parts: list[list[np.ndarray]] = [[] for _ in kinds]
+        unpack = zstandard.ZstdDecompressor().decompress
+        for n, blob in zip(table["n"].to_pylist(), table["packed"].to_pylist()):
+            raw, at = unpack(blob), 0
+            for part, (kind, items) in zip(parts, kinds):
+                part.append(np.frombuffer(raw, kind, n * items, at))
+                at += part[-1].nbytes
+        cid, kind, left, right, low, high, found = map(np.concatenate, parts)
+        owner = np.repeat(np.asarray(table["shard"]), np.asarray(table["n"]))
+        anchor = _mix(_string_hash(_words(found), setting.gram, np.arange(len(cid)) * width + flank))
+        key = np.where(kind == 0, anchor, cid)  # as sent: a context belongs to its anchor, a single window to itself
         found = found.reshape(-1, width)
         # equal contexts are one class; the smallest document of a class stands for it
         order = np.lexsort((cid, kind, key))
@@ -364,14 +408,12 @@ def _previous_factors(shards: DataFrame, shared: DataFrame, setting: Setting, bu
         for shard, (c, w, a, b, m) in _by(owner[record], cid[record], kind[record], first.astype(np.uint8), last.astype(np.uint8), source):
             ctx, win = w == 0, w == 1
             out.append((shard, *[x.tobytes() for x in (c[ctx], a[ctx], b[ctx], m[ctx], c[win], m[win])]))
-        kinds = (pa.int64(), *[pa.binary()] * 6)
-        return pa.table([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)],
+        return pa.table([pa.array([o[i] for o in out], pa.binary() if i else pa.int64()) for i in range(7)],
                         names=["shard", "cids", "firsts", "lasts", "sources", "windows", "window_sources"])
 
     lists = shared.groupBy("shard").agg(F.collect_list("shared").alias("shared"), F.collect_list("hot").alias("hot"))
     joined = shards.select("shard", "ids", "sizes", "payload").join(lists, "shard", "left")
-    ddl = "bucket long, shard long, " + ", ".join(f"{n} binary" for n in numbers)
-    return joined.mapInArrow(send, ddl).groupBy("bucket").applyInArrow(answer, ANSWER_DDL)
+    return joined.mapInArrow(send, "bucket long, shard long, n long, packed binary").groupBy("bucket").applyInArrow(answer, ANSWER_DDL)
 
 
 # --- step 4 -----------------------------------------------------------------------------------
@@ -382,7 +424,7 @@ def covered_bytes(shard: Shard, cids, firsts, lasts, sources, windows, window_so
     change = np.zeros(len(shard.data) + 1, np.int64)
 
     def mark(ids, at, docs, answers, source, low, high):
-        order = np.argsort(answers, kind="stable")
+        order = np.argsort(answers)
         answers = answers[order]
         a, b = np.searchsorted(answers, ids, "left"), np.searchsorted(answers, ids, "right")
         n = b - a
@@ -395,12 +437,12 @@ def covered_bytes(shard: Shard, cids, firsts, lasts, sources, windows, window_so
 
     if len(cids):
         shard.anchors()
-        usable = shard.left + s.gram + shard.right >= s.length
-        mark(shard.context_ids()[usable], shard.at[usable] - s.flank, shard.docs[usable], cids, sources, firsts.astype(np.int64), lasts.astype(np.int64))
+        usable = np.flatnonzero(shard.left + s.gram + shard.right >= s.length)
+        mark(shard.context_ids(usable), shard.at[usable] - s.flank, shard.docs[usable], cids, sources, firsts.astype(np.int64), lasts.astype(np.int64))
     if len(windows):
         spots = np.concatenate([np.arange(a, b - s.length + 1) for a, b in zip(shard.starts.tolist(), shard.ends.tolist())])
         zero = np.zeros(len(windows), np.int64)
-        mark(shard.window_ids()[spots], spots, shard.ids[np.searchsorted(shard.ends, spots, "right")], windows, window_sources, zero, zero)
+        mark(shard.window_ids(spots), spots, shard.ids[np.searchsorted(shard.ends, spots, "right")], windows, window_sources, zero, zero)
     return np.cumsum(change[:-1]) > 0
 
 
