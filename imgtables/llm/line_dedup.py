@@ -3,8 +3,9 @@
 Method: a line is the set of its words; two lines match at a Jaccard similarity of at least
 ``threshold``. Words are ordered by rarity, counted over the whole corpus. Matching sets share a
 word among their rarest ``n - ceil(t * n) + 1`` (prefix filter), their sizes differ by at most the
-factor ``t`` (length filter), and the words that follow the shared one must suffice for the
-overlap (positional filter). Candidates are verified on the words themselves. A line goes if any
+factor ``t`` (length filter), the words that follow the shared one must suffice for the overlap
+(positional filter), and 64-bit parity sketches of the sets differ in no more bits than matching
+sets may differ in words. Candidates are verified on the words themselves. A line goes if any
 earlier line matches it, earlier by id and then by line number, judged on the input.
 
 Equal lines are one class from the start and are combined map-side, so neither a line that a
@@ -21,8 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import materialize
 
 THRESHOLD = (4, 5)  # numerator and denominator, so that bounds are whole numbers
-RARITY_BITS = 22
-LOW_BITS = 11  # the fixed arrays are arrays of arrays of 2**11 bytes
+RARITY_BITS = 20
+LOW_BITS = 10  # the fixed arrays are arrays of arrays of 2**10 bytes
 LAST = (1 << 63) - 1  # a row without an id comes after all others
 
 
@@ -84,51 +85,55 @@ def _worded(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """Distinct pairs of line classes that pass the three filters."""
+    """Distinct pairs of line hashes, ``(h1_a, h1_b)``, that pass the filters."""
     num, den = THRESHOLD
-    flat = F.array_remove(F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), " "), "")
-    words = docs.select(F.explode(flat).alias("w")).select(F.xxhash64("w").alias("h"))
+    # The empty string between two blanks is counted too, in a slot that no word needs for itself.
+    words = docs.select(F.explode(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     # quarter powers of two up to 2**31 occurrences: 0 to 124
-    rarity = _fixed_array(words, F.least(F.lit(124), F.floor(F.log2(F.greatest(F.col("n"), F.lit(1))) * 4)).cast("int"))
-    hashes = F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)))
+    rarity = _fixed_array(
+        words.select(F.xxhash64("w").alias("h")), F.least(F.lit(124), F.floor(F.log2(F.greatest(F.col("n"), F.lit(1))) * 4)).cast("int")
+    )
+    every = F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)))
     # The generator pins the hashes, so that they are computed once; above it, Catalyst folds the
     # named subquery into the one expression that reads it, so that no row carries the array.
-    pinned = _worded(docs).select(F.inline(F.array(F.struct(*_class(F.col("line")), hashes.alias("hashes")))))
+    pinned = _worded(docs).select(F.inline(F.array(F.struct(
+        F.xxhash64("line").alias("h1"), F.array_remove(every, F.xxhash64(F.lit(""))).alias("hashes")
+    ))))
     ordered = F.sort_array(F.transform(
         "hashes", lambda h: F.shiftleft(_code_at(F.col("rarity"), h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     ))
+    one = F.lit(1).cast("long")
+    sketch = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int"))))
     n = F.size("hashes")
     classes = (
         pinned.select("*", rarity.alias("rarity"))
-        .select("h1", "h2", n.alias("n"), F.slice(ordered, 1, _prefix_size(n)).alias("prefix"))
-        .groupBy("h1", "h2", "n", "prefix").agg(F.count("*").alias("copies"))
+        .select("h1", sketch.alias("sketch"), n.alias("n"), F.slice(ordered, 1, _prefix_size(n)).alias("prefix"))
+        .groupBy("h1", "sketch", "n", "prefix").agg(F.count("*").alias("copies"))
     )
     # A prefix is never empty; the outer form only keeps Catalyst from computing it a second time in a filter.
-    entries = classes.select("h1", "h2", "n", F.posexplode_outer("prefix").alias("pos", "word"))
-    a = entries.select("word", *[F.col(c).alias(f"{c}_a") for c in ("h1", "h2", "n", "pos")])
-    b = entries.select("word", *[F.col(c).alias(f"{c}_b") for c in ("h1", "h2", "n", "pos")])
-    ordered_pair = (F.col("h1_a") < F.col("h1_b")) | ((F.col("h1_a") == F.col("h1_b")) & (F.col("h2_a") < F.col("h2_b")))
+    entries = classes.select("h1", "sketch", "n", F.posexplode_outer("prefix").alias("pos", "word"))
+    a, b = (entries.select("word", *[F.col(c).alias(f"{c}_{side}") for c in ("h1", "sketch", "n", "pos")]) for side in "ab")
     length = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
     rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     position = rest * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
-    return a.join(b, "word").filter(ordered_pair & length & position).select("h1_a", "h2_a", "h1_b", "h2_b").distinct()
+    parity = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num)
+    return a.join(b, "word").filter((F.col("h1_a") < F.col("h1_b")) & length & position & parity).select("h1_a", "h1_b").distinct()
 
 
 def line_links(docs: DataFrame) -> DataFrame:
     """Verified pairs of different lines, ``(h1_a, h2_a, h1_b, h2_b)``, from ``docs(text)``."""
     num, den = THRESHOLD
     pairs = materialize(_candidates(docs))
-    sides = [pairs.select(F.col(f"h1_{s}").alias("h1"), F.col(f"h2_{s}").alias("h2")) for s in "ab"]
-    named = materialize(sides[0].unionByName(sides[1]).distinct())
+    named = materialize(pairs.select(F.col("h1_a").alias("h1")).unionByName(pairs.select(F.col("h1_b").alias("h1"))).distinct())
     wanted = _fixed_array(named.select(F.col("h1").alias("h")), F.least(F.col("n"), F.lit(1)).cast("int"))
     texts = (
-        _worded(docs).select(*_class(F.col("line")), "line").filter(_code_at(wanted, F.col("h1")) > 0)
-        .groupBy("h1", "h2", "line").agg(F.count("*").alias("copies")).drop("copies").join(named, ["h1", "h2"], "left_semi")
+        _worded(docs).filter(_code_at(wanted, F.xxhash64("line")) > 0).select(*_class(F.col("line")), "line")
+        .groupBy("h1", "h2", "line").agg(F.count("*").alias("copies")).drop("copies").join(named, "h1", "left_semi")
     )
     texts = materialize(texts.select("h1", "h2", F.array_distinct(words_of(F.col("line"))).alias("words")))
     full = pairs
     for s in "ab":
-        full = full.join(texts.select(F.col("h1").alias(f"h1_{s}"), F.col("h2").alias(f"h2_{s}"), F.col("words").alias(f"w_{s}")), [f"h1_{s}", f"h2_{s}"])
+        full = full.join(texts.select(F.col("h1").alias(f"h1_{s}"), F.col("h2").alias(f"h2_{s}"), F.col("words").alias(f"w_{s}")), f"h1_{s}")
     shared = F.size(F.array_intersect("w_a", "w_b"))
     union = F.size("w_a") + F.size("w_b") - shared
     return full.filter(shared * den >= union * num).select("h1_a", "h2_a", "h1_b", "h2_b")
