@@ -10,9 +10,11 @@ from pyspark.sql import SparkSession, functions as F
 
 from . import plans
 from .errors import ContractError
+from .functions.columns import path_error
 from .functions.restoring import Bicubic, load_model, model_table
+from .operators.checks import display_keys
 from .session import configure
-from .sinks import write_json, write_metrics
+from .sinks import guard_output, write_json, write_metrics
 from .sources import load_pairs, read_labels, read_manifest, read_pairs
 from .sources.images import load_npy
 
@@ -56,6 +58,9 @@ def run(spark: SparkSession, a: argparse.Namespace):
         return plans.assign_hash_holdout(spark, a.manifest, a.output, a.audit, a.fraction, a.seed, a.overwrite)
     if a.job == "texture-split":
         rows = read_manifest(spark, a.manifest, ("stem", "target_relpath", "texture_cluster", "split"))
+        unsafe = rows.filter(path_error("target_relpath").isNotNull())
+        if not unsafe.isEmpty():
+            raise ContractError("paths outside the dataset root: " + display_keys(unsafe, "target_relpath"))
         path = F.concat(F.lit(a.root.rstrip("/") + "/"), "target_relpath")
         read = rows.select("stem", path.alias("path")).withColumn("_npy", load_npy("path"))
         image = F.when(F.col("_npy.error").isNull(), F.col("_npy.image")).otherwise(
@@ -75,6 +80,8 @@ def run(spark: SparkSession, a: argparse.Namespace):
         model_table(spark, model).write.mode("overwrite" if a.overwrite else "errorifexists").parquet(a.output)
         return {"model": a.output}
     if a.job == "evaluate":
+        guard_output(a.metrics, a.overwrite)
+        guard_output(a.summary, a.overwrite, directory=False)
         labels, digest = (None, None) if a.manifest is None else read_labels(spark, a.manifest)
         metrics, summary = plans.evaluate_files(
             spark, a.input_dir, a.target_dir, _predictor(spark, a.model), labels,
@@ -87,7 +94,7 @@ def run(spark: SparkSession, a: argparse.Namespace):
     bad = plans.verify_outputs(spark, a.input_dir, a.output_dir, a.expected)
     shown = [r.asDict() for r in bad.orderBy("relpath").limit(20).collect()]
     if shown:
-        raise ContractError(json.dumps(shown))
+        raise ContractError(json.dumps({"violations": bad.count(), "first": shown}))
     return {"passed": True}
 
 

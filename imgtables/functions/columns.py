@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import posixpath
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -66,23 +65,26 @@ def casefold_key(col) -> Column:
     return _casefold(_c(col))
 
 
-def _refusal(text: str) -> str | None:
-    if text.startswith("/"):
-        return "path must be relative"
-    clean = posixpath.normpath(text) if text else ""
-    if not clean or clean == ".":
-        return "path is empty"
-    return "path escapes the dataset root" if clean.split("/")[0] == ".." else None
-
-
-@F.arrow_udf(T.StringType())
-def _path_error(values: pa.Array) -> pa.Array:
-    return pa.array([_refusal(v or "") for v in values.to_pylist()], pa.string())
-
-
 def path_error(col) -> Column:
-    """NULL for a safe relative path, else the reason it is refused."""
-    return _path_error(_c(col))
+    """NULL for a safe relative path, else the reason it is refused.
+
+    A path escapes if it ever climbs above its root, counted step by step without the parts
+    that name the same folder.
+    """
+    text = F.coalesce(_c(col), F.lit(""))
+    steps = F.filter(F.split(text, "/"), lambda p: (p != "") & (p != "."))
+    # depth so far and how far it has ever been below zero; a climb above the root stays above it
+    walk = F.aggregate(
+        steps, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("above")),
+        lambda s, p: F.when(p != "..", F.struct((s["depth"] + 1).alias("depth"), s["above"].alias("above")))
+        .when(s["depth"] > 0, F.struct((s["depth"] - 1).alias("depth"), s["above"].alias("above")))
+        .otherwise(F.struct(s["depth"].alias("depth"), (s["above"] + 1).alias("above"))),
+    )
+    return (
+        F.when(text.startswith("/"), "path must be relative")
+        .when(walk["above"] > 0, "path escapes the dataset root")
+        .when(walk["depth"] == 0, "path is empty")
+    )
 
 
 # --- text and digests --------------------------------------------------------

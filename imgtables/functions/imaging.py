@@ -61,7 +61,10 @@ def image_array(images: list, dtype=np.float32) -> pa.StructArray:
     shapes = np.array([(0, 0) if im is None else im.shape for im in images], dtype=np.int32)
     shapes = shapes.reshape(-1, 2)
     sizes = shapes[:, 0].astype(np.int64) * shapes[:, 1]
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    ends = np.cumsum(sizes)
+    if len(ends) and ends[-1] > np.iinfo(np.int32).max:
+        raise ValueError(f"{ends[-1]} pixels in one Arrow batch; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
     flat = [np.asarray(im, dtype=dtype).ravel() for im in images if im is not None]
     values = np.concatenate(flat) if flat else np.empty(0, dtype)
     pixels = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))

@@ -7,14 +7,15 @@ not depend on row order, partitioning or task retries.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..errors import ContractError
+from ..session import materialize
 from .quantiles import exact_quantiles
 
 
@@ -33,6 +34,7 @@ def robust_scale(df: DataFrame, cols):
     return scaled, centre, scale
 
 
+UNIT = 2.0**-30  # step of the grid the points lie on, the same for every table; larger than 2**32 is an error
 _ROWS_PER_TASK = 50_000  # narrow rows; fewer would only add task overhead per iteration
 _ROWS_PER_CALL = 16_384  # Arrow batches are short for images; points are taken in longer runs
 _DRIVER_SUM_ROWS = 100_000  # points up to which the batches' partial sums go straight to the driver
@@ -73,14 +75,12 @@ class _Points:
 
     def __init__(self, df: DataFrame, cols, key: str):
         self.key, self.dims = key, len(cols)
-        reach = df.agg(F.count("*").alias("n"), F.max(F.greatest(*[F.abs(c) for c in cols], F.lit(1e-9))).alias("m")).first()
-        self.n = reach["n"]
-        bits = 62 - math.ceil(math.log2(max(self.n, 2))) - math.ceil(math.log2(max(reach["m"], 1.0)) + 1)
-        self.unit = 2.0 ** -min(bits, 40)
+        self.n = df.count()
+        self.unit = UNIT
         grid = F.array(*[F.round(F.col(c) / F.lit(self.unit)).cast("bigint") for c in cols])
-        self.table = df.select(
+        self.table = materialize(df.select(
             F.col(key).cast("string").alias("_id"), F.xxhash64(key).alias("_key"), grid.alias("_x")
-        ).coalesce(max(1, -(-self.n // _ROWS_PER_TASK)))
+        ).coalesce(max(1, -(-self.n // _ROWS_PER_TASK))))
 
     def run(self, visit, ddl: str) -> DataFrame:
         """Apply ``visit(ids, keys, integer points) -> pandas`` to runs of Arrow batches."""
@@ -146,8 +146,10 @@ def kmeans(df: DataFrame, cols, k: int, seed: int = 2026, restarts: int = 8, max
            key: str = "stem", engine: str = "exact") -> Clustering:
     """Lloyd's algorithm from several seedings; the lowest inertia (first on ties) wins.
 
-    ``df`` should be materialised: each iteration reads it once. Per batch only partial
-    sums leave the tasks, and only ``restarts x k`` rows reach the driver.
+    Points lie on a fixed grid of 2**-30 and are added exactly, so neither the number of rows,
+    nor an outlier, nor the order of the sums can change a label. The grid points are stored
+    once and each iteration reads them once. Per batch only partial sums leave the tasks, and
+    only ``restarts x k`` rows reach the driver. A restart ends when its centres repeat.
     """
     if k < 1:
         raise ContractError("k must be at least 1")
@@ -158,7 +160,6 @@ def kmeans(df: DataFrame, cols, k: int, seed: int = 2026, restarts: int = 8, max
         raise ContractError(f"{k} clusters need at least as many rows, found {points.n}")
     unit, dims = points.unit, points.dims
     centres = _seed_centres(points, k, seed, restarts) * unit
-    previous: list = [None] * restarts
     active = list(range(restarts))
 
     def nearest(x, centre_set):
@@ -166,31 +167,29 @@ def kmeans(df: DataFrame, cols, k: int, seed: int = 2026, restarts: int = 8, max
         return d2.argmin(axis=1), d2
 
     for step in range(max_iter):
-        now, before, live = centres.copy(), list(previous), list(active)
+        now, live = centres.copy(), list(active)
 
-        def visit(ids, keys, x, now=now, before=before, live=live):
+        def visit(ids, keys, x, now=now, live=live):
             out = []
             scaled = x * unit
             for r in live:
-                a, d2 = nearest(scaled, now[r])
-                old = np.zeros(len(a), int) if before[r] is None else nearest(scaled, before[r])[0]
-                sums = np.zeros((k, dims), dtype=np.int64)
-                np.add.at(sums, a, x)
+                a, _ = nearest(scaled, now[r])
+                high, low = np.zeros((2, k, dims), dtype=np.int64)  # 32-bit halves cannot overflow within a batch
+                np.add.at(high, a, x >> 32)
+                np.add.at(low, a, x & 0xFFFFFFFF)
                 size = np.bincount(a, minlength=k)
-                moved = np.bincount(a, weights=a != old, minlength=k).astype(np.int64)
                 for c in np.flatnonzero(size):
-                    out.append((r, int(c), int(size[c]), int(moved[c]), sums[c].tolist()))
-            return pd.DataFrame(out, columns=["r", "c", "size", "moved", "sums"])
+                    exact = [Decimal((int(h) << 32) + int(s)) for h, s in zip(high[c], low[c])]
+                    out.append((r, int(c), int(size[c]), exact))
+            return pd.DataFrame(out, columns=["r", "c", "size", "sums"])
 
-        part = points.run(visit, "r int, c int, size bigint, moved bigint, sums array<bigint>")
+        part = points.run(visit, "r int, c int, size bigint, sums array<decimal(38,0)>")
         total = _add_up(part, points, dims)
         for r in live:
             rows = {c: row for (q, c), row in total.items() if q == r}
-            if not any(row["moved"] for row in rows.values()):
-                active.remove(r)
-                continue
-            previous[r] = now[r]
             centres[r] = _updated(points, rows, now[r], k, nearest)
+            if np.array_equal(centres[r], now[r]):
+                active.remove(r)
         if not active:
             break
 
@@ -213,15 +212,14 @@ def _add_up(part: DataFrame, points: _Points, dims: int) -> dict:
     """
     if points.n > _DRIVER_SUM_ROWS:
         part = part.groupBy("r", "c").agg(
-            F.sum("size").alias("size"), F.sum("moved").alias("moved"),
+            F.sum("size").alias("size"),
             F.array(*[F.sum(F.col("sums")[j]) for j in range(dims)]).alias("sums"),
         )
     total: dict = {}
     for row in part.collect():
-        at = total.setdefault((row["r"], row["c"]), {"size": 0, "moved": 0, "sums": np.zeros(dims, dtype=object)})
+        at = total.setdefault((row["r"], row["c"]), {"size": 0, "sums": np.zeros(dims, dtype=object)})
         at["size"] += row["size"]
-        at["moved"] += row["moved"]
-        at["sums"] = at["sums"] + np.array(row["sums"], dtype=object)
+        at["sums"] = at["sums"] + np.array([int(s) for s in row["sums"]], dtype=object)
     return total
 
 

@@ -49,6 +49,14 @@ def sorted_quantiles(value: Column, probs, kind: str = "linear") -> Column:
     return let(F.array_sort(F.collect_list(value)), read)
 
 
+def join_groups(left: DataFrame, right: DataFrame, names, how: str = "inner", broadcast: bool = False) -> DataFrame:
+    """Join on group keys that may be NULL: a NULL key is a group like any other."""
+    renamed = right.withColumnsRenamed({n: f"_r_{n}" for n in names})
+    same = [F.col(n).eqNullSafe(F.col(f"_r_{n}")) for n in names]
+    joined = left.join(F.broadcast(renamed) if broadcast else renamed, same, how)
+    return joined.drop(*[f"_r_{n}" for n in names])
+
+
 def group_sizes(rows: DataFrame, names) -> tuple[int, int]:
     """Largest group and number of groups: the two facts every strategy choice needs."""
     row = rows.groupBy(*names).agg(F.count("*").alias("n")).agg(
@@ -97,9 +105,7 @@ def _bracketed(rows: DataFrame, names, probs, kind: str, groups: int) -> DataFra
         )
 
     spans = sketch.select(*names, "n", F.inline(F.array(*[span(i, p) for i, p in enumerate(probs)])))
-    if groups <= SMALL_GROUPS:
-        spans = F.broadcast(spans)
-    joined = rows.join(spans, names)
+    joined = join_groups(rows, spans, names, broadcast=groups <= SMALL_GROUPS)
     inside = (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))
     # Values outside the bracket collapse into one NULL row per group and side count.
     counted = (

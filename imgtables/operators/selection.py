@@ -70,7 +70,11 @@ def hash_holdout(manifest: DataFrame, fraction: float = 0.15, seed: int = 2026)
         raise ContractError("fraction must lie strictly between 0 and 1")
     keyed = manifest.withColumn("_key", rank_key(F.trim("stem"), seed))
     ranked = keyed.select(F.lit(0).alias("_g"), "_key", F.trim("stem").alias("stem"))
-    quotas = ranked.groupBy("_g").agg(holdout_size(F.count("*"), fraction).alias("quota"))
+    count = F.count("*")
+    enough = F.when(count >= 2, holdout_size(count, fraction)).otherwise(
+        F.raise_error(F.lit("a holdout needs at least two rows")).cast("bigint")
+    )
+    quotas = ranked.groupBy("_g").agg(enough.alias("quota"))
     cut = _cutoffs(ranked, ["_g"], quotas).select(
         F.struct(F.col("_cut_key").alias("_key"), F.col("_cut_stem").alias("stem"))
     )
@@ -169,10 +173,10 @@ def first_n(df: DataFrame, n: int, key: str = "stem") -> DataFrame:
 
 
 def worst_k(metrics: DataFrame, k: int, metric: str = "psnr_db", tie: str = "stem") -> DataFrame:
-    """The ``k`` lowest-scoring rows for a report panel."""
+    """The ``k`` lowest-scoring rows for a report panel; rows without a finite score are no candidates."""
     if k < 1:
         raise ContractError("k must be at least 1")
-    return metrics.orderBy(metric, tie).limit(k)
+    return metrics.filter(is_finite(metric)).orderBy(metric, tie).limit(k)
 
 
 def extremes(deltas: DataFrame, keys, value: str = "delta_psnr_db", label: str = "relative_path") -> DataFrame:

@@ -10,7 +10,7 @@ from ..errors import ContractError
 from ..functions.columns import better, hash_uniform, is_finite
 from ..schema import METRICS, RANKED_METRICS
 from ..session import materialize
-from .quantiles import BUFFER_ROWS, SMALL_GROUPS, exact_quantiles, group_sizes, sorted_quantiles
+from .quantiles import BUFFER_ROWS, SMALL_GROUPS, exact_quantiles, group_sizes, join_groups, sorted_quantiles
 from .selection import global_rank, worst_fraction
 
 NUMPY_ROWS = 100_000  # largest group that is resampled row by row in one task
@@ -23,10 +23,11 @@ def long_metrics(df: DataFrame, keys, metrics) -> DataFrame:
     return df.select(*keys, F.inline(F.array(*values)))
 
 
-def finite_summary(df: DataFrame, keys, metrics=METRICS) -> DataFrame:
+def finite_summary(df: DataFrame, keys, metrics=METRICS, buffer_rows: int = BUFFER_ROWS) -> DataFrame:
     """``keys, metric, count, mean, median, finite_count, missing_count``.
 
-    Infinite and missing values are counted but excluded from mean and median.
+    Infinite and missing values are counted but excluded from mean and median. A NULL key is
+    a group of its own. ``buffer_rows`` only chooses how medians are found.
     """
     keys = list(keys)
     rows = long_metrics(df, keys, metrics)
@@ -39,15 +40,15 @@ def finite_summary(df: DataFrame, keys, metrics=METRICS) -> DataFrame:
         F.count(F.when(~finite, 1)).alias("missing_count"),
     ]
     largest, _ = group_sizes(df.select(*keys), keys)
-    if largest <= BUFFER_ROWS:
+    if largest <= buffer_rows:
         median = sorted_quantiles(F.when(finite, F.col("value")), [0.5])
         aggs.insert(2, F.get(median, F.lit(0)).alias("median"))
         return rows.groupBy(*names).agg(*aggs)
     moments = rows.groupBy(*names).agg(*aggs)
-    medians = exact_quantiles(rows.filter(finite), names, "value", [0.5]).select(
+    medians = exact_quantiles(rows.filter(finite), names, "value", [0.5], buffer_rows=buffer_rows).select(
         *names, F.element_at("q", 1).alias("median")
     )
-    joined = moments.join(medians, names, "left")
+    joined = join_groups(moments, medians, names, "left")
     return joined.select(*names, "count", "mean", "median", "finite_count", "missing_count")
 
 
@@ -98,6 +99,7 @@ def bootstrap_poisson(df: DataFrame, keys, metrics, samples: int, seed: int, key
 
     Every row meets every replicate in place and partial sums combine map-side, so groups
     of any size and skew take one narrow pass plus a shuffle of ``groups x samples`` rows.
+    Weights stop at 9, which cuts 1.1e-7 of the Poisson(1) mass.
     """
     keys = list(keys)
     values = [F.when(is_finite(m), F.col(m).cast("double")).alias(m) for m in metrics]
@@ -121,7 +123,7 @@ def bootstrap_index(df: DataFrame, keys, metrics, samples: int, seed: int, key:
     starts = ranked.groupBy(*keys).agg(F.min("_rank").alias("_start"), F.count("*").alias("_n"))
     if keys:
         _, groups = group_sizes(df.select(*keys), keys)
-        placed = ranked.join(F.broadcast(starts) if groups <= SMALL_GROUPS else starts, keys)
+        placed = join_groups(ranked, starts, keys, broadcast=groups <= SMALL_GROUPS)
     else:
         placed = ranked.withColumn("_start", F.lit(0)).withColumn("_n", starts.select("_n").scalar())
     placed = materialize(placed.withColumn("_i", F.col("_rank") - F.col("_start")).drop("_rank", "_start", key))
@@ -130,7 +132,7 @@ def bootstrap_index(df: DataFrame, keys, metrics, samples: int, seed: int, key:
     counted = draws.select(*keys, "_b", F.floor(hash_uniform(text) * F.col("_n")).alias("_i")).groupBy(
         *keys, "_b", "_i"
     ).agg(F.count("*").alias("_w"))
-    sums = counted.join(placed.drop("_n"), [*keys, "_i"]).groupBy(*keys, "_b").agg(*_weighted_sums(metrics))
+    sums = join_groups(counted, placed.drop("_n"), [*keys, "_i"]).groupBy(*keys, "_b").agg(*_weighted_sums(metrics))
     return _interval(sums, keys, metrics)
 
 
@@ -179,22 +181,22 @@ def bootstrap_ci(df: DataFrame, keys, metrics=METRICS, samples: int = 1000, seed
                  method: str = "poisson", key: str = "stem") -> DataFrame:
     """95 % interval of each mean: ``keys, metric, ci_lo, ci_hi``; ``samples=0`` gives NULLs.
 
-    ``numpy`` reproduces a seeded row-by-row stream and refuses groups above
-    ``NUMPY_ROWS``; ``poisson`` has no size limit; ``auto`` takes the first when it fits;
-    ``index`` draws exactly ``n`` hashed positions per replicate.
+    The caller chooses the method; it never depends on the table's size. ``poisson`` has no
+    size limit; ``index`` draws exactly ``n`` hashed positions per replicate; ``numpy``
+    reproduces a seeded row-by-row stream in one task per group, is meant for small tables
+    and refuses groups above ``NUMPY_ROWS``.
     """
     keys = list(keys)
     if samples == 0:
         null = F.lit(None).cast("double")
         return finite_summary(df, keys, metrics).select(*keys, "metric", null.alias("ci_lo"), null.alias("ci_hi"))
-    if method in ("numpy", "auto"):
+    if method == "numpy":
         largest, _ = group_sizes(df.select(*keys), keys)
-        if largest <= NUMPY_ROWS:
-            seeded = df if "_seed" in df.columns else df.withColumn("_seed", F.lit(seed))
-            return bootstrap_numpy(seeded, keys, metrics, samples, key=key)
-        if method == "numpy":
+        if largest > NUMPY_ROWS:
             raise ContractError(f"group of {largest} rows is too large for method='numpy'; use 'poisson'")
-    elif method == "index":
+        seeded = df if "_seed" in df.columns else df.withColumn("_seed", F.lit(seed))
+        return bootstrap_numpy(seeded, keys, metrics, samples, key=key)
+    if method == "index":
         return bootstrap_index(df, keys, metrics, samples, seed, key)
     elif method != "poisson":
         raise ValueError(f"unknown bootstrap method {method!r}")
@@ -202,53 +204,54 @@ def bootstrap_ci(df: DataFrame, keys, metrics=METRICS, samples: int = 1000, seed
 
 
 def summarize(df: DataFrame, keys, metrics=METRICS, samples: int = 0, seed: int = 2026,
-              method: str = "auto", key: str = "stem") -> DataFrame:
+              method: str = "poisson", key: str = "stem") -> DataFrame:
     """:func:`finite_summary` with interval columns ``ci_lo, ci_hi``."""
     keys = list(keys)
     table = finite_summary(df, keys, metrics)
     if samples == 0:
         null = F.lit(None).cast("double")
         return table.withColumn("ci_lo", null).withColumn("ci_hi", null)
-    return table.join(bootstrap_ci(df, keys, metrics, samples, seed, method, key), [*keys, "metric"], "left")
+    intervals = bootstrap_ci(df, keys, metrics, samples, seed, method, key)
+    return join_groups(table, intervals, [*keys, "metric"], "left")
 
 
 # --- scopes ------------------------------------------------------------------------------
 
 
-def _indexed_seed(df: DataFrame, column: str, base: int) -> Column:
-    """Seed of each label: ``base + 100 * position`` among the sorted labels."""
-    labels = sorted(r[0] for r in df.select(column).distinct().limit(10_001).collect())
-    if len(labels) > 10_000:
-        raise ContractError(f"too many distinct values of {column} for per-group seeds")
-    seeds = F.create_map(*[x for i, s in enumerate(labels, 1) for x in (F.lit(s), F.lit(base + 100 * i))])
-    return seeds[F.col(column)]
+def _with_seeds(df: DataFrame, column: str, base: int, out: str) -> DataFrame:
+    """Add each label's seed: ``base + 100 * position`` among the sorted labels, counted from 1."""
+    positions = global_rank(df.select(column).distinct(), column)
+    return join_groups(df, positions.select(column, (base + 100 * (F.col("_rank") + 1)).alias(out)), [column])
 
 
 def scope_rows(metrics: DataFrame, groups=("split", "texture_cluster"), seed: int | None = None,
                worst: bool = True) -> DataFrame:
     """Metric rows once per scope: all, one per grouping column, and the worst decile."""
     def entry(scope, group, number):
-        return F.struct(F.lit(scope).alias("scope"), group.alias("group_key"), number.alias("_seed"))
+        return F.struct(F.lit(scope).alias("scope"), group.alias("group_key"), number.cast("bigint").alias("_seed"))
 
     base = 0 if seed is None else seed
     entries = [entry("all", F.lit(""), F.lit(base))]
+    rows = metrics
     for position, column in enumerate(groups):
-        number = F.lit(0) if seed is None else _indexed_seed(metrics, column, base + 1000 * position)
-        entries.append(entry(f"by_{column}", F.col(column), number))
-    rows = metrics.select("*", F.inline(F.array(*entries)))
+        number = F.lit(0)
+        if seed is not None:
+            rows, number = _with_seeds(rows, column, base + 1000 * position, f"_seed_{column}"), F.col(f"_seed_{column}")
+        entries.append(entry(f"by_{column}", F.col(column), number.cast("bigint")))
+    rows = rows.select("*", F.inline(F.array(*entries))).drop(*[f"_seed_{c}" for c in groups])
     if worst:
         tail = worst_fraction(metrics).select(
             "*", F.lit("worst_psnr_decile").alias("scope"), F.lit("").alias("group_key"),
-            F.lit(base + 10_000).alias("_seed"),
+            F.lit(base + 10_000).cast("bigint").alias("_seed"),
         )
         rows = rows.unionByName(tail)
     return rows
 
 
 def summarize_scopes(metrics: DataFrame, names=METRICS, groups=("split", "texture_cluster"),
-                     samples: int = 0, seed: int = 2026, method: str = "auto") -> DataFrame:
+                     samples: int = 0, seed: int = 2026, method: str = "poisson") -> DataFrame:
     """Long summary over ``{all}``, each grouping column and the worst PSNR decile."""
-    seeded = samples > 0 and method in ("auto", "numpy")
+    seeded = samples > 0 and method == "numpy"
     rows = scope_rows(metrics, groups, seed if seeded else None)
     return summarize(rows, ["scope", "group_key"], names, samples, seed, method)
 
@@ -276,7 +279,7 @@ def paired_deltas(metrics: DataFrame, baseline: str, candidate: str, names=RANKE
 
 
 def paired_summary(deltas: DataFrame, keys=("severity",), names=RANKED_METRICS, samples: int = 0,
-                   seed: int = 2026, method: str = "auto", key: str = "relative_path") -> DataFrame:
+                   seed: int = 2026, method: str = "poisson", key: str = "relative_path") -> DataFrame:
     """Per group and metric: delta summary and win rate over pairs with both values."""
     keys = list(keys)
     renamed = deltas.select(
@@ -292,4 +295,4 @@ def paired_summary(deltas: DataFrame, keys=("severity",), names=RANKED_METRICS,
     ]
     grouped = deltas.groupBy(*keys).agg(F.array(*rates).alias("r"))
     wins = grouped.select(*keys, F.inline("r"))
-    return table.join(wins, [*keys, "metric"])
+    return join_groups(table, wins, [*keys, "metric"])

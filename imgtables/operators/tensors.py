@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..errors import ContractError
 from ..functions.pixels import max_abs_difference, validation_psnr_from_mse
-from .quantiles import exact_quantiles
+from .quantiles import BUFFER_ROWS, exact_quantiles, join_groups
 
 _BLOCK = 65_536  # steps per block of a running aggregate
 
@@ -19,7 +19,8 @@ def compare_tensors(a: DataFrame, b: DataFrame) -> DataFrame:
     error = F.when(
         F.col("_a_dtype").isNull() | F.col("_b_dtype").isNull(), F.lit("tensor keys differ")
     ).when(
-        (F.col("_a_dtype") != F.col("_b_dtype")) | (F.col("_a_shape") != F.col("_b_shape")),
+        (F.col("_a_dtype") != F.col("_b_dtype")) | (F.col("_a_shape") != F.col("_b_shape"))
+        | ~F.size("_a_values").eqNullSafe(F.size("_b_values")),
         F.lit("tensor metadata differs"),
     )
     diff = F.when(error.isNull(), max_abs_difference("_a_values", "_b_values"))
@@ -64,7 +65,7 @@ def _running(df: DataFrame, value: str, agg, out: str, keys, order: str, inclusi
     return (
         df.withColumn("_blk", F.floor(F.col(order) / F.lit(_BLOCK)))
         .withColumn("_inner", inner)
-        .join(carry, [*keys, "_blk"])
+        .transform(lambda rows: join_groups(rows, carry, [*keys, "_blk"]))
         .withColumn(out, join("_inner", "_carry"))
         .drop("_blk", "_inner", "_carry")
     )
@@ -108,16 +109,14 @@ def validation_psnr(df: DataFrame, mse_col: str = "mse", floor: float = 1e-12, k
 # --- timings ---------------------------------------------------------------------------
 
 
-def latency_summary(samples: DataFrame, keys=("run",), value: str = "ms", batch_col: str = "batch") -> DataFrame:
-    """Mean and nearest-rank median, p90, p95 per run, and images per second."""
+def latency_summary(samples: DataFrame, keys=("run",), value: str = "ms", batch_col: str = "batch",
+                    buffer_rows: int = BUFFER_ROWS) -> DataFrame:
+    """Mean and nearest-rank median, p90, p95 per run, and images per second; a NULL run is a run."""
     keys = list(keys)
-    q = exact_quantiles(samples, keys, value, [0.5, 0.9, 0.95], kind="nearest")
+    q = exact_quantiles(samples, keys, value, [0.5, 0.9, 0.95], kind="nearest", buffer_rows=buffer_rows)
     base = samples.groupBy(*keys).agg(F.avg(value).alias("mean_ms"), F.max(batch_col).alias("batch"))
     named = q.select(*keys, "n", *[F.element_at("q", i).alias(a) for i, a in ((1, "median_ms"), (2, "p90_ms"), (3, "p95_ms"))])
-    return base.join(named, keys).withColumn(
+    return join_groups(base, named, keys).withColumn(
         "images_per_second", F.col("batch") * F.lit(1000.0) / F.col("median_ms")
     )
 
-
-def per_image_ms(elapsed_seconds: Column, images: Column) -> Column:
-    return elapsed_seconds * 1000.0 / images

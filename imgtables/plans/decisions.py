@@ -45,7 +45,7 @@ def gate_rows(summaries: DataFrame, id_psnr_tolerance: float = 0.15, id_ssim_tol
         "id_ssim_floor", floor_s
     )
     reason = F.format_string(
-        "OOD improved on %d/3 locked metrics; ID PSNR/SSIM deltas were %+.6f dB/%+.6f.",
+        "%d of 3 ranked metrics better out of distribution; in distribution PSNR moved %+.6f dB and SSIM %+.6f",
         "ood_metric_wins", "id_psnr_delta_db", "id_ssim_delta",
     )
     return decided.withColumn(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..errors import ContractError
 from ..functions.restoring import Bicubic, score, score_files, score_grid
 from ..operators.checks import require_count, require_unique_nonempty, select_splits
-from ..operators.pairing import attach_labels, pair_listings, require_known, small
+from ..operators.pairing import BROADCAST_ROWS, attach_labels, pair_listings, require_known
 from ..operators.summaries import paired_deltas, paired_summary, summarize, summarize_scopes
 from ..schema import METRIC_FIELDS, METRICS, SEVERITIES
 from ..session import materialize
@@ -19,17 +19,17 @@ def evaluate(pairs: DataFrame, predictor=None, labels: DataFrame | None = None,
              perceptual=None, input_col: str = "input", target_col: str = "target") -> DataFrame:
     """Per-image metric rows of paired image columns.
 
-    Labels are joined and filtered before prediction, so unselected pixels are not scored.
-    Up to a million labels are broadcast and the pixels stay where they are; beyond that,
-    store the labels with the pairs or use :func:`evaluate_files`.
+    Pixels are never shuffled. Up to a million labels are broadcast, and images of other splits
+    are not scored; more labels join the narrow score rows, and the split filter follows.
     """
-    labels = None if labels is None else small(labels)
+    made = score(input_col, target_col, predictor or Bicubic(), perceptual).alias("m")
+    if labels is not None and labels.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        scored = pairs.select("stem", made).select("stem", "m.*")
+        return select_splits(attach_labels(scored, labels), splits).select(*METRIC_FIELDS)
+    labels = None if labels is None else F.broadcast(labels)
     labelled = attach_labels(pairs, labels) if labels is not None or "split" not in pairs.columns else pairs
-    chosen = select_splits(labelled, splits)
-    scored = chosen.select(
-        "stem", "split", "texture_cluster", score(input_col, target_col, predictor or Bicubic(), perceptual).alias("m")
-    )
-    return scored.select("stem", "split", "texture_cluster", "m.*").select(*METRIC_FIELDS)
+    chosen = select_splits(labelled, splits).select("stem", "split", "texture_cluster", made)
+    return chosen.select("stem", "split", "texture_cluster", "m.*").select(*METRIC_FIELDS)
 
 
 def evaluate_files(spark: SparkSession, input_dir: str, target_dir: str, predictor=None,
@@ -44,7 +44,7 @@ def evaluate_files(spark: SparkSession, input_dir: str, target_dir: str, predict
     sides = []
     for root in (input_dir, target_dir):
         sides.append(list_files(spark, root).filter(~F.col("ignored")))
-    joined = pair_listings(*sides)
+    joined = materialize(pair_listings(*sides))  # names only; checks and scoring read it again
     if labels is not None:
         require_known(joined, labels)
     chosen = select_splits(attach_labels(joined, labels), splits)
@@ -58,12 +58,13 @@ def evaluate_files(spark: SparkSession, input_dir: str, target_dir: str, predict
 
 
 def summary_document(summary: DataFrame, pair_count: int, **extra) -> dict:
-    """Nested report of a long summary (a few rows per scope)."""
-    rows = summary.limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ContractError("summary has too many groups for one JSON document")
+    """Nested report of a long summary, for callers whose groups fit one document.
+
+    The long summary is the result of an evaluation; this form is built from its rows on the
+    driver, one row per scope, group and metric.
+    """
     nested: dict = {"all": {}, "worst_psnr_decile": {}}
-    for r in rows:
+    for r in summary.toLocalIterator():
         place = nested.setdefault(r["scope"], {})
         if r["scope"].startswith("by_"):
             place = place.setdefault(r["group_key"], {})
@@ -83,10 +84,11 @@ def severity_grid_eval(references: DataFrame, predictors: dict, severities: dict
     """``(rows, summary, paired)`` over reference images, severities and methods.
 
     ``references`` holds ``relative_path``, ``defect_group`` and ``image``; the first
-    predictor is the baseline of the paired comparison. Each image is decoded once; keys
-    and counts are checked on the narrow score rows.
+    predictor is the baseline of the paired comparison. Keys and counts are checked before
+    any image is scored; each image is decoded once.
     """
     severities = severities or SEVERITIES
+    require_count(require_unique_nonempty(references.select("relative_path"), "relative_path"), expected, "images")
     grid = score_grid("image", "relative_path", severities, predictors, seed, perceptual)
     rows = materialize(
         references.select("relative_path", "defect_group", grid.alias("g")).select(
@@ -94,8 +96,6 @@ def severity_grid_eval(references: DataFrame, predictors: dict, severities: dict
         )
     )
     names = list(severities), list(predictors)
-    first = rows.filter((F.col("severity") == names[0][0]) & (F.col("method") == names[1][0]))
-    require_count(require_unique_nonempty(first, "relative_path"), expected, "images")
     base = F.lit(seed)
     for i, s in enumerate(names[0]):
         for j, m in enumerate(names[1]):

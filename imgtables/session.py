@@ -14,6 +14,7 @@ from .errors import ContractError
 # One image row is 64 KB to several MB, so Arrow batches are kept short. Bytes per
 # batch are bounded by Spark itself (spark.sql.execution.arrow.maxBytesPerBatch).
 ARROW_ROWS = "256"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -40,11 +41,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a Parquet table in the checkpoint folder.
 
     The table survives the loss of any executor, is computed once, and later reads prune
-    its columns and know its size.
+    its columns and know its size. Nothing reads its shuffle files after the write, so Spark
+    is told to remove them then.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..errors import ContractError
 from ..functions.columns import label_or_unassigned, path_error
 from ..operators.checks import require_unique_nonempty
-from ..schema import HISTORY_DDL, METRICS, PROFILE_DDL, text_schema
+from ..schema import HISTORY_DDL, MANIFEST_FIELDS, METRICS, PROFILE_DDL, text_schema
 from .images import read_bytes
 from .listing import list_files, spread
 
@@ -36,12 +36,18 @@ def read_manifest(spark: SparkSession, path: str, required=("stem", "split")) ->
     return require_unique_nonempty(rows, "stem")
 
 
-def select_pairs(manifest: DataFrame, split: str, files: DataFrame | None = None) -> DataFrame:
-    """Rows of one split with safe paths; with a listing, both files must exist in it."""
+def checked_pairs(manifest: DataFrame, split: str) -> DataFrame:
+    """Rows of one split with ``error``: NULL, or why one of the two paths is refused."""
     rows = manifest.filter(F.trim("split") == split).select(
         F.trim("stem").alias("stem"), "input_relpath", "target_relpath", F.lit(split).alias("split")
     )
-    checked = rows.withColumn("error", F.coalesce(path_error("input_relpath"), path_error("target_relpath")))
+    return rows.withColumn("error", F.coalesce(path_error("input_relpath"), path_error("target_relpath")))
+
+
+def select_pairs(manifest: DataFrame, split: str, files: DataFrame | None = None) -> DataFrame:
+    """Rows of one split with safe paths; with a listing, both files must exist in it."""
+    checked = checked_pairs(manifest, split)
+    rows = checked.drop("error")
     if files is not None:
         known = files.select("relpath")
         for side in ("input", "target"):
@@ -91,10 +97,15 @@ def label_columns(manifest: DataFrame) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str):
-    """Labels of a single-file manifest and the SHA-256 of that file."""
-    labels = label_columns(read_manifest(spark, path))
-    digest = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
-    return labels, digest
+    """Labels of a manifest and the content digest of all its rows.
+
+    The digest is that of ``dataset_digest`` over the manifest's columns, so it equals what the
+    manifest and split jobs record, however many part files hold the rows.
+    """
+    from ..sinks.writers import dataset_digest
+
+    rows = read_manifest(spark, path)
+    return label_columns(rows), dataset_digest(rows, fields=[f for f in MANIFEST_FIELDS if f in rows.columns])
 
 
 def _metric_ddl() -> str:

@@ -12,7 +12,7 @@ from imgtables.plans.manifest import dataset_audit
 from imgtables.plans.runs import output_violations
 from imgtables.sinks.writers import digest_rows, render_manifest, upserted
 from imgtables.sources.images import require_even
-from imgtables.sources.tables import label_columns, profile_error, summary_means, summary_schema
+from imgtables.sources.tables import checked_pairs, label_columns, profile_error, summary_means, summary_schema
 
 from .registry import query, r
 
@@ -60,9 +60,7 @@ def even_size_gate(v):
   CASE WHEN starts_with(target_relpath, '../') THEN 'path escapes the dataset root' END AS error
   FROM man WHERE trim(split) = 'train'""")
 def training_pairs_of_split(v):
-    rows = v.man.filter(F.trim("split") == "train").select("stem", "input_relpath", "target_relpath", F.lit("train").alias("split"))
-    error = F.coalesce(C.path_error("input_relpath"), C.path_error("target_relpath"))
-    return rows.withColumn("error", error)
+    return checked_pairs(v.man, "train")
 
 
 @query("label_reader", "man", """SELECT stem, coalesce(nullif(trim(split), ''), 'unassigned') AS split,

@@ -114,7 +114,7 @@ def bootstrap_interval_index(v):
 @query("bootstrap_interval_numpy")
 def bootstrap_interval_numpy(v):
     """Row-by-row seeded resampling per texture cluster (a NumPy stream, not SQL)."""
-    return summaries.bootstrap_ci(v.met, ["split", "texture_cluster"], ["psnr_db", "ssim"], samples=200, method="auto")
+    return summaries.bootstrap_ci(v.met, ["split", "texture_cluster"], ["psnr_db", "ssim"], samples=200, method="numpy")
 
 
 @query("severity_method_summary", "grid", f""", l AS (UNPIVOT (SELECT severity, method, psnr_db, ssim, coalesce(lpips_alex, 'nan'::DOUBLE) AS lpips_alex,
@@ -217,11 +217,43 @@ def validation_psnr(v):
     return tensors.validation_psnr(v.img.select(P.mse(P.clamp01("target"), flat).alias("mse")))
 
 
-@query("history_running_best", "hist", f"""SELECT step, {r("min(train_loss) OVER (ORDER BY step)")} AS best_train_loss,
-  coalesce(selected_val_psnr_db > max(selected_val_psnr_db) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+@query("history_running_best", "hist", f"""SELECT run, step, {r("min(train_loss) OVER (PARTITION BY run ORDER BY step)")} AS best_train_loss,
+  coalesce(selected_val_psnr_db > max(selected_val_psnr_db) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
     selected_val_psnr_db IS NOT NULL) AS is_new_best FROM hist""")
 def history_running_best(v):
-    return tensors.running_best(v.hist).select("step", "best_train_loss", "is_new_best")
+    return tensors.running_best(v.hist).select("run", "step", "best_train_loss", "is_new_best")
+
+
+_NULL_KEYS = """, q AS (SELECT CASE WHEN split <> 'val_ood' THEN split END AS split, psnr_db, ssim FROM met) """
+
+
+def _null_keys(v):
+    """A third of the rows has no key."""
+    return v.met.select(F.when(F.col("split") != "val_ood", F.col("split")).alias("split"), "psnr_db", "ssim")
+
+
+@query("null_key_quantiles", "met", _NULL_KEYS + f"""SELECT way, split, count(*) AS n, {r("quantile_cont(ssim, 0.1)")} AS low,
+  {r("quantile_cont(ssim, 0.5)")} AS middle FROM q, (VALUES ('sorted'), ('bracketed')) w(way) GROUP BY ALL""")
+def null_key_quantiles(v):
+    rows = materialize(_null_keys(v))
+    parts = [
+        exact_quantiles(rows, ["split"], "ssim", [0.1, 0.5], **how)
+        .select(F.lit(way).alias("way"), "split", "n", F.element_at("q", 1).alias("low"), F.element_at("q", 2).alias("middle"))
+        for way, how in (("sorted", {}), ("bracketed", {"buffer_rows": 0}))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query("null_key_summary", "met", _NULL_KEYS + f""", l AS (
+    SELECT split, 'psnr_db' AS metric, coalesce(psnr_db, 'nan'::DOUBLE) AS value FROM q UNION ALL SELECT split, 'ssim', ssim FROM q),
+  s AS ({_summary_sql("split", "l")}) SELECT way, s.* FROM s, (VALUES ('sorted'), ('bracketed')) w(way)""")
+def null_key_summary(v):
+    rows = materialize(_null_keys(v))
+    parts = [
+        summaries.finite_summary(rows, ["split"], ["psnr_db", "ssim"], **how).withColumn("way", F.lit(way))
+        for way, how in (("sorted", {}), ("bracketed", {"buffer_rows": 0}))
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 @query("history_report", "hist", f"""SELECT run, max(step) AS steps, {r("arg_min(train_loss, step)")} AS initial_train_loss,

@@ -45,16 +45,17 @@ class Views:
 
     @cached_property
     def img(self) -> DataFrame:
-        """Four consecutive vectors form one 16x16 target; the input is its noisy half size."""
+        """Four consecutive vectors form one 16x16 target, the last filled by repetition; the input is its noisy half size."""
         quads = (
             self.table("embeddings")
             .groupBy(F.floor(F.col("vec_id") / 4).alias("img"))
             .agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding", "label"))).alias("v"))
-            .filter(F.size("v") == 4)
         )
         vectors = F.flatten(F.transform("v", lambda s: s["embedding"]))
+        filled = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda p: F.get(F.col("e"), p % F.size("e")))
+        quads = quads.select("img", "v", vectors.alias("e"))
         target = F.transform(
-            vectors, lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.5) + 2.0 * x.cast("double")))
+            filled, lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.5) + 2.0 * x.cast("double")))
         )
 
         def noisy_half(target: Column) -> Column:
@@ -188,8 +189,8 @@ class Views:
         step = F.col("event_id")
         raw = F.when(step % 25 == 0, 20.0 + 5.0 * u("raw:", step))
         ema = F.when((step % 25 == 0) & (step % 50 != 0), 20.0 + 5.0 * u("ema:", step))
-        return self.table("events").filter("event_type = 'click'").select(
-            F.lit("r").alias("run"), step.alias("step"), F.col("value").alias("train_loss"),
+        return self.table("events").select(
+            F.col("event_type").alias("run"), step.alias("step"), F.col("value").alias("train_loss"),
             raw.alias("raw_val_psnr_db"), ema.alias("ema_val_psnr_db"),
             F.greatest(raw, ema).alias("selected_val_psnr_db"),
         )
@@ -212,9 +213,9 @@ SQL = {
     "img": f"""img AS (
   WITH q AS (SELECT vec_id // 4 AS img, flatten(list(embedding ORDER BY vec_id)) AS e,
                     first(label ORDER BY vec_id) AS source_group
-             FROM embeddings GROUP BY 1 HAVING count(*) = 4),
-       t AS (SELECT img, source_group, list_transform(e, lambda x:
-               greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE + 2.0::DOUBLE * x::DOUBLE))) AS target FROM q)
+             FROM embeddings GROUP BY 1),
+       t AS (SELECT img, source_group, list_transform(range(256), lambda p:
+               greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE + 2.0::DOUBLE * e[p % len(e) + 1]::DOUBLE))) AS target FROM q)
   SELECT lpad(img::VARCHAR, 6, '0') AS stem, source_group, 8 AS in_h, 8 AS in_w, 16 AS tg_h, 16 AS tg_w,
          list_transform(range(64), lambda p:
            (target[(p // 8) * 32 + (p % 8) * 2 + 1] + target[(p // 8) * 32 + (p % 8) * 2 + 2]
@@ -291,8 +292,8 @@ SQL = {
   WITH h AS (SELECT event_id AS step, value AS train_loss,
     CASE WHEN event_id % 25 = 0 THEN 20.0::DOUBLE + 5.0::DOUBLE * {sql_u("'raw:' || event_id")} END AS raw_val_psnr_db,
     CASE WHEN event_id % 25 = 0 AND event_id % 50 <> 0 THEN 20.0::DOUBLE + 5.0::DOUBLE * {sql_u("'ema:' || event_id")} END AS ema_val_psnr_db
-    FROM events WHERE event_type = 'click')
-  SELECT 'r' AS run, *, greatest(raw_val_psnr_db, ema_val_psnr_db) AS selected_val_psnr_db FROM h)""",
+    , event_type AS run FROM events)
+  SELECT *, greatest(raw_val_psnr_db, ema_val_psnr_db) AS selected_val_psnr_db FROM h)""",
     "tens": """tens AS (SELECT run, 't' || lpad(vec_id::VARCHAR, 6, '0') AS tensor, vec_id,
   list_transform(embedding, lambda x: x::DOUBLE + CASE WHEN run = 'b' AND vec_id % 50 = 0
     THEN 0.001::DOUBLE * (vec_id % 7) ELSE 0.0::DOUBLE END) AS vals
