@@ -1,18 +1,21 @@
 """Removal of repeated lines by an exact set-similarity join.
 
 Method: a line is the set of its words; two lines match at a Jaccard similarity of at least
-``threshold``. Words are ordered by rarity, counted over the whole corpus. Matching sets share a
+``THRESHOLD``. Words are ordered by rarity, counted over the whole corpus. Matching sets share a
 word among their rarest ``n - ceil(t * n) + 1`` (prefix filter), their sizes differ by at most the
 factor ``t`` (length filter), the words that follow the shared one must suffice for the overlap
 (positional filter), and 64-bit parity sketches of the sets differ in no more bits than matching
 sets may differ in words. Candidates are verified on the words themselves. A line goes if any
 earlier line matches it, earlier by id and then by line number, judged on the input.
 
-Equal lines are one class from the start and are combined map-side, so neither a line that a
-third of all documents have nor its copies meet in one task. Only links between different lines
-are formed. Everything is DataFrame code. Two fixed-size arrays travel with the plans as scalar
-subqueries: the rarity of word hashes (``2**RARITY_BITS`` bytes) and a filter of candidate lines;
-both cover all data, and a collision in them costs time but changes no result.
+One earlier match is enough, so a group of near copies is not expanded into all its pairs: each
+line first meets the earliest line of each of its shared prefix words, which settles almost all
+members of such groups; only lines that are still unsettled meet all other lines that share a
+prefix word. Equal lines are one class from the start and are combined map-side, so neither a
+line that a third of all documents have nor its copies meet in one task. Everything is DataFrame
+code. Two fixed-size arrays travel with the plans as scalar subqueries: the rarity of word hashes
+(``2**RARITY_BITS`` bytes) and a filter of candidate lines; both cover all data, and a collision
+in them costs time but changes no result.
 """
 
 from __future__ import annotations
@@ -79,16 +82,13 @@ def _prefix_size(n: Column) -> Column:
     return (n - F.floor((n * num + (den - 1)) / den) + 1).cast("int")
 
 
-def _worded(docs: DataFrame) -> DataFrame:
-    """``(line)`` of all lines with a word."""
-    return docs.select(F.explode(lines_of(F.col("text"))).alias("line")).filter(F.trim("line") != "")
+def _classes(lines: DataFrame) -> DataFrame:
+    """Distinct lines of ``lines(line, key)`` in order of first appearance.
 
-
-def _candidates(docs: DataFrame) -> DataFrame:
-    """Distinct pairs of line hashes, ``(h1_a, h1_b)``, that pass the filters."""
-    num, den = THRESHOLD
+    Columns: id (grows with ``first``), h1, h2, sketch, n, prefix (word ids, rarest first), first.
+    """
     # The empty string between two blanks is counted too, in a slot that no word needs for itself.
-    words = docs.select(F.explode(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    words = lines.select(F.explode(F.split("line", " ")).alias("w"))
     # quarter powers of two up to 2**31 occurrences: 0 to 124
     rarity = _fixed_array(
         words.select(F.xxhash64("w").alias("h")), F.least(F.lit(124), F.floor(F.log2(F.greatest(F.col("n"), F.lit(1))) * 4)).cast("int")
@@ -96,8 +96,8 @@ def _candidates(docs: DataFrame) -> DataFrame:
     every = F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)))
     # The generator pins the hashes, so that they are computed once; above it, Catalyst folds the
     # named subquery into the one expression that reads it, so that no row carries the array.
-    pinned = _worded(docs).select(F.inline(F.array(F.struct(
-        F.xxhash64("line").alias("h1"), F.array_remove(every, F.xxhash64(F.lit(""))).alias("hashes")
+    pinned = lines.select("key", F.inline(F.array(F.struct(
+        *_class(F.col("line")), F.array_remove(every, F.xxhash64(F.lit(""))).alias("hashes")
     ))))
     ordered = F.sort_array(F.transform(
         "hashes", lambda h: F.shiftleft(_code_at(F.col("rarity"), h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
@@ -105,91 +105,98 @@ def _candidates(docs: DataFrame) -> DataFrame:
     one = F.lit(1).cast("long")
     sketch = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int"))))
     n = F.size("hashes")
-    classes = (
+    classes = materialize(
         pinned.select("*", rarity.alias("rarity"))
-        .select("h1", sketch.alias("sketch"), n.alias("n"), F.slice(ordered, 1, _prefix_size(n)).alias("prefix"))
-        .groupBy("h1", "sketch", "n", "prefix").agg(F.count("*").alias("copies"))
+        .select("key", "h1", "h2", sketch.alias("sketch"), n.alias("n"), F.slice(ordered, 1, _prefix_size(n)).alias("prefix"))
+        .groupBy("h1", "h2", "sketch", "n", "prefix").agg(F.min("key").alias("first"))
     )
-    # A prefix is never empty; the outer form only keeps Catalyst from computing it a second time in a filter.
-    entries = classes.select("h1", "sketch", "n", F.posexplode_outer("prefix").alias("pos", "word"))
-    a, b = (entries.select("word", *[F.col(c).alias(f"{c}_{side}") for c in ("h1", "sketch", "n", "pos")]) for side in "ab")
-    length = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
-    rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    position = rest * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
-    parity = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num)
-    return a.join(b, "word").filter((F.col("h1_a") < F.col("h1_b")) & length & position & parity).select("h1_a", "h1_b").distinct()
+    ranged = classes.repartitionByRange("first").sortWithinPartitions("first")
+    return materialize(ranged.withColumn("id", F.monotonically_increasing_id()))
 
 
-def line_links(docs: DataFrame) -> DataFrame:
-    """Verified pairs of different lines, ``(h1_a, h2_a, h1_b, h2_b)``, from ``docs(text)``."""
+def _matching(pairs: DataFrame, classes: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(id)`` of classes ``b`` that match their earlier class ``a``, of ``pairs(a, b)``."""
     num, den = THRESHOLD
-    pairs = materialize(_candidates(docs))
-    named = materialize(pairs.select(F.col("h1_a").alias("h1")).unionByName(pairs.select(F.col("h1_b").alias("h1"))).distinct())
+    facts = classes.select("id", "h1", "h2", "sketch", "n", "first")
+    for s in "ab":
+        pairs = pairs.join(facts.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("h1", "h2", "sketch", "n", "first")]), s)
+    length = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
+    parity = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num)
+    close = materialize(pairs.filter((F.col("first_a") < F.col("first_b")) & length & parity).select("h1_a", "h2_a", "h1_b", "h2_b", "b"))
+    sides = [close.select(*[F.col(f"{h}_{s}").alias(h) for h in ("h1", "h2")]) for s in "ab"]
+    named = materialize(sides[0].unionByName(sides[1]).distinct())
     wanted = _fixed_array(named.select(F.col("h1").alias("h")), F.least(F.col("n"), F.lit(1)).cast("int"))
-    texts = (
-        _worded(docs).filter(_code_at(wanted, F.xxhash64("line")) > 0).select(*_class(F.col("line")), "line")
-        .groupBy("h1", "h2", "line").agg(F.count("*").alias("copies")).drop("copies").join(named, "h1", "left_semi")
+    texts = materialize(
+        lines.filter(_code_at(wanted, F.xxhash64("line")) > 0).select(*_class(F.col("line")), "line")
+        .groupBy("h1", "h2", "line").agg(F.count("*").alias("copies")).join(named, ["h1", "h2"], "left_semi")
+        .select("h1", "h2", F.array_distinct(words_of(F.col("line"))).alias("words"))
     )
-    texts = materialize(texts.select("h1", "h2", F.array_distinct(words_of(F.col("line"))).alias("words")))
-    full = pairs
     for s in "ab":
-        full = full.join(texts.select(F.col("h1").alias(f"h1_{s}"), F.col("h2").alias(f"h2_{s}"), F.col("words").alias(f"w_{s}")), f"h1_{s}")
+        close = close.join(texts.select(*[F.col(h).alias(f"{h}_{s}") for h in ("h1", "h2")], F.col("words").alias(f"w_{s}")), [f"h1_{s}", f"h2_{s}"])
     shared = F.size(F.array_intersect("w_a", "w_b"))
     union = F.size("w_a") + F.size("w_b") - shared
-    return full.filter(shared * den >= union * num).select("h1_a", "h2_a", "h1_b", "h2_b")
+    return close.filter(shared * den >= union * num).select(F.col("b").alias("id")).distinct()
+
+
+def _matched_classes(classes: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(id)`` of classes that match an earlier class."""
+    num, den = THRESHOLD
+    # A prefix is never empty; the outer form only keeps Catalyst from adding a filter on it.
+    entries = classes.select("id", "n", F.posexplode_outer("prefix").alias("pos", "word"))
+    heads = entries.groupBy("word").agg(F.min("id").alias("head"), F.count("*").alias("holders")).filter("holders > 1")
+    shared = materialize(entries.join(heads, "word"))
+    early = shared.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    settled = materialize(_matching(early, classes, lines))
+
+    rest = materialize(shared.filter("holders > 2").join(classes.select("id", "sketch"), "id"))
+    mine, others = (rest.select("word", "head", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", "sketch")]) for s in "ba")
+    open_ = mine.join(settled.withColumnRenamed("id", "id_b"), "id_b", "left_anti")
+    earlier = (F.col("id_a") < F.col("id_b")) & (F.col("id_a") != F.col("head"))
+    length = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
+    left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    position = left * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
+    parity = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num)
+    late = open_.join(others.drop("head"), "word").filter(earlier & length & position & parity)
+    pairs = materialize(late.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+    if pairs.isEmpty():
+        return settled
+    return materialize(settled.unionByName(_matching(pairs, classes, lines)).distinct())
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``(lines, rows)`` of the join.
 
-    ``lines``: one row per line with a word: doc_id, text_hash, line_no, h1, h2 (its class),
-    n_links (other classes that match) and removed. ``rows``: one row per input row: doc_id,
-    text_hash and n_lines. ``text_hash`` tells apart rows that share an id.
+    ``lines``: one row per line with a word: doc_id, text_hash, line_no, h1, h2 (its class) and
+    removed. ``rows``: one row per input row: doc_id, text_hash and n_lines. ``text_hash`` tells
+    apart rows that share an id.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    narrow = materialize(
-        rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(lines_of(F.col("text"))).alias("line_no", "line"))
-        .select("doc_id", "text_hash", "line_no", *[F.when(F.trim("line") != "", c).alias(n) for c, n in zip(_class(F.col("line")), ("h1", "h2"))])
-    )
-    lines = narrow.filter("h1 is not null").withColumn("key", _key(F.col("doc_id"), F.col("line_no")))
-    classes = lines.groupBy("h1", "h2").agg(F.min("key").alias("first"))
-    links = materialize(line_links(rows.select("text")))
-    swap = {"a": "b", "b": "a"}
-    both = [links.select(*[F.col(f"{h}_{s}").alias(h) for h in ("h1", "h2")], *[F.col(f"{h}_{swap[s]}").alias(f"other_{h}") for h in ("h1", "h2")]) for s in "ab"]
-    others = classes.select(F.col("h1").alias("other_h1"), F.col("h2").alias("other_h2"), F.col("first").alias("other_first"))
-    linked = (
-        both[0].unionByName(both[1]).join(others, ["other_h1", "other_h2"])
-        .groupBy("h1", "h2").agg(F.min("other_first").alias("other_first"), F.count("*").alias("n_links"))
-    )
+    every = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(lines_of(F.col("text"))).alias("line_no", "line"))
+    worded = every.filter(F.trim("line") != "").withColumn("key", _key(F.col("doc_id"), F.col("line_no")))
+    classes = _classes(worded.select("line", "key"))
+    matched = _matched_classes(classes, worded.select("line"))
     decided = materialize(
-        classes.join(linked, ["h1", "h2"], "left")
-        .select("h1", "h2", F.least("first", "other_first").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        classes.select("id", "h1", "h2", "first").join(matched.withColumn("matched", F.lit(True)), "id", "left")
+        .select("h1", "h2", "first", F.coalesce("matched", F.lit(False)).alias("matched"))
     )
-    marked = lines.join(decided, ["h1", "h2"]).select(
-        "doc_id", "text_hash", "line_no", "h1", "h2", "n_links", (F.col("first") < F.col("key")).alias("removed")
+    marked = worded.select("doc_id", "text_hash", "line_no", "key", *_class(F.col("line"))).join(decided, ["h1", "h2"]).select(
+        "doc_id", "text_hash", "line_no", "h1", "h2", (F.col("matched") | (F.col("first") < F.col("key"))).alias("removed")
     )
-    counts = narrow.filter("line_no = 0").select("doc_id", "text_hash").join(
-        narrow.groupBy("doc_id", "text_hash").agg((F.max("line_no") + 1).alias("n_lines")).withColumnsRenamed({"doc_id": "d", "text_hash": "t"}),
-        F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")),
-    ).select("doc_id", "text_hash", "n_lines")
+    counts = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(lines_of(F.col("text"))).alias("n_lines"))
     return marked, counts
 
 
 def _per_row(marked: DataFrame) -> DataFrame:
-    """``(d, t, n_removed, n_linked, removed_lines)`` of rows that have any."""
-    return (
-        marked.filter("removed or n_links > 0").withColumnsRenamed({"doc_id": "d", "text_hash": "t"}).groupBy("d", "t").agg(
-            F.countDistinct(F.when(F.col("removed"), F.col("line_no"))).alias("n_removed"),
-            F.countDistinct(F.when(F.col("n_links") > 0, F.col("line_no"))).alias("n_linked"),
-            F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("line_no")))).alias("removed_lines"),
-        )
+    """``(d, t, removed_lines)`` of rows that lose lines."""
+    return marked.filter("removed").withColumnsRenamed({"doc_id": "d", "text_hash": "t"}).groupBy("d", "t").agg(
+        F.sort_array(F.collect_set("line_no")).alias("removed_lines")
     )
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_lines, n_removed, n_linked, removed_lines (from 0).
+    """One row per input row: doc_id, n_lines, n_removed, removed_lines (from 0).
 
-    ``n_linked`` counts lines that match some different line. Blank lines, and so null and
+    Blank lines, and so null and
     empty texts, match nothing and stay. Lines at the same place of rows that share an id do
     not remove each other; a row without an id comes last. An empty table gives an empty
     result. Other columns are not read.
@@ -197,7 +204,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marked, counts = repeated_lines(docs, id_col, text_col)
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
     return counts.join(_per_row(marked), same, "left").select(
-        "doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
+        "doc_id", "n_lines", F.coalesce(F.size("removed_lines"), F.lit(0)).alias("n_removed"),
         F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"),
     )
 
@@ -208,7 +215,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows that had no word before stay as they are. Other columns pass through.
     """
     marked, _ = repeated_lines(docs, id_col, text_col)
-    gone = _per_row(marked).filter("n_removed > 0").select("d", "t", "removed_lines")
+    gone = materialize(_per_row(marked))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("d")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("t"))
     joined = docs.join(gone, same, "left")
     kept = F.filter(lines_of(F.col(text_col)), lambda line, i: ~F.array_contains("removed_lines", i))
