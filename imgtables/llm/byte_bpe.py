@@ -26,7 +26,8 @@ from ..errors import ContractError
 from .batches import sliced
 
 MAX_MODEL_BYTES = 64 << 20
-CACHE_ENTRIES = 200_000  # pre-tokens remembered per Python worker; only speed depends on it
+CACHE_ENTRIES = 60_000  # pre-tokens remembered per Python worker; only speed depends on it
+TEXT_BYTES = 1 << 20  # texts encoded together; a longer text is encoded by itself
 FIRST_CHARACTER = 0x100
 
 
@@ -122,10 +123,10 @@ class BpeCodec:
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text; the pre-tokens new to this worker are merged in one call."""
         split = [self._split(text) for text in texts]
-        new = set(chain.from_iterable(split)).difference(self._known)
+        needed = set(chain.from_iterable(split))
+        new = needed.difference(self._known)
         if len(self._known) + len(new) > CACHE_ENTRIES:
-            self._known = {}
-            new = set(chain.from_iterable(split))
+            self._known = {token: self._known[token] for token in needed.difference(new)}
         self._learn(list(new))
         for tokens in split:
             yield list(chain.from_iterable(map(self._known.__getitem__, tokens)))
@@ -182,7 +183,7 @@ def encode_texts(
 
     def run(batches):
         codec = _codec(shared)
-        for batch in sliced(batches, text_col):
+        for batch in sliced(batches, text_col, TEXT_BYTES):
             raw = batch.column(batch.schema.names.index(text_col)).cast(pa.binary())
             found: dict[str, list] = {name: [] for name in outputs}
             for ids in codec.encode([(v or b"").decode("utf-8", "replace") for v in raw.to_pylist()]):

@@ -30,7 +30,8 @@ UNDETERMINED = "und"
 TABLE_BITS = 16
 PIECE, PIECES, CHAIN = 32, 12, 8  # words a piece, pieces a document, pieces a training chain
 WINDOW, CONTEXT = 1024, 32
-CACHE_WORDS = 150_000  # words whose scores a Python worker remembers; only speed depends on it
+CACHE_WORDS = 60_000  # words whose scores a Python worker remembers; only speed depends on it
+TEXT_BYTES = 1 << 20  # texts labelled together; a longer text is labelled by itself
 
 _WORD = re.compile(r"[^\W\d_]+")
 _GRAMS = (2, 3, 4)
@@ -163,20 +164,23 @@ class Labeller:
 
     def __init__(self, model: LanguageCrf):
         self.model = model
-        self._forget()
-
-    def _forget(self):
         self._row: dict[str, int] = {}
-        self._scores = np.zeros((0, len(self.model.langs)))
+        self._scores = np.zeros((0, len(model.langs)))
         self._letters = np.zeros(0, bool)
 
+    def _forget_all_but(self, words: set[str]) -> None:
+        kept = [w for w in words if w in self._row]
+        rows = [self._row[w] for w in kept]
+        self._row = dict(zip(kept, range(len(kept))))
+        self._scores, self._letters = self._scores[rows], self._letters[rows]
+
     def label(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
         """Words of each text, their marginals one after another, and which words hold a letter."""
         split = [words_of(t) for t in texts]
-        new = set(chain.from_iterable(split)).difference(self._row)
+        needed = set(chain.from_iterable(split))
+        new = needed.difference(self._row)
         if len(self._row) + len(new) > CACHE_WORDS:
-            self._forget()
-            new = set(chain.from_iterable(split))
+            self._forget_all_but(needed)
         fresh = list(new)
         self._row.update(zip(fresh, range(len(self._row), len(self._row) + len(fresh))))
         self._scores = np.concatenate([self._scores, self.model.word_scores(fresh)])
@@ -319,7 +323,7 @@ def identify_languages(docs: DataFrame, model: LanguageCrf | None, *, text_col:
     def run(batches):
         labeller = _labeller(shared)
         langs = labeller.model.langs
-        for batch in sliced(batches, text_col):
+        for batch in sliced(batches, text_col, TEXT_BYTES):
             at = batch.schema.names.index
             texts = [(v or b"").decode("utf-8", "replace") for v in batch.column(at(text_col)).cast(pa.binary()).to_pylist()]
             split, marginals, letters = labeller.label(texts)
@@ -354,7 +358,7 @@ def label_words(docs: DataFrame, model: LanguageCrf, *, id_col: str = "doc_id",
     def run(batches):
         labeller = _labeller(shared)
         langs = labeller.model.langs
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", TEXT_BYTES):
             texts = [(v or b"").decode("utf-8", "replace") for v in batch.column(1).cast(pa.binary()).to_pylist()]
             split, marginals, _ = labeller.label(texts)
             top, at, out = marginals.argmax(axis=1), 0, []
