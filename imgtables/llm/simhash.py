@@ -174,9 +174,11 @@ def simhash_components(
     labelled = labels.withColumnRenamed("node", "fp").join(points, "fp").join(degrees, "fp")
     smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     linked = labelled.join(smallest, "label").select("fp", "component_id", "n_links")
-    classes = points.join(linked, "fp", "left").select(
+    # A table of its own, so that the last join meets it and the prints alone and can be split where one
+    # fingerprint is very common.
+    classes = materialize(points.join(linked, "fp", "left").select(
         "fp", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    ))
     return prints.join(classes, "fp").select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links"
     )
