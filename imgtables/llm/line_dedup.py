@@ -8,10 +8,10 @@ factor ``t`` (length filter), the words that follow the shared one must suffice
 sets may differ in words. Candidates are verified on the words themselves. A line goes if any
 earlier line matches it, earlier by id and then by line number, judged on the input.
 
-One earlier match is enough, so a group of near copies is not expanded into all its pairs: each
-line first meets the earliest line of each of its shared prefix words, which settles almost all
-members of such groups; only lines that are still unsettled meet all other lines that share a
-prefix word. Equal lines are one class from the start and are combined map-side, so neither a
+One earlier match is enough, so a large group of near copies is not expanded into all its pairs:
+for the ``HEADS`` commonest prefix words each line first meets the earliest line that has the word,
+which settles almost all members of such groups. All lines that are still unsettled then meet all
+earlier lines that share a prefix word. Equal lines are one class from the start and are combined map-side, so neither a
 line that a third of all documents have nor its copies meet in one task. Everything is DataFrame
 code. Two fixed-size arrays travel with the plans as scalar subqueries: the rarity of word hashes
 (``2**RARITY_BITS`` bytes) and a filter of candidate lines; both cover all data, and a collision
@@ -27,6 +27,7 @@ from ..session import materialize
 THRESHOLD = (4, 5)  # numerator and denominator, so that bounds are whole numbers
 RARITY_BITS = 20
 LOW_BITS = 10  # the fixed arrays are arrays of arrays of 2**10 bytes
+HEADS = 10_000  # commonest prefix words whose earliest line is tried first; changes no result
 LAST = (1 << 63) - 1  # a row without an id comes after all others
 
 
@@ -114,16 +115,23 @@ def _classes(lines: DataFrame) -> DataFrame:
     return materialize(ranged.withColumn("id", F.monotonically_increasing_id()))
 
 
+def _close(a: str = "_a", b: str = "_b") -> Column:
+    """Length filter and parity sketches of two sets."""
+    num, den = THRESHOLD
+    na, nb = F.col("n" + a), F.col("n" + b)
+    length = (na * den >= nb * num) & (nb * den >= na * num)
+    parity = F.bit_count(F.col("sketch" + a).bitwiseXOR(F.col("sketch" + b))) * (num + den) <= (na + nb) * (den - num)
+    return length & parity
+
+
 def _matching(pairs: DataFrame, classes: DataFrame, lines: DataFrame) -> DataFrame:
     """``(id)`` of classes ``b`` that match their earlier class ``a``, of ``pairs(a, b)``."""
     num, den = THRESHOLD
-    facts = classes.select("id", "h1", "h2", "sketch", "n", "first")
+    facts = classes.select("id", "h1", "h2", "first")
     for s in "ab":
-        pairs = pairs.join(facts.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("h1", "h2", "sketch", "n", "first")]), s)
-    length = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
-    parity = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num)
-    close = materialize(pairs.filter((F.col("first_a") < F.col("first_b")) & length & parity).select("h1_a", "h2_a", "h1_b", "h2_b", "b"))
-    sides = [close.select(*[F.col(f"{h}_{s}").alias(h) for h in ("h1", "h2")]) for s in "ab"]
+        pairs = pairs.join(facts.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("h1", "h2", "first")]), s)
+    pairs = materialize(pairs.filter("first_a < first_b").select("h1_a", "h2_a", "h1_b", "h2_b", "b"))
+    sides = [pairs.select(*[F.col(f"{h}_{s}").alias(h) for h in ("h1", "h2")]) for s in "ab"]
     named = materialize(sides[0].unionByName(sides[1]).distinct())
     wanted = _fixed_array(named.select(F.col("h1").alias("h")), F.least(F.col("n"), F.lit(1)).cast("int"))
     texts = materialize(
@@ -132,34 +140,34 @@ def _matching(pairs: DataFrame, classes: DataFrame, lines: DataFrame) -> DataFra
         .select("h1", "h2", F.array_distinct(words_of(F.col("line"))).alias("words"))
     )
     for s in "ab":
-        close = close.join(texts.select(*[F.col(h).alias(f"{h}_{s}") for h in ("h1", "h2")], F.col("words").alias(f"w_{s}")), [f"h1_{s}", f"h2_{s}"])
+        pairs = pairs.join(texts.select(*[F.col(h).alias(f"{h}_{s}") for h in ("h1", "h2")], F.col("words").alias(f"w_{s}")), [f"h1_{s}", f"h2_{s}"])
     shared = F.size(F.array_intersect("w_a", "w_b"))
     union = F.size("w_a") + F.size("w_b") - shared
-    return close.filter(shared * den >= union * num).select(F.col("b").alias("id")).distinct()
+    return pairs.filter(shared * den >= union * num).select(F.col("b").alias("id")).distinct()
 
 
 def _matched_classes(classes: DataFrame, lines: DataFrame) -> DataFrame:
     """``(id)`` of classes that match an earlier class."""
     num, den = THRESHOLD
-    # A prefix is never empty; the outer form only keeps Catalyst from adding a filter on it.
-    entries = classes.select("id", "n", F.posexplode_outer("prefix").alias("pos", "word"))
-    heads = entries.groupBy("word").agg(F.min("id").alias("head"), F.count("*").alias("holders")).filter("holders > 1")
-    shared = materialize(entries.join(heads, "word"))
-    early = shared.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    settled = materialize(_matching(early, classes, lines))
-
-    rest = materialize(shared.filter("holders > 2").join(classes.select("id", "sketch"), "id"))
-    mine, others = (rest.select("word", "head", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", "sketch")]) for s in "ba")
-    open_ = mine.join(settled.withColumnRenamed("id", "id_b"), "id_b", "left_anti")
-    earlier = (F.col("id_a") < F.col("id_b")) & (F.col("id_a") != F.col("head"))
-    length = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
+
+    def entries(of: DataFrame, side: str) -> DataFrame:
+        # A prefix is never empty; the outer form only keeps Catalyst from adding a filter on it.
+        split = of.select("id", "n", "sketch", F.posexplode_outer("prefix").alias("pos", "word"))
+        return split.select("word", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "sketch", "pos")])
+
+    common = (
+        classes.select("id", F.explode_outer("prefix").alias("word")).groupBy("word").agg(F.min("id").alias("id"), F.count("*").alias("holders"))
+        .orderBy(F.desc("holders"), "word").limit(HEADS)
+    )
+    heads = materialize(common.join(classes.select("id", "n", "sketch"), "id").select("word", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "sketch")]))
+    early = entries(classes, "b").join(F.broadcast(heads), "word").filter((F.col("id_a") < F.col("id_b")) & _close())
+    settled = materialize(_matching(early.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), classes, lines))
+
     left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     position = left * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
-    parity = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num)
-    late = open_.join(others.drop("head"), "word").filter(earlier & length & position & parity)
+    rest = entries(classes.join(settled, "id", "left_anti"), "b")
+    late = entries(classes, "a").join(rest, "word").filter((F.col("id_a") < F.col("id_b")) & position & _close())
     pairs = materialize(late.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
-    if pairs.isEmpty():
-        return settled
     return materialize(settled.unionByName(_matching(pairs, classes, lines)).distinct())
 
 
