@@ -155,8 +155,7 @@ class LanguageCrf:
         if not words:
             return np.zeros((0, len(self.langs)))
         at, slot = features(words, self.lexicon)
-        values = self.weights[slot]
-        return np.stack([np.bincount(at, values[:, i], len(words)) for i in range(len(self.langs))], axis=1)
+        return np.stack([np.bincount(at, self.weights[slot, i], len(words)) for i in range(len(self.langs))], axis=1)
 
 
 class Labeller:
@@ -226,8 +225,7 @@ def fit_chains(pieces: list[tuple[str, list[str]]], *, steps: int = 40, rate: fl
     np.add.at(gold_jumps, (gold[second - 1], gold[second]), 1)
     moments = [np.zeros_like(model.weights), np.zeros_like(model.weights), np.zeros_like(gold_jumps), np.zeros_like(gold_jumps)]
     for step in range(1, steps + 1):
-        values = model.weights[slot]
-        scores = np.stack([np.bincount(at, values[:, i], len(names)) for i in range(len(langs))], axis=1)
+        scores = np.stack([np.bincount(at, model.weights[slot, i], len(names)) for i in range(len(langs))], axis=1)
         found, jumps = posteriors(scores[rows], lengths, model.transitions)
         left = -found
         left[np.arange(len(gold)), gold] += 1
@@ -247,7 +245,7 @@ def remainder(id_column: Column, modulus: int) -> Column:
 
 
 def fit_language_crf(
-    docs: DataFrame, *, docs_per_lang: int = 300, max_langs: int = 64, steps: int = 40,
+    docs: DataFrame, *, docs_per_lang: int = 200, max_langs: int = 64, steps: int = 40,
 ) -> LanguageCrf | None:
     """Fit on a bounded sample of ``docs(doc_id, text, lang)`` with text and language; None without one."""
     usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
