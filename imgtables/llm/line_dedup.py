@@ -106,11 +106,12 @@ def _classes(lines: DataFrame) -> DataFrame:
     one = F.lit(1).cast("long")
     sketch = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int"))))
     n = F.size("hashes")
-    classes = materialize(
+    classes = (
         pinned.select("*", rarity.alias("rarity"))
         .select("key", "h1", "h2", sketch.alias("sketch"), n.alias("n"), F.slice(ordered, 1, _prefix_size(n)).alias("prefix"))
         .groupBy("h1", "h2", "sketch", "n", "prefix").agg(F.min("key").alias("first"))
     )
+    # The sample for the ranges reads the aggregation's shuffle, not the texts.
     ranged = classes.repartitionByRange("first").sortWithinPartitions("first")
     return materialize(ranged.withColumn("id", F.monotonically_increasing_id()))
 
@@ -150,23 +151,28 @@ def _matched_classes(classes: DataFrame, lines: DataFrame) -> DataFrame:
     """``(id)`` of classes that match an earlier class."""
     num, den = THRESHOLD
 
-    def entries(of: DataFrame, side: str) -> DataFrame:
+    def entries(of: DataFrame, *more: str) -> DataFrame:
         # A prefix is never empty; the outer form only keeps Catalyst from adding a filter on it.
-        split = of.select("id", "n", "sketch", F.posexplode_outer("prefix").alias("pos", "word"))
-        return split.select("word", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "sketch", "pos")])
+        return of.select("id", "n", "sketch", *more, F.posexplode_outer("prefix").alias("pos", "word"))
+
+    def named(rows: DataFrame, side: str) -> DataFrame:
+        return rows.select("word", *[F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "word"])
 
     common = (
         classes.select("id", F.explode_outer("prefix").alias("word")).groupBy("word").agg(F.min("id").alias("id"), F.count("*").alias("holders"))
         .orderBy(F.desc("holders"), "word").limit(HEADS)
     )
     heads = materialize(common.join(classes.select("id", "n", "sketch"), "id").select("word", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "sketch")]))
-    early = entries(classes, "b").join(F.broadcast(heads), "word").filter((F.col("id_a") < F.col("id_b")) & _close())
+    early = named(entries(classes), "b").join(F.broadcast(heads), "word").filter((F.col("id_a") < F.col("id_b")) & _close())
     settled = materialize(_matching(early.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), classes, lines))
 
     left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     position = left * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
-    rest = entries(classes.join(settled, "id", "left_anti"), "b")
-    late = entries(classes, "a").join(rest, "word").filter((F.col("id_a") < F.col("id_b")) & position & _close())
+    # Both sides are the same rows and read the same columns, so they are shuffled once; done is never false.
+    every = entries(classes.join(settled.withColumn("done", F.lit(True)), "id", "left"), "done")
+    late = named(every, "a").join(named(every, "b"), "word").filter(
+        F.coalesce("done_a", F.lit(True)) & F.col("done_b").isNull() & (F.col("id_a") < F.col("id_b")) & position & _close()
+    )
     pairs = materialize(late.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
     return materialize(settled.unionByName(_matching(pairs, classes, lines)).distinct())
 
