@@ -17,6 +17,7 @@ from .session import configure
 from .sinks import guard_output, write_json, write_metrics
 from .sources import load_pairs, read_labels, read_manifest, read_pairs
 from .sources.images import load_npy
+from .sources.tables import manifest_identity
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -44,6 +45,11 @@ def _parser() -> argparse.ArgumentParser:
     return parser
 
 
+def _model_digest(spark: SparkSession, path: str | None):
+    """Identity of a stored model, or None for the built-in one."""
+    return None if path is None else spark.read.parquet(path).first()["sha256"]
+
+
 def _predictor(spark: SparkSession, path: str | None):
     return Bicubic() if path is None else load_model(spark.read.parquet(path))[0]
 
@@ -82,12 +88,14 @@ def run(spark: SparkSession, a: argparse.Namespace):
     if a.job == "evaluate":
         guard_output(a.metrics, a.overwrite)
         guard_output(a.summary, a.overwrite, directory=False)
-        labels, digest = (None, None) if a.manifest is None else read_labels(spark, a.manifest)
+        labels, digest = None, None
+        if a.manifest is not None:
+            labels, digest = read_labels(spark, a.manifest)[0], manifest_identity(spark, a.manifest)
         metrics, summary = plans.evaluate_files(
             spark, a.input_dir, a.target_dir, _predictor(spark, a.model), labels,
             a.split.split(",") if a.split else None, samples=a.samples, seed=a.seed,
         )
-        report = plans.summary_document(summary, metrics.count(), manifest_sha256=digest, checkpoint_sha256=None)
+        report = plans.summary_document(summary, metrics.count(), manifest_sha256=digest, checkpoint_sha256=_model_digest(spark, a.model))
         write_metrics(metrics, a.metrics, a.overwrite, format="csv")
         write_json(report, a.summary, a.overwrite)
         return report["aggregates"]["all"]

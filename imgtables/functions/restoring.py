@@ -235,18 +235,23 @@ def npy_bytes(array: np.ndarray) -> bytes:
 
 
 def write_bytes(path: str, content: bytes) -> None:
-    """Write beside the target, then rename: a retried or doubled task changes nothing."""
+    """Write beside the target, then rename: a retried or doubled task changes nothing.
+
+    A folder is created when the first file of it fails for want of one.
+    """
     fs, at = open_fs(path)
     folder, _, name = at.rpartition("/")
-    fs.create_dir(folder, recursive=True)
-    if isinstance(fs, (pafs.LocalFileSystem, pafs.HadoopFileSystem)):
-        temporary = f"{folder}/.{name}.{uuid.uuid4().hex}.tmp"
-        with fs.open_output_stream(temporary) as stream:
-            stream.write(content)
-        fs.move(temporary, at)
-        return
-    with fs.open_output_stream(at) as stream:  # object stores publish on close
+    renames = isinstance(fs, (pafs.LocalFileSystem, pafs.HadoopFileSystem))
+    target = f"{folder}/.{name}.{uuid.uuid4().hex}.tmp" if renames else at  # object stores publish on close
+    try:
+        stream = fs.open_output_stream(target)
+    except FileNotFoundError:
+        fs.create_dir(folder, recursive=True)
+        stream = fs.open_output_stream(target)
+    with stream:
         stream.write(content)
+    if renames:
+        fs.move(target, at)
 
 
 WRITTEN_DDL = "struct<height:int,width:int,bytes:bigint,sha256:string>"

@@ -88,7 +88,8 @@ def stratified_holdout(df: DataFrame, quotas: DataFrame, group: str, seed: int =
     keyed = df.withColumn("_key", rank_key(F.trim("stem"), seed, tag))
     cut = _cutoffs(keyed.select(group, "_key", "stem"), [group], quotas.select(group, "quota"))
     return (
-        keyed.join(small(cut, SMALL_GROUPS), group, "left")
+        # The cut has one row per quota, so counting the quotas does not run it twice.
+        keyed.join(F.broadcast(cut) if quotas.limit(SMALL_GROUPS + 1).count() <= SMALL_GROUPS else cut, group, "left")
         .withColumn("held_out", _at_or_below())
         .drop("_key", "_cut_key", "_cut_stem")
     )

@@ -45,6 +45,9 @@ def restore(spark: SparkSession, input_dir: str, output_dir: str, predictor=None
     return report
 
 
+FEATURE_PIXELS = 1 << 17  # pixels whose neighbourhoods are held at a time
+
+
 def _normal_equations(patch: int, teacher_weight: float, teacher):
     size = patch * patch + 1
     schema = pa.schema([("i", pa.int32()), ("j", pa.int32()), ("value", pa.float64())])
@@ -62,10 +65,12 @@ def _normal_equations(patch: int, teacher_weight: float, teacher):
                     y = (1 - teacher_weight) * y + teacher_weight * teacher(x)
                 gap = y - Bicubic()(x)
                 n, h, w = x.shape
-                planes = gap.reshape(n, h, 2, w, 2).transpose(0, 1, 3, 2, 4).reshape(-1, 4)
-                features = patch_features(x, patch)
-                total[:, :size] += features.T @ features
-                total[:, size:] += features.T @ planes
+                planes = gap.reshape(n, h, 2, w, 2).transpose(0, 1, 3, 2, 4).reshape(n, h * w, 4)
+                step = max(1, FEATURE_PIXELS // (h * w))
+                for start in range(0, n, step):  # the feature matrix does not grow with the batch
+                    features = patch_features(x[start:start + step], patch)
+                    total[:, :size] += features.T @ features
+                    total[:, size:] += features.T @ planes[start:start + step].reshape(-1, 4)
                 seen = True
         if seen:
             i, j = np.indices(total.shape)

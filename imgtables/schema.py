@@ -7,11 +7,6 @@ from pyspark.sql import types as T
 IMAGE_DDL = "struct<height:int,width:int,pixels:array<float>>"
 IMAGE_DOUBLE_DDL = "struct<height:int,width:int,pixels:array<double>>"
 
-FILES_DDL = (
-    "path string, relpath string, name string, stem string, "
-    "length bigint, modified timestamp, ignored boolean"
-)
-
 DECODED_DDL = f"struct<image:{IMAGE_DDL},src_dtype:string,sha256:string,error:string>"
 
 # Manifest column order.
@@ -56,7 +51,6 @@ METRIC_FIELDS = ("stem", "split", "texture_cluster") + METRICS + (
     "prediction_shape",
     "target_shape",
 )
-GRID_FIELDS = ("relative_path", "defect_group", "severity", "method") + METRICS
 
 METRICS_DDL = (
     "struct<psnr_db:double,ssim:double,lpips_alex:double,sobel_l1:double,"
@@ -134,11 +128,6 @@ HISTORY_DDL = (
     "raw_val_psnr_db double, ema_val_psnr_db double, selected_val_psnr_db double, "
     "selected_weights string, supervised_loss double, distillation_loss double, lr double"
 )
-TENSORS_DDL = "run string, tensor string, dtype string, shape array<int>, values array<double>"
-SUMMARY_DDL = (
-    "scope string, group_key string, metric string, `count` bigint, mean double, "
-    "median double, ci_lo double, ci_hi double, finite_count bigint, missing_count bigint"
-)
 
 
 def text_schema(fields) -> T.StructType:

@@ -7,6 +7,7 @@ names nor the directory names ever gather on the driver.
 
 from __future__ import annotations
 
+import functools
 import os
 
 import pyarrow as pa
@@ -22,11 +23,29 @@ _TARGET_BYTES = 64 << 20
 _ENTRIES_PER_TASK = 50_000
 
 
+# Schemes that Spark knows under another name than the file library does.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+@functools.lru_cache(maxsize=64)
+def _store(scheme: str, authority: str):
+    """One client per store and process, with the path of the store's root."""
+    return pafs.FileSystem.from_uri(f"{scheme}://{authority}/")
+
+
 def open_fs(uri: str):
-    """Filesystem and path of a URI or a local path."""
-    if "://" not in uri and not uri.startswith("/"):
-        uri = os.path.abspath(uri)
-    return pafs.FileSystem.from_uri(uri)
+    """Filesystem and path of a URI or a local path; clients are shared within a process."""
+    if uri.startswith("dbfs:/"):
+        uri = "/dbfs/" + uri[len("dbfs:/"):].lstrip("/")
+    if "://" not in uri:
+        return _store("file", "")[0], os.path.abspath(uri)
+    scheme, _, rest = uri.partition("://")
+    authority, _, path = rest.partition("/")
+    scheme = _SCHEMES.get(scheme, scheme)
+    if "?" in uri:  # options of the client are part of such a URI
+        return pafs.FileSystem.from_uri(f"{scheme}://{rest}")
+    fs, root = _store(scheme, authority)
+    return fs, f"{root.rstrip('/')}/{path}"
 
 
 def uri_prefix(uri: str) -> str:

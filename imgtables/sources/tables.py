@@ -97,15 +97,23 @@ def label_columns(manifest: DataFrame) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str):
-    """Labels of a manifest and the content digest of all its rows.
+    """Labels of a manifest and the SHA-256 of its file; of several parts, of their digests in name order."""
+    parts = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("d")).orderBy("path").collect()
+    digests = [r["d"] for r in parts if not r["path"].rpartition("/")[2].startswith(("_", "."))]
+    digest = digests[0] if len(digests) == 1 else hashlib.sha256("".join(digests).encode()).hexdigest()
+    return label_columns(read_manifest(spark, path)), digest
 
-    The digest is that of ``dataset_digest`` over the manifest's columns, so it equals what the
-    manifest and split jobs record, however many part files hold the rows.
+
+def manifest_identity(spark: SparkSession, path: str) -> str:
+    """Content digest of a manifest's rows: what the manifest and split jobs record for their output.
+
+    It does not depend on the number of part files, so one manifest has one identity along a
+    chain of jobs.
     """
     from ..sinks.writers import dataset_digest
 
     rows = read_manifest(spark, path)
-    return label_columns(rows), dataset_digest(rows, fields=[f for f in MANIFEST_FIELDS if f in rows.columns])
+    return dataset_digest(rows, fields=[f for f in MANIFEST_FIELDS if f in rows.columns])
 
 
 def _metric_ddl() -> str:
