@@ -144,8 +144,8 @@ def _weighted_sums(metrics) -> list:
 
 
 def _interval(sums: DataFrame, keys, metrics) -> DataFrame:
-    """2.5 % and 97.5 % quantiles of the replicate means: ``samples`` values per group."""
-    means = sums.select(*keys, *[(F.col(f"s_{m}") / F.col(f"w_{m}")).alias(m) for m in metrics])
+    """2.5 % and 97.5 % quantiles of the replicate means; a replicate that drew no row has none."""
+    means = sums.select(*keys, *[F.try_divide(f"s_{m}", f"w_{m}").alias(m) for m in metrics])
     q = sorted_quantiles(F.col("value"), [0.025, 0.975])
     return (
         long_metrics(means, keys, metrics).groupBy(*keys, "metric").agg(q.alias("q"))

@@ -53,6 +53,22 @@ def texture_ood_split(v):
     return labels
 
 
+@query("texture_split_sizes", "img", """SELECT count(*) AS pair_count,
+    round_even(count(*) * 0.15::DOUBLE, 0)::BIGINT AS val_id, 0::BIGINT AS broken_clusters, count(*) AS labelled FROM img""")
+def texture_split_sizes(v):
+    """What must hold for any clusters: exact in-distribution quota, whole held-out clusters, a label for every image."""
+    labels, _, details = label_texture_splits(v.pairs, "target", cluster_count=6)
+    labels = materialize(labels)
+    mixed = labels.groupBy("texture_cluster").agg(
+        F.count(F.when(F.col("split") == "val_ood", 1)).alias("held"), F.count("*").alias("n")
+    ).filter("held > 0 and held < n")
+    sizes = labels.agg(F.count(F.when(F.col("split") == "val_id", 1)).alias("val_id"), F.count("split").alias("labelled"))
+    return sizes.select(
+        F.lit(details["pair_count"]).cast("bigint").alias("pair_count"), "val_id",
+        F.lit(mixed.count()).cast("bigint").alias("broken_clusters"), "labelled",
+    )
+
+
 @query("texture_clusters")
 def texture_clusters(v):
     table = materialize(v.pairs.select("stem", texture_descriptor("target").alias("d")).select("stem", "d.*"))
@@ -131,6 +147,22 @@ def residual_restorer(v):
     return learned.join(plain, "split").withColumn("val_psnr_db", F.lit(val))
 
 
+@query("residual_normal_equations", "img lab ipx tpx w2 up", f""", f AS (
+    SELECT i.v AS x, t.v - u.v AS gap, (u.y % 2) * 2 + u.x % 2 AS d FROM up u
+    JOIN ipx i ON i.stem = u.stem AND i.y = u.y // 2 AND i.x = u.x // 2
+    JOIN tpx t ON t.stem = u.stem AND t.y = u.y AND t.x = u.x
+    JOIN lab ON lab.stem = u.stem WHERE split = 'train'),
+  p AS (SELECT d, sum(x * x) AS xx, sum(x) AS sx, count(*)::DOUBLE AS n, sum(x * gap) AS xg, sum(gap) AS sg FROM f GROUP BY d),
+  c AS (SELECT 0 AS i, 0 AS j, xx AS value FROM p WHERE d = 0 UNION ALL SELECT 0, 1, sx FROM p WHERE d = 0
+    UNION ALL SELECT 1, 0, sx FROM p WHERE d = 0 UNION ALL SELECT 1, 1, n FROM p WHERE d = 0
+    UNION ALL SELECT 0, 2 + d, xg FROM p UNION ALL SELECT 1, 2 + d, sg FROM p)
+  SELECT i::INT AS i, j::INT AS j, round(value, 4) + 0 AS value FROM c""")
+def residual_normal_equations(v):
+    """The sums that the residual restorer is solved from, for single-pixel neighbourhoods."""
+    _, sums = fit_residual_restorer(v.pairs, patch=1)
+    return sums.withColumn("value", F.round("value", 4))
+
+
 @query("severity_grid_scores", "img tpx wh down w2", """, h AS (SELECT stem, y, w2.o AS x, sum(v * w) AS v FROM down JOIN w2 ON down.x = w2.i GROUP BY 1, 2, 3),
   up2 AS (SELECT stem, w2.o AS y, x, sum(v * w) AS v FROM h JOIN w2 ON h.y = w2.i GROUP BY 1, 2, 3)""" + f"""
   SELECT stem AS relative_path, {r("-10 * log10(avg(pow(least(1, greatest(0, u.v)) - t.v, 2)))")} AS psnr_db

@@ -117,6 +117,22 @@ def bootstrap_interval_numpy(v):
     return summaries.bootstrap_ci(v.met, ["split", "texture_cluster"], ["psnr_db", "ssim"], samples=200, method="numpy")
 
 
+@query("bootstrap_numpy_bounds", "met", f""", l AS (UNPIVOT (SELECT split, ssim, sobel_l1 FROM met) ON ssim, sobel_l1 INTO NAME metric VALUE value)
+  SELECT split, metric, {r("avg(value)")} AS mean, count(*) AS n, stddev_pop(value) > 0 AS inside, stddev_pop(value) > 0 AS normal_width
+  FROM l GROUP BY ALL""")
+def bootstrap_numpy_bounds(v):
+    """The resampled interval holds the mean and is as wide as the normal one, give or take a quarter."""
+    names = ["ssim", "sobel_l1"]
+    found = summaries.bootstrap_ci(v.met, ["split"], names, samples=400, method="numpy")
+    facts = summaries.long_metrics(v.met, ["split"], names).groupBy("split", "metric").agg(
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("s"), F.count("*").alias("n")
+    )
+    width = (F.col("ci_hi") - F.col("ci_lo")) / (2 * 1.96 * F.col("s") / F.sqrt("n"))
+    return facts.join(found, ["split", "metric"]).select(
+        "split", "metric", "mean", "n", F.col("mean").between(F.col("ci_lo"), F.col("ci_hi")).alias("inside"), width.between(0.75, 1.25).alias("normal_width")
+    )
+
+
 @query("severity_method_summary", "grid", f""", l AS (UNPIVOT (SELECT severity, method, psnr_db, ssim, coalesce(lpips_alex, 'nan'::DOUBLE) AS lpips_alex,
     sobel_l1, mean_intensity_bias FROM grid) ON psnr_db, ssim, lpips_alex, sobel_l1, mean_intensity_bias INTO NAME metric VALUE value)
   {_summary_sql("severity, method", "l")}""")
