@@ -350,7 +350,7 @@ def summaries_of(spark, rows, manifest="m"):
 def test_ablation_gate(spark):
     row = ablation_gate(summaries_of(spark, CASE), "exp", "change").first()
     assert row["decision"] == "keep" and row["ood_metric_wins"] == 3
-    assert row["reason"] == "OOD improved on 3/3 locked metrics; ID PSNR/SSIM deltas were -0.100000 dB/-0.001000."
+    assert row["reason"] == "3 of 3 ranked metrics better out of distribution; in distribution PSNR moved -0.100000 dB and SSIM -0.001000"
     worse = [r if r[:2] != ("candidate", "val_id") else ("candidate", "val_id", 27.8, 0.749, 0.29) for r in CASE]
     assert ablation_gate(summaries_of(spark, worse), "exp", "change").first()["decision"] == "reject"
     mixed = summaries_of(spark, CASE[:3]).union(summaries_of(spark, CASE[3:], "other"))
@@ -417,3 +417,43 @@ def test_latency_nearest_rank(spark):
     row = tensors.latency_summary(df).first()
     assert (row["median_ms"], row["p90_ms"], row["p95_ms"]) == (3.0, 5.0, 10.0)  # half-even ranks 2, 4, 5
     assert row["images_per_second"] == pytest.approx(16_000 / 3)
+
+
+@pytest.mark.parametrize("buffer_rows", [250_000, 0])
+def test_null_groups_survive_every_path(spark, buffer_rows):
+    rows = [(None if i % 2 else "a", float(i), 4) for i in range(1000)]
+    df = spark.createDataFrame(rows, "run string, ms double, batch int")
+    quantiles = {r["run"]: (r["n"], r["q"]) for r in exact_quantiles(df, ["run"], "ms", [0.5], buffer_rows=buffer_rows).collect()}
+    assert quantiles == {"a": (500, [499.0]), None: (500, [500.0])}
+    summary = summaries.finite_summary(df.withColumnRenamed("ms", "ssim"), ["run"], ["ssim"], buffer_rows=buffer_rows)
+    assert {r["run"]: r["median"] for r in summary.collect()} == {"a": 499.0, None: 500.0}
+    latency = {r["run"]: r["median_ms"] for r in tensors.latency_summary(df, buffer_rows=buffer_rows).collect()}
+    assert latency == {"a": 500.0, None: 501.0}
+
+
+def test_intervals_and_win_rates_keep_null_groups(spark):
+    rows = [(f"p{i}", None if i % 2 else "s", m, 20.0 + i + (m == "cand"), 0.5, 0.1) for i in range(40) for m in ("base", "cand")]
+    df = spark.createDataFrame(rows, "relative_path string, severity string, method string, psnr_db double, ssim double, lpips_alex double")
+    deltas = summaries.paired_deltas(df, "base", "cand")
+    got = {(r["severity"], r["metric"]): r for r in summaries.paired_summary(deltas, samples=50).collect()}
+    assert len(got) == 6 and got[(None, "psnr_db")]["win_rate"] == 1.0 and got[(None, "psnr_db")]["ci_lo"] == pytest.approx(1.0)
+
+
+def test_kmeans_grid_is_the_same_for_every_table(spark):
+    near = [(f"{i:03d}", float(i % 3) * 10 + i * 1e-6, 0.5) for i in range(60)]
+    ddl = "stem string, a double, b double"
+    few, many = spark.createDataFrame(near, ddl), spark.createDataFrame(near + [("far", 1e6, 0.5)], ddl)
+    assert clustering._Points(few, ["a", "b"], "stem").unit == clustering._Points(many, ["a", "b"], "stem").unit == clustering.UNIT
+    alone = {r["stem"]: r["distance2"] for r in clustering.kmeans(few, ["a", "b"], 3).assignments.collect()}
+    beside = {r["stem"]: r["distance2"] for r in clustering.kmeans(many, ["a", "b"], 4, restarts=20).assignments.collect()}
+    assert beside["far"] == 0 and all(beside[s] == pytest.approx(d, abs=1e-12) for s, d in alone.items())
+
+
+def test_small_mends(spark):
+    scores = spark.createDataFrame([("a", None), ("b", 3.0), ("c", float("inf")), ("d", 1.0)], "stem string, psnr_db double")
+    assert [r["stem"] for r in selection.worst_k(scores, 3).collect()] == ["d", "b"]
+    ddl = "tensor string, dtype string, shape array<int>, values array<double>"
+    long, short = ([("t", "f", [2], v)] for v in ([1.0, 2.0], [1.0]))
+    assert tensors.compare_tensors(spark.createDataFrame(long, ddl), spark.createDataFrame(short, ddl)).first()["error"] == "tensor metadata differs"
+    with pytest.raises(Exception, match="at least two rows"):
+        selection.hash_holdout(spark.createDataFrame([("a",)], "stem string")).collect()
