@@ -164,6 +164,36 @@ def speckle_noise(v):
     return noisy.select("stem", P.image_stats("o.pixels").alias("s")).select("stem", "s.*")
 
 
+def _noise_moments(rows, noise, std: float):
+    """Pixels of each image, and whether mean and spread of its noise are those of ``std`` within five and four deviations."""
+    n = F.size(noise)
+    mean = F.aggregate(noise, F.lit(0.0), lambda s, x: s + x) / n
+    square = F.aggregate(noise, F.lit(0.0), lambda s, x: s + x * x) / n
+    spread = F.sqrt(square - mean * mean) / std
+    return rows.select(
+        "stem", n.alias("pixels"), (F.abs(mean) < 5 * std / F.sqrt(n)).alias("centred"),
+        (F.abs(spread - 1) < 4 / F.sqrt(2.0 * n)).alias("spread_right"),
+    )
+
+
+_NOISE_TWIN = "SELECT stem, len(target)::INT AS pixels, len(target) = tg_h * tg_w AS centred, len(target) = tg_h * tg_w AS spread_right FROM img"
+
+
+@query("additive_noise_moments", "img", _NOISE_TWIN)
+def additive_noise_moments(v):
+    noisy = v.pairs.select("stem", "target", I.add_noise("target", "stem", 0.05, 0.01, dtype="double").alias("o"))
+    gap = F.zip_with("o.pixels", "target.pixels", lambda a, b: a - b - 0.01)
+    return _noise_moments(noisy, gap, 0.05)
+
+
+@query("speckle_noise_moments", "img", _NOISE_TWIN)
+def speckle_noise_moments(v):
+    """A black pixel has no speckle; the noise of the others is what their relative change shows."""
+    bright = v.pairs.withColumn("target", F.struct("target.height", "target.width", F.transform("target.pixels", lambda x: x + 0.5).alias("pixels")))
+    noisy = bright.select("stem", "target", I.speckle("target", "stem", 0.05, dtype="double").alias("o"))
+    return _noise_moments(noisy, F.zip_with("o.pixels", "target.pixels", lambda a, b: a / b - 1), 0.05)
+
+
 _SSIM = """, k AS (SELECT d, w / sum(w) OVER () AS w FROM (SELECT d, exp(-(d * d) / (2 * 1.5 * 1.5)) AS w FROM (SELECT unnest(range(-5, 6)) AS d))),
   m AS (SELECT stem, y, x, p, t, p * p AS pp, t * t AS tt, p * t AS pt FROM cpx),
   sx AS (SELECT a.stem, a.y, c.x, sum(p * w) AS p, sum(t * w) AS t, sum(pp * w) AS pp, sum(tt * w) AS tt, sum(pt * w) AS pt
