@@ -34,6 +34,31 @@ def test_scoring_is_one_narrow_pass_with_pushed_filters(stored):
     assert "PushedFilters: [In(split" in text or "EqualTo(split,val_id)" in text
 
 
+def test_many_labels_join_the_scores_not_the_pixels(stored, monkeypatch):
+    import sys
+
+    labels = stored.select("stem", F.lit("val_ood").alias("split"), F.lit("t9").alias("texture_cluster"))
+    pairs = stored.drop("split", "texture_cluster")
+    few = evaluate(pairs, labels=labels, splits=["val_ood"]).orderBy("stem").collect()
+    monkeypatch.setattr(sys.modules["imgtables.plans.evaluate"], "BROADCAST_ROWS", 0)
+    many = evaluate(pairs, labels=labels, splits=["val_ood"])
+    assert many.orderBy("stem").collect() == few and len(few) == 6
+    text = plan(many)
+    above = text[: text.index("ArrowEvalPython")].splitlines()  # what lies over the scoring
+    assert all("input" not in line and "target#" not in line for line in above if "Exchange" in line or "Join" in line)
+
+
+def test_feature_steps_change_no_statistics(stored, monkeypatch):
+    import sys
+
+    from imgtables.plans import fit_residual_restorer
+
+    whole = fit_residual_restorer(stored.withColumn("split", F.lit("train")), patch=3)[1].orderBy("i", "j").collect()
+    monkeypatch.setattr(sys.modules["imgtables.plans.restore"], "FEATURE_PIXELS", 1)
+    stepped = fit_residual_restorer(stored.withColumn("split", F.lit("train")), patch=3)[1].orderBy("i", "j").collect()
+    np.testing.assert_allclose([r["value"] for r in stepped], [r["value"] for r in whole])
+
+
 def test_metadata_queries_do_not_read_pixels(stored):
     text = plan(hash_holdout(stored.select("stem", "texture_cluster")).select("stem", "split"))
     scan = [line for line in text.splitlines() if "FileScan" in line]
@@ -75,8 +100,10 @@ def test_command_line_from_manifest_to_report(spark, tmp_path, save, rng, capsys
     assert main(["fit-residual", at("split"), str(tmp_path), at("model"), "--patch", "3"]) == 0
     assert main(["restore", at("lr"), at("out"), "--model", at("model"), "--expected", "8"]) == 0
     assert main(["verify", at("lr"), at("out"), "--expected", "8"]) == 0
-    assert main(["evaluate", at("lr"), at("gt"), at("met"), at("sum.json"), "--model", at("model"), "--samples", "20"]) == 0
+    assert main(["evaluate", at("lr"), at("gt"), at("met"), at("sum.json"), "--model", at("model"), "--samples", "20", "--manifest", at("split")]) == 0
     report = json.loads((tmp_path / "sum.json").read_text())
+    assert report["manifest_sha256"] == json.loads((tmp_path / "s.json").read_text())["output_manifest_sha256"]  # one identity along the chain
+    assert len(report["checkpoint_sha256"]) == 64
     assert report["pair_count"] == 8 and report["aggregates"]["all"]["psnr_db"]["mean"] > 20
     assert main(["restore", at("lr"), at("out")]) == 1
     assert "already exists" in capsys.readouterr().err
