@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from imgtables.errors import ContractError
-from imgtables.llm import line_dedup, repeats, simhash
+from imgtables.llm import line_dedup, near_copies, repeats, simhash
 from imgtables.llm.components import connected_components
 from imgtables.llm.exact_dedup import exact_dedup, grow_directory
 from imgtables.llm.line_dedup import drop_repeated_lines, line_report
@@ -232,6 +232,61 @@ def test_query_simhash(spark):
     assert [r["component_id"] for r in rows] == want
 
 
+def edited(count, seed=7):
+    """Documents of 30 to 120 words; most repeat an earlier one with a few words changed."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for i in range(count):
+        if i % 3 == 0:
+            words = [f"w{x}" for x in rng.integers(0, 500, int(rng.integers(30, 120)))]
+        else:
+            words = texts[int(rng.integers(0, len(texts)))].split()
+            for at in rng.integers(0, len(words), int(rng.integers(0, 4))):
+                words[int(at)] = f"w{int(rng.integers(0, 500))}"
+        texts.append(" ".join(words))
+    return [(int(j), texts[i]) for i, j in enumerate(rng.permutation(count))]
+
+
+@pytest.mark.parametrize("hot", [10_000, 0])
+def test_near_copies_match_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(near_copies, "HOT_SHINGLES", hot)
+    monkeypatch.setattr(near_copies, "SAMPLE", 2)
+    rows = edited(240)
+    sets = [near_copies.shingle_set(t.encode(), 5) for _, t in rows]
+    pairs, scores = [], []
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            jaccard = both / (len(sets[i]) + len(sets[j]) - both)
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                pairs.append((i, j))
+                scores.append(jaccard)
+    low = {i: rows[i][0] for i in range(len(rows))}
+    while any(low[i] != low[j] for i, j in pairs):
+        for i, j in pairs:
+            low[i] = low[j] = min(low[i], low[j])
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(r["doc_id"] for r in near_copies.drop_near_copies(frame, width=5).collect())
+    assert got == sorted(set(low.values())) and len(got) < 200
+    assert sum(0.8 <= s < 0.85 for s in scores) > 5 and sum(0.85 <= s < 0.95 for s in scores) > 20
+
+
+def test_near_copies_of_a_shared_passage_stay(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"{passage} " + " ".join(f"d{i}x{k}" for k in range(20))) for i in range(60)]
+    rows += [(100 + i, f"A  long {passage} with one word changed {i}") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_copies.drop_near_copies(frame).collect()) == [*range(60), 100]
+
+
+def test_near_copies_without_ids(spark):
+    rows = [(None, "one two three"), (None, "One  two three"), (5, "a b c"), (None, "a b c"), (7, None), (8, ""), (9, "a b"), (9, "a b"), (9, "c d")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], (r["text"] or "").lower().split()) for r in near_copies.drop_near_copies(frame).collect()]
+    assert sorted(got, key=str) == sorted([(None, ["one", "two", "three"]), (5, ["a", "b", "c"]), (7, []), (9, ["a", "b"]), (9, ["c", "d"])], key=str)
+    assert near_copies.drop_near_copies(H.empty_docs(spark)).count() == 0
+
+
 def test_embedding_is_a_lower_bound(spark):
     rng = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in rng.integers(-2**63, 2**63 - 1, (300, 2))]
