@@ -7,8 +7,8 @@ are learned with them, from chains that join pieces of different documents, so t
 has seen text switch languages. Forward-backward gives every word's language probabilities; a
 document's are the mean over its words, and its language is the largest.
 
-Training takes at most ``docs_per_lang`` documents a language (at most ``max_langs`` languages, the
-most frequent) and ``PIECES`` pieces spread over the whole of each; these bounds are parameters.
+Training takes about ``docs_per_lang`` documents of every language and ``PIECES`` pieces spread over the
+whole of each. Every language is learned; the weights take half a megabyte a language on the driver.
 Labelling covers every word of every text and needs no shuffle. Texts longer than ``WINDOW``
 words are labelled in windows that see ``CONTEXT`` further words on both sides.
 """
@@ -29,6 +29,7 @@ from .batches import sliced
 UNDETERMINED = "und"
 TABLE_BITS = 16
 PIECE, PIECES, CHAIN = 32, 12, 8  # words a piece, pieces a document, pieces a training chain
+BLOCK_CELLS = 2_000_000  # words times languages that training holds at a time
 WINDOW, CONTEXT = 1024, 32
 CACHE_WORDS = 60_000  # words whose scores a Python worker remembers; only speed depends on it
 TEXT_BYTES = 1 << 20  # texts labelled together; a longer text is labelled by itself
@@ -217,19 +218,26 @@ def fit_chains(pieces: list[tuple[str, list[str]]], *, steps: int = 40, rate: fl
     lexicon = {names[i]: int(seen[i].argmax()) for i in np.flatnonzero(sure)}
     at, slot = features(names, lexicon)
     model = LanguageCrf(langs, np.zeros((1 << TABLE_BITS, len(langs))), np.zeros((len(langs), len(langs))), lexicon)
-    starts = np.r_[0, np.cumsum(lengths)[:-1]]
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
     inner = np.ones(len(gold), bool)
     inner[starts] = False
     second = np.flatnonzero(inner)
     gold_jumps = np.zeros_like(model.transitions)
     np.add.at(gold_jumps, (gold[second - 1], gold[second]), 1)
+    block = starts // max(1, BLOCK_CELLS // len(langs))
+    blocks = np.split(np.arange(len(lengths)), np.flatnonzero(np.diff(block)) + 1)
     moments = [np.zeros_like(model.weights), np.zeros_like(model.weights), np.zeros_like(gold_jumps), np.zeros_like(gold_jumps)]
     for step in range(1, steps + 1):
         scores = np.stack([np.bincount(at, model.weights[slot, i], len(names)) for i in range(len(langs))], axis=1)
-        found, jumps = posteriors(scores[rows], lengths, model.transitions)
-        left = -found
-        left[np.arange(len(gold)), gold] += 1
-        by_type = np.stack([np.bincount(rows, left[:, i], len(names)) for i in range(len(langs))], axis=1)
+        by_type, jumps = np.zeros_like(scores), np.zeros_like(gold_jumps)
+        for chains in blocks:
+            words = slice(starts[chains[0]], ends[chains[-1]])
+            found, met = posteriors(scores[rows[words]], lengths[chains], model.transitions)
+            jumps += met
+            left = -found
+            left[np.arange(len(left)), gold[words]] += 1
+            by_type += np.stack([np.bincount(rows[words], left[:, i], len(names)) for i in range(len(langs))], axis=1)
         by_slot = np.stack([np.bincount(slot, by_type[at, i], 1 << TABLE_BITS) for i in range(len(langs))], axis=1)
         slopes = (by_slot / len(gold) - decay * model.weights, (gold_jumps - jumps) / len(gold) - decay * model.transitions)
         for k, (parameter, slope) in enumerate(zip((model.weights, model.transitions), slopes)):
@@ -245,17 +253,15 @@ def remainder(id_column: Column, modulus: int) -> Column:
 
 
 def fit_language_crf(
-    docs: DataFrame, *, docs_per_lang: int = 200, max_langs: int = 64, steps: int = 40,
+    docs: DataFrame, *, docs_per_lang: int = 200, steps: int = 40,
 ) -> LanguageCrf | None:
     """Fit on a bounded sample of ``docs(doc_id, text, lang)`` with text and language; None without one."""
     usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = usable.groupBy("lang").count().collect()
     if not counts:
         return None
     share = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) / float(1 << 30)
-    wanted = F.lit(False)
-    for row in counts:
-        wanted = wanted | ((F.col("lang") == row["lang"]) & (share < docs_per_lang / row["count"]))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], docs_per_lang / r["count"]) for r in counts], "lang string, wanted double")
 
     def cut(batches):
         for batch in sliced(batches, "text"):
@@ -270,7 +276,7 @@ def fit_language_crf(
                     out[2].append(piece)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1]), pa.array(out[2])], names=["h", "lang", "piece"])
 
-    sample = usable.filter(wanted).select("text", "lang").mapInArrow(cut, "h long, lang string, piece string")
+    sample = usable.join(F.broadcast(shares), "lang").filter(share < F.col("wanted")).select("text", "lang").mapInArrow(cut, "h long, lang string, piece string")
     pieces = sample.limit(2 * docs_per_lang * len(counts) * PIECES).collect()
     # Order by hash mixes documents and languages, and makes the fit repeatable.
     return fit_chains([(p["lang"], p["piece"].split()) for p in sorted(pieces, key=lambda p: (p["h"], p["lang"], p["piece"]))], steps=steps)
@@ -303,18 +309,19 @@ class _Shared:
 
 
 def identify_languages(docs: DataFrame, model: LanguageCrf | None, *, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """The rows of ``docs`` (without the text unless ``keep_text``) with lang_pred, score, n_words and n_switches.
+    """The rows of ``docs`` (without the text unless ``keep_text``) with lang_pred, score, n_words, n_switches and certainty.
 
-    ``score`` is the mean probability of ``lang_pred`` over the words; ``n_switches`` counts
-    neighbouring words of different likeliest languages. A null text, a text without a letter, and every text if there is no
-    model, is ``und`` with score 0. Existing columns of these names are replaced.
+    ``score`` is the mean probability of ``lang_pred`` over the words; ``certainty`` that of each word's own
+    likeliest language, whichever it is; ``n_switches`` counts neighbouring words of different likeliest languages. A null text, a text without a letter, and every text if there is no
+    model, is ``und`` with score and certainty 0. Existing columns of these names are replaced.
     """
-    added = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("n_words", T.LongType()), ("n_switches", T.LongType())]
+    added = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("n_words", T.LongType()), ("n_switches", T.LongType()),
+             ("certainty", T.DoubleType())]
     outputs = [name for name, _ in added]
     passed = [f for f in docs.schema.fields if f.name not in outputs and (keep_text or f.name != text_col)]
     names = [f.name for f in passed]
     if model is None:
-        values = (F.lit(UNDETERMINED), F.lit(0.0), F.lit(0).cast("long"), F.lit(0).cast("long"))
+        values = (F.lit(UNDETERMINED), F.lit(0.0), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0.0))
         return docs.select(*[f"`{n}`" for n in names], *[v.alias(n) for v, n in zip(values, outputs)])
     shared = _Shared(docs.sparkSession, model)
 
@@ -335,11 +342,13 @@ def identify_languages(docs: DataFrame, model: LanguageCrf | None, *, text_col:
             best = means.argmax(axis=1)
             top = marginals.argmax(axis=1)
             changed = np.r_[False, (top[1:] != top[:-1]) & (owner[1:] == owner[:-1])] if len(top) else np.zeros(0)
+            certain = np.bincount(owner, marginals.max(axis=1) * weights, len(split)) / np.maximum(n, 1)
             score = np.where(n > 0, means[np.arange(len(split)), best], 0.0)
             columns = [
                 pa.array([langs[b] if c else UNDETERMINED for b, c in zip(best, n)], pa.string()),
                 pa.array(np.clip(score, 0.0, 1.0)), pa.array(n.astype(np.int64)),
                 pa.array(np.bincount(owner, changed, len(split)).astype(np.int64)),
+                pa.array(np.clip(certain, 0.0, 1.0)),
             ]
             yield pa.RecordBatch.from_arrays([*[batch.column(at(n)) for n in names], *columns], names=[*names, *outputs])
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from imgtables.errors import ContractError
-from imgtables.llm import ann_forest
+from imgtables.llm import ann_forest, language_crf
 from imgtables.llm.ann_forest import nearest_by_inner_product
 from imgtables.llm.byte_bpe import BpeCodec, decode_ids, encode_texts, read_ranks, serialise_model
 from imgtables.llm.language_crf import fit_chains, fit_language_crf, identify_languages, label_words, posteriors
@@ -74,6 +74,32 @@ def test_language_edges(spark):
     assert identify_languages(H.empty_docs(spark), model).count() == 0
 
 
+def test_text_in_three_languages_stays(spark):
+    parts = {"en": "the house and the garden with trees", "de": "das haus und der garten mit baeumen", "fr": "la maison et le jardin avec arbres"}
+    rows = [(i, f"{parts[lang]} " * 6, lang) for lang in parts for i in range(20)]
+    rows.append((99, " ".join(f"{p} " * 10 for p in parts.values()), None))
+    rows = [(i, t, lang, "a", len(t)) for i, t, lang in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = identify_languages(docs, fit_language_crf(docs.select("doc_id", "text", "lang"))).filter("doc_id = 99").first()
+    assert found["score"] < 0.4 < 0.9 < found["certainty"] and found["n_switches"] == 2
+    assert corpus_pipeline.language_stage(spark, docs, "").filter("doc_id = 99").count() == 1
+
+
+def test_every_language_is_learned(spark):
+    rows = [(10 * i + j, f"wort{chr(97 + i % 26)}{chr(97 + i // 26)} " * 8, f"l{i}") for i in range(70) for j in range(2 if i else 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert fit_language_crf(docs, steps=1).langs == sorted({r[2] for r in rows})
+
+
+def test_training_in_blocks_is_the_same(monkeypatch):
+    pieces = [(lang, [f"{lang}{k}" for k in range(n)]) for n in (3, 5, 9) for lang in ("en", "de")] * 10
+    whole = fit_chains(pieces, steps=5)
+    monkeypatch.setattr(language_crf, "BLOCK_CELLS", 100)
+    parts = fit_chains(pieces, steps=5)
+    np.testing.assert_allclose(parts.weights, whole.weights, atol=1e-6)
+    np.testing.assert_allclose(parts.transitions, whole.transitions, atol=1e-6)
+
+
 def test_superscripts_are_no_letters(spark):
     model = fit_chains([("en", ["the", "house"]), ("de", ["das", "haus"])] * 4, steps=3)
     docs = spark.createDataFrame([(1, "² ½"), (2, "² house")], "doc_id long, text string")
