@@ -93,15 +93,26 @@ def _offsets(width: int) -> list[int]:
 
 
 def _string_hash(words: np.ndarray, width: int, at: np.ndarray | slice | None = None) -> np.ndarray:
-    """Hash of the ``width`` bytes at the given positions, or at every position."""
+    """Hash of the ``width`` bytes at the given positions, or at every position.
+
+    Words are mixed before they are added, so that differences of two words do not cancel out.
+    """
     count = len(words) + 8 - width
-    out = None
+    out, mixed = None, _mix(words) if at is None else None
     for i, o in enumerate(_offsets(width)):
-        part = (words[o:o + count] if at is None else words[at + o]) * U(_FACTORS[i])
+        part = (mixed[o:o + count] if at is None else _mix(words[at + o])) * U(_FACTORS[i])
         out = part if out is None else np.add(out, part, out=out)
     return out
 
 
+def _context_ids(s: Setting, words: np.ndarray, start: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return _mix(_mix(_string_hash(words, s.width, start)) + left.astype(U) * U(256) + right.astype(U))
+
+
+def _window_ids(s: Setting, words: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return _mix(_string_hash(words, s.length, start) ^ U(0xA5A5A5A5A5A5A5A5))
+
+
 class Shard:
     """Texts laid out with gaps of ``length`` zero bytes, so that contexts never meet another text."""
 
@@ -151,12 +162,19 @@ class Shard:
     def context_ids(self, pick: np.ndarray) -> np.ndarray:
         """A hash of the picked anchors' contexts and flanks; contexts under one hash are compared by bytes when sent."""
         s = self.setting
-        whole = _mix(_string_hash(_words(self.data), s.width, self.at[pick] - s.flank))
-        return _mix(whole + (self.left[pick] * 256 + self.right[pick]).astype(U))
+        return _context_ids(s, _words(self.data), self.at[pick] - s.flank, self.left[pick], self.right[pick])
 
     def window_ids(self, spots: np.ndarray) -> np.ndarray:
         """A hash of the windows at the given positions."""
-        return _mix(_string_hash(_words(self.data), self.setting.length, spots) ^ U(0xA5A5A5A5A5A5A5A5))
+        return _window_ids(self.setting, _words(self.data), spots)
+
+    def same_bytes(self, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+        """Whether the ``width`` bytes at two positions are equal, for each pair of positions."""
+        words = _words(self.data)
+        same = np.ones(len(a), bool)
+        for o in _offsets(width):
+            same &= words[a + o] == words[b + o]
+        return same
 
     def bytes_at(self, positions: np.ndarray, width: int) -> np.ndarray:
         return self.data[positions[:, None] + np.arange(width)]
@@ -263,20 +281,26 @@ def _shared_anchors(shards: DataFrame, setting: Setting, buckets: int) -> DataFr
 # --- step 3 -----------------------------------------------------------------------------------
 
 def _fold(ids: np.ndarray, docs: np.ndarray, *same: np.ndarray):
-    """First row, smallest and largest document per id; rows under one id must be the same."""
-    order = np.argsort(ids)
-    head = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]]) if len(ids) else np.zeros(0, np.int64)
-    first = np.repeat(order[head], np.diff(np.r_[head, len(ids)]))
-    for values in same:
-        if not np.array_equal(values[order], values[first]):
-            raise ContractError("two different contexts share a hash")
+    """First row, smallest and largest document per class: a run of rows that agree on id and on ``same``.
+
+    Where ids collide, a class may come in several runs; each is sent.
+    """
     if not len(ids):
-        return order, docs, docs
+        return np.zeros(0, np.int64), docs, docs
+    order = np.argsort(ids, kind="stable")
+    new = ids[order][1:] != ids[order][:-1]
+    for values in same:
+        differs = values[order][1:] != values[order][:-1]
+        new |= differs.any(axis=1) if differs.ndim > 1 else differs
+    head = np.flatnonzero(np.r_[True, new])
     return order[head], np.minimum.reduceat(docs[order], head), np.maximum.reduceat(docs[order], head)
 
 
 def _contexts(shard: Shard, shared: np.ndarray, hot: np.ndarray):
-    """What a shard sends: (bucket key, id, kind, left, right, smallest, largest, bytes) arrays."""
+    """What a shard sends: (bucket key, place, kind, left, right, smallest, largest, bytes) arrays.
+
+    The place, where the bytes start in the shard, names a context in the answers.
+    """
     s = shard.setting
     order = np.argsort(shard.keys)
     keys, docs = shard.keys[order], shard.docs[order]
@@ -289,7 +313,7 @@ def _contexts(shard: Shard, shared: np.ndarray, hot: np.ndarray):
     found = shard.bytes_at(shard.at[pick] - s.flank, s.width)
     sides = shard.left[pick] * 256 + shard.right[pick]
     first, low, high = _fold(ids, shard.docs[pick], found, sides, shard.keys[pick])
-    out = [shard.keys[pick][first], ids[first], np.zeros(len(first), np.uint8), shard.left[pick][first].astype(np.uint8),
+    out = [shard.keys[pick][first], (shard.at[pick][first] - s.flank).astype(U), np.zeros(len(first), np.uint8), shard.left[pick][first].astype(np.uint8),
            shard.right[pick][first].astype(np.uint8), low, high, found[first]]
     if is_hot.any():
         # each window around a hot anchor, as a context without a right flank
@@ -302,7 +326,7 @@ def _contexts(shard: Shard, shared: np.ndarray, hot: np.ndarray):
         found[:, :s.length] = shard.bytes_at(spots, s.length)
         first, low, high = _fold(ids, shard.ids[owner], found)
         n = len(first)
-        more = [ids[first], ids[first], np.ones(n, np.uint8), np.full(n, s.flank, np.uint8), np.zeros(n, np.uint8), low, high, found[first]]
+        more = [ids[first], spots[first].astype(U), np.ones(n, np.uint8), np.full(n, s.flank, np.uint8), np.zeros(n, np.uint8), low, high, found[first]]
         out = [np.concatenate([a, b]) for a, b in zip(out, more)]
     return out
 
@@ -342,7 +366,7 @@ def suffix_sources(contexts: np.ndarray, rows: np.ndarray, columns: np.ndarray,
 
 
 def _previous_factors(shards: DataFrame, shared: DataFrame, setting: Setting, buckets: int) -> DataFrame:
-    """Answers per shard and bucket: context or window ids, start offsets, and the smallest document."""
+    """Answers per shard and bucket: context or window places, start offsets, and the smallest document."""
     width, flank, length = setting.width, setting.flank, setting.length
     kinds = ((U, 1), (np.uint8, 1), (np.uint8, 1), (np.uint8, 1), (np.int64, 1), (np.int64, 1), (np.uint8, width))
 
@@ -369,14 +393,18 @@ def _previous_factors(shards: DataFrame, shared: DataFrame, setting: Setting, bu
                 at += part[-1].nbytes
         cid, kind, left, right, low, high, found = map(np.concatenate, parts)
         owner = np.repeat(np.asarray(table["shard"]), np.asarray(table["n"]))
-        anchor = _mix(_string_hash(_words(found), setting.gram, np.arange(len(cid)) * width + flank))
-        key = np.where(kind == 0, anchor, cid)  # as sent: a context belongs to its anchor, a single window to itself
+        words, at = _words(found), np.arange(len(cid)) * width
+        ident = np.where(kind == 0, _context_ids(setting, words, at, left, right), _window_ids(setting, words, at))
+        # as sent: a context belongs to its anchor, a single window to itself
+        key = np.where(kind == 0, _mix(_string_hash(words, setting.gram, at + flank)), ident)
         found = found.reshape(-1, width)
         # equal contexts are one class; the smallest document of a class stands for it
-        order = np.lexsort((cid, kind, key))
-        key, cid, kind, left, right, low, high, found, owner = (x[order] for x in (key, cid, kind, left, right, low, high, found, owner))
+        order = np.lexsort((ident, kind, key))
+        key, ident, cid, kind, left, right, low, high, found, owner = (
+            x[order] for x in (key, ident, cid, kind, left, right, low, high, found, owner)
+        )
         same_key = (key[1:] == key[:-1]) & (kind[1:] == kind[:-1])
-        same = same_key & (cid[1:] == cid[:-1]) & (left[1:] == left[:-1]) & (right[1:] == right[:-1])
+        same = same_key & (ident[1:] == ident[:-1]) & (left[1:] == left[:-1]) & (right[1:] == right[:-1])
         same &= (found[1:] == found[:-1]).all(axis=1)
         head = np.flatnonzero(np.r_[True, ~same])
         members = np.diff(np.r_[head, len(key)])
@@ -419,11 +447,14 @@ def _previous_factors(shards: DataFrame, shared: DataFrame, setting: Setting, bu
 # --- step 4 -----------------------------------------------------------------------------------
 
 def covered_bytes(shard: Shard, cids, firsts, lasts, sources, windows, window_sources) -> np.ndarray:
-    """Which bytes of the layout lie in a window that a smaller document has."""
+    """Which bytes of the layout lie in a window that a smaller document has.
+
+    An answer for the bytes at one place holds wherever the shard has the same bytes.
+    """
     s = shard.setting
     change = np.zeros(len(shard.data) + 1, np.int64)
 
-    def mark(ids, at, docs, answers, source, low, high):
+    def mark(ids, at, docs, answers, places, width, source, low, high):
         order = np.argsort(answers)
         answers = answers[order]
         a, b = np.searchsorted(answers, ids, "left"), np.searchsorted(answers, ids, "right")
@@ -432,17 +463,27 @@ def covered_bytes(shard: Shard, cids, firsts, lasts, sources, windows, window_so
         which = order[np.repeat(a, n) + np.arange(len(who)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)] if len(who) else who
         good = source[which] < docs[who]
         who, which = who[good], which[good]
+        good = shard.same_bytes(at[who], places[which], width)
+        who, which = who[good], which[good]
         np.add.at(change, at[who] + low[which], 1)
         np.add.at(change, at[who] + high[which] + s.length, -1)
 
     if len(cids):
         shard.anchors()
         usable = np.flatnonzero(shard.left + s.gram + shard.right >= s.length)
-        mark(shard.context_ids(usable), shard.at[usable] - s.flank, shard.docs[usable], cids, sources, firsts.astype(np.int64), lasts.astype(np.int64))
+        places = cids.astype(np.int64)
+        named = np.searchsorted(shard.at, places + s.flank)  # anchors stand in order
+        sides = shard.left * 256 + shard.right
+        first, last = firsts.astype(np.int64), lasts.astype(np.int64)
+        for one in np.unique(sides[named]).tolist():
+            mine, theirs = usable[sides[usable] == one], np.flatnonzero(sides[named] == one)
+            mark(shard.context_ids(mine), shard.at[mine] - s.flank, shard.docs[mine], shard.context_ids(named[theirs]), places[theirs], s.width,
+                 sources[theirs], first[theirs], last[theirs])
     if len(windows):
         spots = np.concatenate([np.arange(a, b - s.length + 1) for a, b in zip(shard.starts.tolist(), shard.ends.tolist())])
-        zero = np.zeros(len(windows), np.int64)
-        mark(shard.window_ids(spots), spots, shard.ids[np.searchsorted(shard.ends, spots, "right")], windows, window_sources, zero, zero)
+        zero, places = np.zeros(len(windows), np.int64), windows.astype(np.int64)
+        mark(shard.window_ids(spots), spots, shard.ids[np.searchsorted(shard.ends, spots, "right")], shard.window_ids(places), places, s.length,
+             window_sources, zero, zero)
     return np.cumsum(change[:-1]) > 0
 
 

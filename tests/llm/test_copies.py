@@ -155,6 +155,40 @@ def test_repeats_edges(spark):
     assert remove_repeats(H.empty_docs(spark)).count() == 0
 
 
+def test_contexts_of_two_varying_letters(spark):
+    """+4 and +12 in the top bytes of neighbouring words cancel out in a sum of words times factors."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(60):
+        base = rng.choice(np.frombuffer(b"bcdfgh ", np.uint8), 160)
+        base[[70, 78]] = ord("a"), ord("a")
+        other = base.copy()
+        other[[70, 78]] = ord("e"), ord("m")
+        rows += [(4 * i + k, t.tobytes().decode()) for k, t in enumerate((other, base, base[30:], other[20:140]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for hot_shards in (4096, 0):
+        assert {r["doc_id"]: tuple(r)[1:5] for r in remove_repeats(frame, hot_shards=hot_shards).collect()} == H.repeats(rows)
+
+
+def test_colliding_hashes_leave_bytes_to_decide(monkeypatch):
+    monkeypatch.setattr(repeats, "_mix", lambda x: x % np.uint64(3))
+    rng = np.random.default_rng(8)
+    base = rng.integers(97, 100, 300).astype(np.uint8)
+    texts = [np.concatenate([base[:150], rng.integers(97, 100, 60).astype(np.uint8)]) for _ in range(4)]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    shard = repeats.Shard(repeats.Setting(50, 4096), np.arange(4).tobytes(), sizes.tobytes(), b"".join(t.tobytes() for t in texts))
+    shard.anchors()
+    _, cids, kind, left, right, low, high, found = repeats._contexts(shard, np.unique(shard.keys >> np.uint64(16)), np.zeros(0, np.uint64))
+    _, index, times = np.unique(found, axis=0, return_inverse=True, return_counts=True)
+    assert len(times) > 3
+    np.testing.assert_array_equal(shard.bytes_at(cids.astype(np.int64), shard.setting.width), found)
+    lone = np.flatnonzero((low == high) & (times[index.ravel()] == 1))[:1]  # a context of one document, said to be in an earlier one
+    one = np.zeros(1, np.uint8)
+    gone = repeats.covered_bytes(shard, cids[lone], one, one, np.array([-1]), cids[:0], np.zeros(0, np.int64))
+    start = int(cids[lone][0])
+    assert gone[start:start + 50].all() and gone.sum() == 50
+
+
 def test_rows_without_an_id_come_last(spark):
     text = "a passage of text that is long enough to be found again, word for word"
     frame = spark.createDataFrame([(None, text), (5, text), (5, text)], "doc_id long, text string")
