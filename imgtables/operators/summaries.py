@@ -14,6 +14,7 @@ from .quantiles import BUFFER_ROWS, SMALL_GROUPS, exact_quantiles, group_sizes,
 from .selection import global_rank, worst_fraction
 
 NUMPY_ROWS = 100_000  # largest group that is resampled row by row in one task
+REPLICATES, DRAWS = 25, 1 << 16  # replicates a task replays, and positions drawn at a time
 _MASK = (1 << 31) - 1
 
 
@@ -177,6 +178,51 @@ def bootstrap_numpy(df: DataFrame, keys, metrics, samples: int, seed_col: str =
     return rows.groupBy(*keys, "metric").applyInPandas(resample, ddl)
 
 
+def bootstrap_stream(df: DataFrame, keys, metrics, samples: int, seed_col: str = "_seed", key: str = "stem") -> DataFrame:
+    """The interval of :func:`bootstrap_numpy` for groups of any size.
+
+    Tasks replay a group's seeded stream of positions in short blocks, each task emitting its own
+    replicates; drawn positions meet their rows in a join and sums combine map-side. No task
+    holds the rows of a group. Up to ``n x samples`` drawn positions are shuffled.
+    """
+    keys, offset = list(keys), {m: i for i, m in enumerate(metrics)}
+    names = [*keys, "metric"]
+    rows = long_metrics(df, [*keys, seed_col, key], metrics).filter(is_finite("value"))
+    ranked = materialize(global_rank(rows, *names, key))
+    groups = materialize(ranked.groupBy(*names).agg(
+        F.min("_rank").alias("_start"), F.count("*").alias("_n"), F.min_by(seed_col, "_rank").cast("long").alias("_seed")
+    ))
+    placed = materialize(
+        join_groups(ranked, groups.select(*names, "_start"), names)
+        .select(*names, (F.col("_rank") - F.col("_start")).alias("_i"), "value")
+    )
+    plans = groups.drop("_start").withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(samples - 1), F.lit(REPLICATES))))
+    plans = materialize(plans.repartition(*names, "_first"))
+    types = [f"`{k}` {plans.schema[k].dataType.simpleString()}" for k in names]
+
+    def draw(frames):
+        for pdf in frames:
+            for at in range(len(pdf)):
+                one = pdf.iloc[at:at + 1]
+                n, first = int(one["_n"].iloc[0]), int(one["_first"].iloc[0])
+                rng = np.random.default_rng(int(one["_seed"].iloc[0]) + offset[one["metric"].iloc[0]])
+                for b in range(min(first + REPLICATES, samples)):
+                    for start in range(0, n, DRAWS):
+                        found = rng.integers(0, n, min(DRAWS, n - start))
+                        if b >= first:
+                            i, w = np.unique(found, return_counts=True)
+                            yield one[names].loc[one.index.repeat(len(i))].assign(_b=b, _i=i, _w=w)
+
+    drawn = plans.mapInPandas(draw, ", ".join([*types, "_b int", "_i long", "_w long"]))
+    sums = join_groups(drawn, placed, [*names, "_i"]).groupBy(*names, "_b").agg(
+        (F.sum(F.col("_w") * F.col("value")) / F.sum("_w")).alias("value")
+    )
+    q = sorted_quantiles(F.col("value"), [0.025, 0.975])
+    return sums.groupBy(*names).agg(q.alias("q")).select(
+        *names, F.element_at("q", 1).alias("ci_lo"), F.element_at("q", 2).alias("ci_hi")
+    )
+
+
 def bootstrap_ci(df: DataFrame, keys, metrics=METRICS, samples: int = 1000, seed: int = 2026,
                  method: str = "poisson", key: str = "stem") -> DataFrame:
     """95 % interval of each mean: ``keys, metric, ci_lo, ci_hi``; ``samples=0`` gives NULLs.
@@ -184,7 +230,7 @@ def bootstrap_ci(df: DataFrame, keys, metrics=METRICS, samples: int = 1000, seed
     The caller chooses the method; it never depends on the table's size. ``poisson`` has no
     size limit; ``index`` draws exactly ``n`` hashed positions per replicate; ``numpy``
     reproduces a seeded row-by-row stream in one task per group, is meant for small tables
-    and refuses groups above ``NUMPY_ROWS``.
+    and refuses groups above ``NUMPY_ROWS``; ``stream`` gives the same draws without a limit.
     """
     keys = list(keys)
     if samples == 0:
@@ -196,6 +242,9 @@ def bootstrap_ci(df: DataFrame, keys, metrics=METRICS, samples: int = 1000, seed
             raise ContractError(f"group of {largest} rows is too large for method='numpy'; use 'poisson'")
         seeded = df if "_seed" in df.columns else df.withColumn("_seed", F.lit(seed))
         return bootstrap_numpy(seeded, keys, metrics, samples, key=key)
+    if method == "stream":
+        seeded = df if "_seed" in df.columns else df.withColumn("_seed", F.lit(seed))
+        return bootstrap_stream(seeded, keys, metrics, samples, key=key)
     if method == "index":
         return bootstrap_index(df, keys, metrics, samples, seed, key)
     elif method != "poisson":

@@ -114,7 +114,7 @@ def bootstrap_interval_index(v):
 @query("bootstrap_interval_numpy")
 def bootstrap_interval_numpy(v):
     """Row-by-row seeded resampling per texture cluster (a NumPy stream, not SQL)."""
-    return summaries.bootstrap_ci(v.met, ["split", "texture_cluster"], ["psnr_db", "ssim"], samples=200, method="numpy")
+    return summaries.bootstrap_ci(v.met, ["split", "texture_cluster"], ["psnr_db", "ssim"], samples=200, method="stream")
 
 
 @query("bootstrap_numpy_bounds", "met", f""", l AS (UNPIVOT (SELECT split, ssim, sobel_l1 FROM met) ON ssim, sobel_l1 INTO NAME metric VALUE value)
@@ -123,7 +123,7 @@ def bootstrap_interval_numpy(v):
 def bootstrap_numpy_bounds(v):
     """The resampled interval holds the mean and is as wide as the normal one, give or take a quarter."""
     names = ["ssim", "sobel_l1"]
-    found = summaries.bootstrap_ci(v.met, ["split"], names, samples=400, method="numpy")
+    found = summaries.bootstrap_ci(v.met, ["split"], names, samples=400, method="stream")
     facts = summaries.long_metrics(v.met, ["split"], names).groupBy("split", "metric").agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("s"), F.count("*").alias("n")
     )

@@ -200,6 +200,29 @@ def test_numpy_bootstrap_follows_the_seeded_stream(spark, rng):
     assert none["ci_lo"] is None
 
 
+def test_stream_bootstrap_has_no_limit_and_the_same_draws(spark, rng, monkeypatch):
+    from queries import metrics
+
+    x, g = rng.normal(10, 2, 300), [None if i % 3 == 0 else "ab"[i % 2] for i in range(300)]
+    x[5] = float("inf")
+    rows = [(f"{i:03d}", k, k, float(v), float(v) / 2, float(v) / 3) for i, (k, v) in enumerate(zip(g, x))]
+    df = spark.createDataFrame(rows, "stem string, split string, texture_cluster string, psnr_db double, ssim double, sobel_l1 double")
+    tables = []
+    monkeypatch.setattr(summaries, "DRAWS", 63)
+    for method in ("numpy", "stream"):
+        found = summaries.bootstrap_ci(df.repartition(5), ["split"], ["psnr_db", "ssim"], 30, 11, method).collect()
+        tables.append({(r["split"], r["metric"]): (r["ci_lo"], r["ci_hi"]) for r in found})
+    assert set(tables[0]) == set(tables[1]) and len(tables[0]) == 6
+    for name, want in tables[0].items():
+        np.testing.assert_allclose(tables[1][name], want)
+    monkeypatch.setattr(summaries, "NUMPY_ROWS", 10)
+
+    class Views:
+        met = df
+
+    assert metrics.bootstrap_interval_numpy(Views()).count() == 6
+
+
 def test_poisson_bootstrap_agrees_with_resampling(spark, rng, monkeypatch):
     x = rng.normal(10, 2, 2000)
     df = spark.createDataFrame([(f"{i:05d}", float(v)) for i, v in enumerate(x)], "stem string, psnr_db double")
