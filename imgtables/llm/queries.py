@@ -9,16 +9,19 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
 
+from .alignment import TokenizerPair, align_texts
 from .ann_forest import nearest_by_inner_product
 from .byte_bpe import encode_texts, read_ranks
 from .exact_dedup import exact_dedup
 from .language_crf import fit_language_crf, identify_languages
 from .line_dedup import line_report
 from .mixing import count_tokens, mixture_plan, realise
+from .prefix_trie import prefix_trie
 from .quality_gam import fit_quality, remainder, score_quality
 from .registry import ORACLES, QUERIES, query, table
 from .repeats import remove_repeats
 from .simhash import simhash_components
+from .toxicity import fit_toxicity, score_toxicity
 from .warc import read_archive, write_archive
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -157,3 +160,61 @@ def op5_repeats(spark, sf_dir):
 @query("op2_line_dedup")
 def op2_line_dedup(spark, sf_dir):
     return line_report(table(spark, sf_dir, "documents"))
+
+
+_CRC32 = """xor(list_reduce(
+    flatten(list_transform(string_split(c::VARCHAR, ''), ch -> [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+    lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) % 2 = 1 THEN 3988292384 ELSE 0 END), 4294967295::BIGINT
+), 4294967295)""".replace("ch ->", "lambda ch:")
+
+
+@query("op11_prefix_trie", f"""
+WITH t AS MATERIALIZED (
+    SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(r) || ':' || r || x)) AS pos, r, x
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)
+),
+k AS (SELECT c, c - c % 5 AS b, {_CRC32} % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+rebuilt AS MATERIALIZED (
+    SELECT c, row_number() OVER (PARTITION BY c ORDER BY pos) AS d, r, x
+    FROM (
+        SELECT k.c, pos, r, x FROM k JOIN t ON t.c = k.b AND pos <= h
+        UNION ALL SELECT k.c, pos, r, x FROM k JOIN t ON t.c = k.c AND pos > h
+    )
+),
+path AS MATERIALIZED (
+    SELECT c, d, strlen(x) AS n, string_agg(sha256(strlen(r) || ':' || r || x), '') OVER (PARTITION BY c ORDER BY d) AS p FROM rebuilt
+    UNION ALL SELECT c, 0, 0, '' FROM k
+),
+sizes AS (SELECT c, max(d) AS len FROM path GROUP BY c),
+node AS MATERIALIZED (SELECT p, d, min(c) AS c, count(*) AS n_convs, any_value(n) AS n FROM path GROUP BY p, d),
+kids AS (SELECT left(p, 64 * (d - 1)) AS p, count(*) AS kids FROM node WHERE d > 0 GROUP BY 1),
+ends AS (SELECT p, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS h FROM path JOIN sizes USING (c) WHERE d = len GROUP BY p),
+below AS (
+    SELECT a.p, sum((u.n_convs - 1) * u.n)::BIGINT AS saved, count(*) FILTER (WHERE kids.p IS NULL) AS leaves
+    FROM node u JOIN path a ON a.c = u.c AND a.d <= u.d LEFT JOIN kids ON kids.p = u.p GROUP BY a.p
+)
+SELECT node.c AS conv_id, node.d AS depth, CASE WHEN node.d > 0 THEN up.c END AS parent_conv_id, node.n_convs,
+       coalesce(kids, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, coalesce(h, sha256('')) AS ends_sha256
+FROM node LEFT JOIN kids ON kids.p = node.p LEFT JOIN ends ON ends.p = node.p JOIN below ON below.p = node.p
+LEFT JOIN node up ON up.d = node.d - 1 AND up.p = left(node.p, 64 * (node.d - 1))
+""")
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_toxicity")
+def op12_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(remainder(F.col("doc_id"), 5) != 0)
+    return score_toxicity(docs, fit_toxicity(docs, labels)).select(
+        "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query("op13_alignment")
+def op13_alignment(spark, sf_dir):
+    pair = TokenizerPair(
+        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+    return align_texts(table(spark, sf_dir, "documents"), pair)
