@@ -32,7 +32,7 @@ from ..session import materialize
 from .batches import gathered
 
 PIECE = 1 << 16  # ends merged in one piece
-BLOCK_BYTES = 4 << 20  # text of one block
+BLOCK_BYTES = 1 << 20  # text of one block; a task needs some hundred times as much for a moment
 _GAP = np.uint8(0)
 
 
