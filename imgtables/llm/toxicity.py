@@ -143,25 +143,32 @@ class BlockMaxIndex:
         ``without`` leaves out the example with this id.
         """
         bounds = weights @ self.tops[terms]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
+        order = np.argsort(-bounds, kind="stable")[:np.count_nonzero(bounds)]
         best, scores = np.zeros(0, np.int64), np.zeros(0)
         at, step = 0, max(1, -(-2 * k // block))
         while at < len(order):
             # A bound may lie below its own block's best score by rounding only.
             if len(scores) == k and bounds[order[at]] * (1 + 1e-9) < scores[-1]:
                 break
-            chosen = np.sort(order[at:at + step])
+            chosen = order[at:at + step]
             at, step = at + step, step * 2
-            low, high = self.starts[terms][:, chosen].ravel(), self.starts[terms][:, chosen + 1].ravel()
-            size = high - low
-            spot = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
-            which = self.places[spot]
-            total = np.bincount(which, np.repeat(np.repeat(weights, len(chosen)), size) * self.weights[spot], len(self.ids))
-            found = np.flatnonzero(total > 0)
+            low = self.starts[terms[:, None], chosen]
+            size = self.starts[terms[:, None], chosen + 1] - low
+            flat = size.ravel()
+            spot = np.repeat(low.ravel() - np.cumsum(flat) + flat, flat) + np.arange(flat.sum())
+            # Positions inside the chosen blocks, so that sums are as short as what is read.
+            base = np.arange(len(chosen)) * block - chosen * block
+            local = self.places[spot] + np.repeat(np.broadcast_to(base, size.shape).ravel(), flat)
+            total = np.bincount(local, np.repeat(weights, size.sum(1)) * self.weights[spot])
+            found = np.flatnonzero(total >= scores[-1] if len(scores) == k else total > 0)
+            if len(found) == 0:
+                continue
+            gained = total[found]
+            found = found - base[found // block]
             if without is not None:
-                found = found[self.ids[found] != without]
-            best, scores = np.r_[best, found], np.r_[scores, total[found]]
+                other = self.ids[found] != without
+                found, gained = found[other], gained[other]
+            best, scores = np.concatenate([best, found]), np.concatenate([scores, gained])
             kept = np.lexsort((self.ids[best], -scores))[:k]
             best, scores = best[kept], scores[kept]
         return best, scores
