@@ -128,20 +128,16 @@ def global_rank(df: DataFrame, *order) -> DataFrame:
     )
 
 
-def worst_fraction(metrics: DataFrame, metric: str = "psnr_db", fraction: float = 0.1,
-                   tie: str = "stem") -> DataFrame:
-    """Finite rows with the lowest metric, ``max(1, ceil(fraction*n))`` of all ``n`` rows.
-
-    The cutoff value is an exact order statistic; ties at the cutoff go to the lowest
-    ``tie`` keys. The selection itself is a plain filter.
-    """
+def worst_condition(metrics: DataFrame, metric: str = "psnr_db", fraction: float = 0.1, tie: str = "stem") -> Column:
+    """Which rows :func:`worst_fraction` keeps, as a condition on ``metric`` and ``tie``; never NULL."""
     finite = metrics.filter(is_finite(metric))
     sizes = metrics.agg(
         F.count("*").alias("n"), F.count(F.when(is_finite(metric), 1)).alias("finite")
     ).first()
     wanted = min(max(1, math.ceil(sizes["n"] * fraction)), sizes["finite"])
+    known = F.coalesce(is_finite(metric), F.lit(False))
     if wanted <= 0 or wanted == sizes["finite"]:
-        return finite
+        return known
     position = (wanted - 1) / max(sizes["finite"] - 1, 1)
     cutoff = exact_quantiles(finite, [], metric, [position], kind="nearest").first()["q"][0]
     tally = finite.agg(
@@ -150,17 +146,27 @@ def worst_fraction(metrics: DataFrame, metric: str = "psnr_db", fraction: float
     ).first()
     need = wanted - tally["below"]
     if need == tally["tied"]:
-        return finite.filter(F.col(metric) <= cutoff)
+        return known & (F.col(metric) <= cutoff)
     tied = finite.filter(F.col(metric) == cutoff).select(tie)
     if tally["tied"] <= TIE_ROWS:
         last = tied.orderBy(tie).limit(need).agg(F.max(tie)).first()[0]
     else:
         last = global_rank(tied, tie).filter(F.col("_rank") == need - 1).first()[tie]
-    return finite.filter(
-        (F.col(metric) < cutoff) | ((F.col(metric) == cutoff) & (F.col(tie) <= F.lit(last)))
+    return known & (
+        (F.col(metric) < cutoff) | ((F.col(metric) == cutoff) & F.coalesce(F.col(tie) <= F.lit(last), F.lit(False)))
     )
 
 
+def worst_fraction(metrics: DataFrame, metric: str = "psnr_db", fraction: float = 0.1,
+                   tie: str = "stem") -> DataFrame:
+    """Finite rows with the lowest metric, ``max(1, ceil(fraction*n))`` of all ``n`` rows.
+
+    The cutoff value is an exact order statistic; ties at the cutoff go to the lowest
+    ``tie`` keys. The selection itself is a plain filter.
+    """
+    return metrics.filter(worst_condition(metrics, metric, fraction, tie))
+
+
 def stable_order(df: DataFrame, key: str = "stem") -> DataFrame:
     """Total order by key; UTF-8 byte order equals code-point order."""
     return df.orderBy(key)

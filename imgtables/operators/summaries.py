@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..errors import ContractError
 from ..functions.columns import better, hash_uniform, is_finite
 from ..schema import METRICS, RANKED_METRICS
 from ..session import materialize
 from .quantiles import BUFFER_ROWS, SMALL_GROUPS, exact_quantiles, group_sizes, join_groups, sorted_quantiles
-from .selection import global_rank, worst_fraction
+from .selection import global_rank, worst_condition, worst_fraction
 
-NUMPY_ROWS = 100_000  # largest group that is resampled row by row in one task
+DRAWN_WEIGHTS = 1 << 19  # Poisson weights drawn at a time
+BUCKETS = 1024  # buckets of values per metric
+HELD_SUMS = 1 << 22  # partial sums a task holds before it sends them
 REPLICATES, DRAWS = 25, 1 << 16  # replicates a task replays, and positions drawn at a time
 _MASK = (1 << 31) - 1
 
@@ -56,15 +57,12 @@ def finite_summary(df: DataFrame, keys, metrics=METRICS, buffer_rows: int = BUFF
 # --- bootstrap ------------------------------------------------------------------------
 
 
-def _mix(df: DataFrame, column: str) -> DataFrame:
-    """One multiply-and-shift scrambling round on 31-bit integers, in place.
-
-    Each step is its own projection, so no step's expression is repeated in the next.
-    """
+def _mix(x: np.ndarray) -> np.ndarray:
+    """One multiply-and-shift scrambling round on 31-bit integers."""
     for factor, shift in ((73244475, 15), (668265261, 13)):
-        df = df.withColumn(column, (F.col(column) * F.lit(factor)).bitwiseAND(F.lit(_MASK)))
-        df = df.withColumn(column, F.col(column).bitwiseXOR(F.shiftright(column, shift)))
-    return df
+        x = (x * factor) & _MASK
+        x ^= x >> shift
+    return x
 
 
 # Cumulative Poisson(1) probabilities, times 2^31.
@@ -73,41 +71,83 @@ POISSON_STEPS = tuple(
 )
 
 
-def resample_weights(df: DataFrame, samples: int, seed: int, key: str) -> DataFrame:
-    """Every row once per replicate ``_b`` with its Poisson(1) weight ``_w``.
+def poisson_weights(h1: np.ndarray, h2: np.ndarray, samples: int) -> np.ndarray:
+    """Poisson(1) weights, rows by replicates, from two 31-bit halves of a digest of each row's key.
 
-    The weight is a function of ``(seed, key, replicate)`` alone: two 31-bit halves of a
-    digest of the key are scrambled with the replicate number.
+    A weight is a function of seed, key and replicate number alone: no stream is advanced, so any
+    task can draw any part.
     """
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)).cast("binary"))
+    step = (np.arange(samples, dtype=np.int64) * 40503) & _MASK
+    x = _mix(_mix(h1[:, None] ^ step[None, :]) ^ h2[:, None])
+    return np.searchsorted(np.array(POISSON_STEPS), x.ravel(), "right").reshape(x.shape)
 
-    def half(at):
-        return F.conv(F.substring("_digest", at, 8), 16, 10).cast("bigint").bitwiseAND(F.lit(_MASK))
 
-    rows = df.withColumn("_digest", digest).withColumn("_h1", half(1)).withColumn("_h2", half(9))
-    rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).drop("_digest")
-    step = (F.col("_b").cast("bigint") * F.lit(40503)).bitwiseAND(F.lit(_MASK))
-    rows = _mix(rows.withColumn("_x", F.col("_h1").bitwiseXOR(step)), "_x")
-    rows = _mix(rows.withColumn("_x", F.col("_x").bitwiseXOR(F.col("_h2"))), "_x")
-    weight = F.when(F.col("_x") < POISSON_STEPS[0], 0)
-    for w, bound in enumerate(POISSON_STEPS[1:], start=1):
-        weight = weight.when(F.col("_x") < bound, w)
-    return rows.withColumn("_w", weight.otherwise(len(POISSON_STEPS))).drop("_h1", "_h2", "_x")
+def poisson_sums(df: DataFrame, keys, metrics, samples: int, seed: int, key: str = "stem") -> DataFrame:
+    """Per group and replicate ``_b`` the weighted sums ``s_*`` and weights ``w_*`` of each metric.
 
+    Weights are drawn inside an Arrow batch and multiplied into sums there, so rows are never
+    multiplied by replicates: a task sends ``groups x samples`` partial sums, whatever its rows,
+    and lets go of them early when it meets many groups. Groups of any size and skew take one
+    narrow pass. Weights stop at 9, which cuts 1.1e-7 of the Poisson(1) mass.
+    """
+    keys, metrics = list(keys), list(metrics)
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)).cast("binary"))
+    halves = [F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint").bitwiseAND(F.lit(_MASK)) for at in (1, 9)]
+    values = [F.when(is_finite(m), F.col(m).cast("double")).alias(f"_v{i}") for i, m in enumerate(metrics)]
+    rows = df.select(*keys, halves[0].alias("_h1"), halves[1].alias("_h2"), *values)
+    fields = rows.schema
+    sums = [f"{kind}_{i}" for kind in ("s", "w") for i in range(len(metrics))]
+    kinds = [f"`{k}` {fields[k].dataType.simpleString()}" for k in keys]
+    most = max(1, HELD_SUMS // (len(sums) * samples))
+
+    def partial(batches):
+        totals: dict = {}
+        types = None
+
+        def drained():
+            names = [n for n, _ in totals]
+            columns = [pa.array([n[i] for n in names for _ in range(samples)], t) for i, t in enumerate(types)]
+            stacked = [np.concatenate([total[i] for _, total in totals]) for i in range(len(sums))]
+            return pa.RecordBatch.from_arrays(
+                [*columns, pa.array(np.tile(np.arange(samples, dtype=np.int32), len(names))), *map(pa.array, stacked)],
+                names=[*keys, "_b", *sums],
+            )
+
+        held: dict = {}
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in keys]
+            names = list(zip(*[batch.column(i).to_pylist() for i in range(len(keys))])) if keys else [()] * batch.num_rows
+            known: dict = {}
+            code = np.array([known.setdefault(n, len(known)) for n in names], np.int64)
+            h1, h2 = (batch.column(len(keys) + i).to_numpy(zero_copy_only=False) for i in range(2))
+            x = np.array([batch.column(len(keys) + 2 + i).to_numpy(zero_copy_only=False) for i in range(len(metrics))], np.float64)
+            x = x.reshape(len(metrics), batch.num_rows)
+            there = ~np.isnan(x)
+            facts = np.vstack([np.where(there, x, 0.0), there])
+            order = np.argsort(code, kind="stable")
+            cuts = np.searchsorted(code[order], np.arange(len(known) + 1))
+            step = max(1, DRAWN_WEIGHTS // samples)
+            for n, start, stop in zip(known, cuts[:-1], cuts[1:]):
+                total = held.setdefault(n, np.zeros((len(sums), samples)))
+                for at in range(start, stop, step):
+                    at = order[at:min(at + step, stop)]
+                    total += facts[:, at] @ poisson_weights(h1[at], h2[at], samples).astype(np.float64)
+            if len(held) >= most:
+                totals = list(held.items())
+                yield drained()
+                held = {}
+        if held:
+            totals = list(held.items())
+            yield drained()
+
+    drawn = rows.mapInArrow(partial, ", ".join([*kinds, "_b int", *[f"{c} double" for c in sums]]))
+    summed = drawn.groupBy(*keys, "_b").agg(*[F.sum(c).alias(c) for c in sums])
+    return summed.withColumnsRenamed({f"{k}_{i}": f"{k}_{m}" for k in ("s", "w") for i, m in enumerate(metrics)})
 
-def bootstrap_poisson(df: DataFrame, keys, metrics, samples: int, seed: int, key: str = "stem") -> DataFrame:
-    """Percentile interval of the mean by independent Poisson(1) row weights.
 
-    Every row meets every replicate in place and partial sums combine map-side, so groups
-    of any size and skew take one narrow pass plus a shuffle of ``groups x samples`` rows.
-    Weights stop at 9, which cuts 1.1e-7 of the Poisson(1) mass.
-    """
-    keys = list(keys)
-    values = [F.when(is_finite(m), F.col(m).cast("double")).alias(m) for m in metrics]
-    weighted = resample_weights(df.select(*keys, key, *values), samples, seed, key)
-    # Zero weights add nothing; a filter on them would repeat the whole weight expression.
-    sums = weighted.groupBy(*keys, "_b").agg(*_weighted_sums(metrics))
-    return _interval(sums, keys, metrics)
+def bootstrap_poisson(df: DataFrame, keys, metrics, samples: int, seed: int, key: str = "stem") -> DataFrame:
+    """Percentile interval of the mean by independent Poisson(1) row weights."""
+    return _interval(poisson_sums(df, keys, metrics, samples, seed, key), list(keys), metrics)
 
 
 def bootstrap_index(df: DataFrame, keys, metrics, samples: int, seed: int, key: str = "stem") -> DataFrame:
@@ -154,34 +194,11 @@ def _interval(sums: DataFrame, keys, metrics) -> DataFrame:
     )
 
 
-def bootstrap_numpy(df: DataFrame, keys, metrics, samples: int, seed_col: str = "_seed",
-                    key: str = "stem") -> DataFrame:
-    """Row-by-row resampling with one seeded NumPy stream per group and metric.
-
-    Draws follow the key order inside a group, seeded by the group's ``_seed`` plus the
-    metric's position. Groups must be proven small by the caller.
-    """
-    keys, offset = list(keys), {m: i for i, m in enumerate(metrics)}
-    fields = df.schema
-    types = [f"`{k}` {fields[k].dataType.simpleString()}" for k in keys]
-    ddl = ", ".join([*types, "metric string", "ci_lo double", "ci_hi double"])
-
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key, kind="stable")
-        x = pdf["value"].to_numpy()
-        rng = np.random.default_rng(int(pdf[seed_col].iloc[0]) + offset[pdf["metric"].iloc[0]])
-        means = [rng.choice(x, size=len(x), replace=True).mean() for _ in range(samples)]
-        low, high = np.quantile(means, (0.025, 0.975))
-        return pdf[[*keys, "metric"]].head(1).assign(ci_lo=low, ci_hi=high)
-
-    rows = long_metrics(df, [*keys, seed_col, key], metrics).filter(is_finite("value"))
-    return rows.groupBy(*keys, "metric").applyInPandas(resample, ddl)
-
-
 def bootstrap_stream(df: DataFrame, keys, metrics, samples: int, seed_col: str = "_seed", key: str = "stem") -> DataFrame:
-    """The interval of :func:`bootstrap_numpy` for groups of any size.
+    """Row-by-row resampling with one seeded NumPy stream per group and metric, for groups of any size.
 
-    Tasks replay a group's seeded stream of positions in short blocks, each task emitting its own
+    Draws follow the key order inside a group, seeded by the group's ``_seed`` plus the metric's
+    position. Tasks replay a group's seeded stream of positions in short blocks, each task emitting its own
     replicates; drawn positions meet their rows in a join and sums combine map-side. No task
     holds the rows of a group. Up to ``n x samples`` drawn positions are shuffled.
     """
@@ -228,20 +245,13 @@ def bootstrap_ci(df: DataFrame, keys, metrics=METRICS, samples: int = 1000, seed
     """95 % interval of each mean: ``keys, metric, ci_lo, ci_hi``; ``samples=0`` gives NULLs.
 
     The caller chooses the method; it never depends on the table's size. ``poisson`` has no
-    size limit; ``index`` draws exactly ``n`` hashed positions per replicate; ``numpy``
-    reproduces a seeded row-by-row stream in one task per group, is meant for small tables
-    and refuses groups above ``NUMPY_ROWS``; ``stream`` gives the same draws without a limit.
+    size limit; ``index`` draws exactly ``n`` hashed positions per replicate; ``stream``
+    reproduces a seeded row-by-row NumPy stream.
     """
     keys = list(keys)
     if samples == 0:
         null = F.lit(None).cast("double")
         return finite_summary(df, keys, metrics).select(*keys, "metric", null.alias("ci_lo"), null.alias("ci_hi"))
-    if method == "numpy":
-        largest, _ = group_sizes(df.select(*keys), keys)
-        if largest > NUMPY_ROWS:
-            raise ContractError(f"group of {largest} rows is too large for method='numpy'; use 'poisson'")
-        seeded = df if "_seed" in df.columns else df.withColumn("_seed", F.lit(seed))
-        return bootstrap_numpy(seeded, keys, metrics, samples, key=key)
     if method == "stream":
         seeded = df if "_seed" in df.columns else df.withColumn("_seed", F.lit(seed))
         return bootstrap_stream(seeded, keys, metrics, samples, key=key)
@@ -297,12 +307,96 @@ def scope_rows(metrics: DataFrame, groups=("split", "texture_cluster"), seed: in
     return rows
 
 
+def _scope_entries(groups, worst: bool) -> Column:
+    """The scopes that a cell of equal labels belongs to."""
+    def entry(scope, group):
+        return F.struct(F.lit(scope).alias("scope"), group.cast("string").alias("group_key"))
+
+    entries = [entry("all", F.lit("")), *[entry(f"by_{c}", F.col(c)) for c in groups]]
+    plain = F.array(*entries)
+    return F.when(F.col("_worst"), F.array(*entries, entry("worst_psnr_decile", F.lit("")))).otherwise(plain) if worst else plain
+
+
+def scope_summaries(metrics: DataFrame, names=METRICS, groups=("split", "texture_cluster"), worst: bool = True) -> DataFrame:
+    """:func:`finite_summary` of every scope at once: ``scope, group_key, metric, count, mean, median, finite_count, missing_count``.
+
+    Rows are counted and added once, per cell of equal labels and bucket of values; scopes are
+    sums over cells. The bucket counts of a scope also say in which bucket its middle ranks lie
+    and how many values come before, so only the values of those buckets are looked at again,
+    and medians are exact. No row is copied per scope, and no scope's rows meet in one task.
+    """
+    names, groups = list(names), list(groups)
+    ends = metrics.agg(*[
+        f(F.when(is_finite(m), F.col(m).cast("double"))).alias(f"{tag}_{m}") for m in names for tag, f in (("lo", F.min), ("hi", F.max))
+    ]).first()
+    rows = metrics.withColumn("_worst", worst_condition(metrics) if worst else F.lit(False))
+
+    def bucketed(m):
+        low, high = ends[f"lo_{m}"], ends[f"hi_{m}"]
+        value = F.when(is_finite(m), F.col(m).cast("double"))
+        # Halves cannot overflow; the rounding of every step keeps the order of values.
+        width = 0.0 if low is None else high / 2 - low / 2
+        place = F.lit(0.0) if width == 0 else (value / 2 - low / 2) / width * BUCKETS
+        bucket = F.when(value.isNotNull(), F.least(F.floor(place), F.lit(BUCKETS - 1)).cast("int"))
+        return F.struct(F.lit(m).alias("metric"), value.alias("value"), bucket.alias("bucket"))
+
+    spread_out = rows.select(*groups, "_worst", F.inline(F.array(*[bucketed(m) for m in names])))
+    cells = spread_out.groupBy(*groups, "_worst", "metric", "bucket").agg(F.count("*").alias("n"), F.sum("value").alias("s"))
+    entries, keys = _scope_entries(groups, worst), ["scope", "group_key", "metric"]
+    counts = materialize(
+        cells.select(F.inline(entries), "metric", "bucket", "n", "s").groupBy(*keys, "bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    )
+    finite = F.when(F.col("bucket").isNotNull(), F.col("n"))
+    facts = counts.groupBy(*keys).agg(
+        F.sum("n").alias("count"), F.try_divide(F.sum("s"), F.sum(finite)).alias("mean"),
+        F.coalesce(F.sum(finite), F.lit(0)).alias("finite_count"), F.coalesce(F.sum(F.when(F.col("bucket").isNull(), F.col("n"))), F.lit(0)).alias("missing_count"),
+    )
+    group = Window.partitionBy(*keys)
+    located = counts.filter("bucket is not null").withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
+    r0, r1 = F.floor((F.col("total") - 1) / 2), F.ceil((F.col("total") - 1) / 2)
+    before = F.col("upto") - F.col("n")
+    held = [(F.col("upto") > r) & (before <= r) for r in (r0, r1)]
+    wanted = located.filter(held[0] | held[1]).select(
+        *keys, "bucket", F.when(held[0], r0 - before).alias("r0"), F.when(held[1], r1 - before).alias("r1")
+    )
+    wanted = materialize(wanted)
+    few = F.broadcast if wanted.count() <= SMALL_GROUPS else (lambda df: df)
+    again = (
+        spread_out.join(few(wanted.select("metric", "bucket").distinct()), ["metric", "bucket"], "left_semi")
+        .select(F.inline(entries), "metric", "bucket", "value")
+    )
+    inside = join_groups(again, wanted, [*keys, "bucket"], broadcast=few is F.broadcast)
+    ties = inside.groupBy(*keys, "bucket", "r0", "r1", "value").agg(F.count("*").alias("c"))
+    ties = ties.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys, "bucket").orderBy("value")))
+
+    def at(rank):
+        return F.max(F.when((F.col("upto") > F.col(rank)) & (F.col("upto") - F.col("c") <= F.col(rank)), F.col("value")))
+
+    medians = ties.groupBy(*keys).agg(at("r0").alias("a"), at("r1").alias("b")).select(
+        *keys, (F.col("a") + (F.col("b") - F.col("a")) * 0.5).alias("median")
+    )
+    return join_groups(facts, medians, keys, "left").select(*keys, "count", "mean", "median", "finite_count", "missing_count")
+
+
 def summarize_scopes(metrics: DataFrame, names=METRICS, groups=("split", "texture_cluster"),
                      samples: int = 0, seed: int = 2026, method: str = "poisson") -> DataFrame:
-    """Long summary over ``{all}``, each grouping column and the worst PSNR decile."""
-    seeded = samples > 0 and method == "numpy"
-    rows = scope_rows(metrics, groups, seed if seeded else None)
-    return summarize(rows, ["scope", "group_key"], names, samples, seed, method)
+    """Long summary over ``{all}``, each grouping column and the worst PSNR decile, with interval columns."""
+    table, keys = scope_summaries(metrics, names, groups), ["scope", "group_key"]
+    if samples == 0:
+        null = F.lit(None).cast("double")
+        return table.withColumn("ci_lo", null).withColumn("ci_hi", null)
+    if method == "poisson":
+        # Weights depend on keys alone, so the sums of a scope's cells are the scope's sums.
+        names, groups = list(names), list(groups)
+        flagged = metrics.withColumn("_worst", worst_condition(metrics))
+        sums = poisson_sums(flagged, [*groups, "_worst"], names, samples, seed)
+        scoped = sums.select(F.inline(_scope_entries(groups, True)), "_b", *[f"{k}_{m}" for k in ("s", "w") for m in names])
+        scoped = scoped.groupBy(*keys, "_b").agg(*[F.sum(f"{k}_{m}").alias(f"{k}_{m}") for k in ("s", "w") for m in names])
+        intervals = _interval(scoped, keys, names)
+    else:
+        rows = scope_rows(metrics, groups, seed if method == "stream" else None)
+        intervals = bootstrap_ci(rows, keys, names, samples, seed, method)
+    return join_groups(table, intervals, [*keys, "metric"], "left")
 
 
 # --- paired comparison ---------------------------------------------------------------------

@@ -191,7 +191,7 @@ def test_finite_summary_and_large_path(spark, monkeypatch, rng):
 def test_numpy_bootstrap_follows_the_seeded_stream(spark, rng):
     x = rng.random(37)
     df = spark.createDataFrame([(f"{i:02d}", float(v), 1.0) for i, v in enumerate(x)], "stem string, psnr_db double, ssim double")
-    got = {r["metric"]: r for r in summaries.bootstrap_ci(df.repartition(5), [], ["psnr_db", "ssim"], 100, 11, "numpy").collect()}
+    got = {r["metric"]: r for r in summaries.bootstrap_ci(df.repartition(5), [], ["psnr_db", "ssim"], 100, 11, "stream").collect()}
     draws = np.random.default_rng(11)
     want = np.quantile([draws.choice(x, size=37, replace=True).mean() for _ in range(100)], (0.025, 0.975))
     np.testing.assert_allclose([got["psnr_db"]["ci_lo"], got["psnr_db"]["ci_hi"]], want)
@@ -207,15 +207,16 @@ def test_stream_bootstrap_has_no_limit_and_the_same_draws(spark, rng, monkeypatc
     x[5] = float("inf")
     rows = [(f"{i:03d}", k, k, float(v), float(v) / 2, float(v) / 3) for i, (k, v) in enumerate(zip(g, x))]
     df = spark.createDataFrame(rows, "stem string, split string, texture_cluster string, psnr_db double, ssim double, sobel_l1 double")
-    tables = []
     monkeypatch.setattr(summaries, "DRAWS", 63)
-    for method in ("numpy", "stream"):
-        found = summaries.bootstrap_ci(df.repartition(5), ["split"], ["psnr_db", "ssim"], 30, 11, method).collect()
-        tables.append({(r["split"], r["metric"]): (r["ci_lo"], r["ci_hi"]) for r in found})
-    assert set(tables[0]) == set(tables[1]) and len(tables[0]) == 6
-    for name, want in tables[0].items():
-        np.testing.assert_allclose(tables[1][name], want)
-    monkeypatch.setattr(summaries, "NUMPY_ROWS", 10)
+    found = summaries.bootstrap_ci(df.repartition(5), ["split"], ["psnr_db", "ssim"], 30, 11, "stream").collect()
+    got = {(r["split"], r["metric"]): (r["ci_lo"], r["ci_hi"]) for r in found}
+    assert len(got) == 6
+    for label in (None, "a", "b"):
+        for offset, metric in enumerate(("psnr_db", "ssim")):
+            draws = np.random.default_rng(11 + offset)
+            values = np.array([v for r in rows if r[1] == label and math.isfinite(v := r[3 + offset])])
+            want = np.quantile([draws.choice(values, size=len(values), replace=True).mean() for _ in range(30)], (0.025, 0.975))
+            np.testing.assert_allclose(got[label, metric], want)
 
     class Views:
         met = df
@@ -234,11 +235,14 @@ def test_poisson_bootstrap_agrees_with_resampling(spark, rng, monkeypatch):
     assert again["ci_lo"] == pytest.approx(row["ci_lo"], abs=1e-9)
     index = summaries.bootstrap_ci(df, [], ["psnr_db"], 400, method="index").first()
     assert index["ci_hi"] - index["ci_lo"] == pytest.approx(2 * half, rel=0.2)
-    w = summaries.resample_weights(df.select("stem"), 50, 3, "stem").agg(F.avg("_w"), F.var_pop("_w")).first()
-    assert w[0] == pytest.approx(1, abs=0.02) and w[1] == pytest.approx(1, abs=0.03)
-    monkeypatch.setattr(summaries, "NUMPY_ROWS", 10)
-    with pytest.raises(ContractError, match="too large"):
-        summaries.bootstrap_ci(df, [], ["psnr_db"], 10, method="numpy")
+    halves = rng.integers(0, 1 << 31, (2, 2000))
+    w = summaries.poisson_weights(*halves, 50)
+    assert w.mean() == pytest.approx(1, abs=0.02) and w.var() == pytest.approx(1, abs=0.03)
+    monkeypatch.setattr(summaries, "HELD_SUMS", 1)
+    monkeypatch.setattr(summaries, "DRAWN_WEIGHTS", 1000)
+    grouped = df.withColumn("g", F.when(F.col("psnr_db") > 9, F.col("stem").substr(4, 1)))
+    parts = {r["g"]: r for r in summaries.bootstrap_ci(grouped, ["g"], ["psnr_db"], 60).collect()}
+    assert len(parts) == 11 and all(r["ci_lo"] < r["ci_hi"] for r in parts.values())
     with pytest.raises(ValueError, match="unknown"):
         summaries.bootstrap_ci(df, [], ["psnr_db"], 10, method="auto")
 
@@ -247,7 +251,7 @@ def test_scopes_use_the_documented_seeds(spark, rng):
     rows = [(f"{i:02d}", s, c, *[float(v) for v in rng.random(6)]) for i, (s, c) in enumerate([("train", "t1"), ("val", "t0")] * 12)]
     ddl = "stem string, split string, texture_cluster string, " + ", ".join(f"{m} double" for m in summaries.METRICS)
     df = spark.createDataFrame(rows, ddl)
-    table = {(r["scope"], r["group_key"], r["metric"]): r for r in summaries.summarize_scopes(df, samples=20, seed=5, method="numpy").collect()}
+    table = {(r["scope"], r["group_key"], r["metric"]): r for r in summaries.summarize_scopes(df, samples=20, seed=5, method="stream").collect()}
     assert len(table) == 6 * (1 + 2 + 2 + 1)
 
     def want(seed, values):
