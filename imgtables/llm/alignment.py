@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
@@ -245,9 +246,7 @@ def align_texts(docs: DataFrame, pair: TokenizerPair, *, id_col: str = "doc_id",
 
     def encode(batches):
         codec = _codec(shared)
-        from pyspark import TaskContext
-
-        block = (TaskContext.get().partitionId() << 33) if TaskContext.get() else 0
+        block = TaskContext.get().partitionId() << 33
         for table in gathered(batches, "text", BLOCK_BYTES):
             raw = table.column("text").combine_chunks().cast(pa.binary()).to_pylist()
             found = [codec.encode(v.decode("utf-8", "replace")) if v else ([], []) for v in raw]

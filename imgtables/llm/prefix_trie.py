@@ -20,7 +20,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 
@@ -83,13 +84,15 @@ class Parentheses:
         return found
 
 
-def shard_edges(offsets, a, conv, n, rep, saving, last_is_leaf: bool) -> dict[str, np.ndarray]:
+def shard_edges(offsets, edges: dict[str, np.ndarray], rep, ends, digest, last_is_leaf: bool) -> dict[str, np.ndarray]:
     """Values of the edges of sorted paths, from the shard's parentheses.
 
-    Path ``i`` is ``offsets[i]:offsets[i+1]`` of ``a`` (depth of the edge's first node), ``conv``
-    and ``n``; ``rep`` is its conversation, ``saving`` the own savings of the edges for which
-    that is the smallest member, in order. ``last_is_leaf``: no path of a later shard extends the last.
+    Path ``i`` is ``offsets[i]:offsets[i+1]`` of every column of ``edges``: depths ``a`` and ``z``
+    of the edge's first and last node, names ``c`` and ``n``, own saving ``w`` and ``base``, the
+    bytes before it. ``rep`` is the smallest conversation on the path, ``digest`` that of all of
+    them. ``last_is_leaf``: no path of a later shard extends the last.
     """
+    conv, n = edges["c"], edges["n"]
     length = np.diff(offsets)
     shared = np.zeros(len(length), np.int64)
     if len(length) > 1:
@@ -123,7 +126,7 @@ def shard_edges(offsets, a, conv, n, rep, saving, last_is_leaf: bool) -> dict[st
     place = begin[which] + np.maximum(level - 1 - shared[which], -1)
     own = conv == rep[which]
     weight = np.zeros(len(at), np.int64)
-    weight[opened_at(level[own], place[own])] = saving
+    weight[opened_at(level[own], place[own])] = edges["w"][own]
     upto = np.r_[0, np.cumsum(weight)]
     order = np.arange(len(at))
     inner = depth > 1
@@ -131,16 +134,22 @@ def shard_edges(offsets, a, conv, n, rep, saving, last_is_leaf: bool) -> dict[st
     parent[inner] = opened_at(depth[inner] - 1, at[inner])
     child = own & (level > 1)
     kids = parent[opened_at(level[child], place[child])]
+    closing = np.full(len(at), None, object)
+    end = offsets[1:] - 1
+    closing[opened_at(level[end], place[end])] = digest
     return {
-        "conv_id": conv[opened], "n_convs": n[opened], "top": a[opened],
+        "conv_id": conv[opened], "n_convs": n[opened], **{k: edges[k][opened] for k in ("a", "z", "base")},
         "parent_conv_id": np.where(inner, conv[opened][parent], -1), "has_parent": inner,
         "n_leaves": leaves[close] - leaves[at], "saved": upto[order + size] - upto[order],
-        "n_children": np.bincount(kids, minlength=len(at)).astype(np.int64),
+        "n_children": np.bincount(kids, minlength=len(at)).astype(np.int64), "ends_sha256": closing,
         "spine": (order < length[0]) | (close >= len(trie.bits) - length[-1]),
     }
 
 
-_EDGE = "conv_id long, n_convs long, top long, parent_conv_id long, n_leaves long, saved long, n_children long, spine boolean"
+_EDGE = (
+    "conv_id long, n_convs long, a long, z long, base long, parent_conv_id long, n_leaves long, saved long, n_children long, "
+    "ends_sha256 string, spine boolean"
+)
 
 
 def _shards(batches):
@@ -148,16 +157,18 @@ def _shards(batches):
 
     def encoded(tables: list[pa.Table]) -> pa.RecordBatch:
         table = pa.concat_tables(tables).combine_chunks()
-        path, own = table.column("path").combine_chunks(), table.column("own").combine_chunks()
-        field = {name: path.flatten().field(name).to_numpy(zero_copy_only=False) for name in ("a", "c", "n")}
+        path = table.column("path").combine_chunks()
+        flat = path.flatten()
+        edges = {name: flat.field(name).to_numpy(zero_copy_only=False) for name in ("a", "c", "n", "z", "base", "w")}
         offsets = np.r_[0, np.cumsum(path.value_lengths().to_numpy(zero_copy_only=False))]
-        saving = own.flatten().field("w").to_numpy(zero_copy_only=False)
         ends, rep = table.column("ends").to_numpy(), table.column("rep").to_numpy()
-        found = shard_edges(offsets, field["a"], field["c"], field["n"], rep, saving, bool(field["n"][-1] == ends[-1]))
+        digest = np.array(table.column("ends_sha256").to_pylist(), object)
+        found = shard_edges(offsets, edges, rep, ends, digest, bool(edges["n"][-1] == ends[-1]))
         none = ~found.pop("has_parent")
-        return pa.RecordBatch.from_pydict(
-            {k: pa.array(v, mask=none) if k == "parent_conv_id" else pa.array(v) for k, v in found.items()}
-        )
+        return pa.RecordBatch.from_pydict({
+            k: pa.array(v, mask=none) if k == "parent_conv_id" else pa.array(v, pa.string()) if k == "ends_sha256" else pa.array(v)
+            for k, v in found.items()
+        })
 
     held, edges = [], 0
     for batch in batches:
@@ -174,11 +185,30 @@ def _shards(batches):
 # --- conversations to paths -------------------------------------------------------------------
 
 
+def _numbered(batches):
+    """Task body: sorted turns with their place among the conversation's turns of the same partition."""
+    part, last, count = TaskContext.get().partitionId(), None, 0
+    for batch in batches:
+        c = batch.column(0).to_numpy()
+        if len(c) == 0:
+            continue
+        first = np.r_[0, np.flatnonzero(np.diff(c)) + 1]
+        place = np.arange(1, len(c) + 1) - np.repeat(first, np.diff(np.r_[first, len(c)]))
+        if c[0] == last:
+            place[:first[1] if len(first) > 1 else len(c)] += count
+        last, count = c[-1], int(place[-1])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(np.full(len(c), part, np.int64)), pa.array(place.astype(np.int64)), batch.column(1), batch.column(2)],
+            names=["c", "part", "place", "d", "bytes"],
+        )
+
+
 def numbered_turns(conversations: DataFrame) -> DataFrame:
     """``c, pos, d, bytes``: turns by their place in the conversation, from 1, with digest and bytes of the text.
 
     Null turns come first, equal turns in the order of their digests. Rows are sorted by range,
-    so a conversation of any length is shared among tasks.
+    so a conversation of any length is shared among tasks; one row per range comes to the driver
+    to carry the numbers on.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     digest = F.sha2(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text).cast("binary"), 256)
@@ -187,12 +217,18 @@ def numbered_turns(conversations: DataFrame) -> DataFrame:
     )
     order = [F.col("c"), F.col("turn").asc_nulls_first(), F.col("d")]
     ranged = materialize(
-        turns.repartitionByRange(*order).sortWithinPartitions(*order).drop("turn").withColumn("at", F.monotonically_increasing_id())
-    ).withColumn("part", F.shiftright("at", 33))
-    runs = ranged.groupBy("c", "part").agg(F.min("at").alias("first"), F.count("*").alias("size"))
-    before = F.sum("size").over(Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    runs = runs.withColumn("before", F.coalesce(before, F.lit(0))).drop("size")
-    return ranged.join(runs, ["c", "part"]).select("c", (F.col("at") - F.col("first") + F.col("before") + 1).alias("pos"), "d", "bytes")
+        turns.repartitionByRange(*order).sortWithinPartitions(*order).select("c", "d", "bytes")
+        .mapInArrow(_numbered, "c long, part long, place long, d string, bytes long")
+    )
+    ends = ranged.groupBy("part").agg(F.min("c").alias("first"), F.max(F.struct("c", "place")).alias("last")).orderBy("part").collect()
+    carried, before = [], {}
+    for r in ends:
+        carried.append((r["part"], r["first"], before.get(r["first"], 0)))
+        c = r["last"]["c"]
+        before = {c: r["last"]["place"] + before.get(c, 0) if c == r["first"] else r["last"]["place"]}
+    offsets = conversations.sparkSession.createDataFrame(carried, "part long, first long, before long")
+    placed = ranged.join(F.broadcast(offsets), "part")
+    return placed.select("c", (F.col("place") + F.when(F.col("c") == F.col("first"), F.col("before")).otherwise(0)).alias("pos"), "d", "bytes")
 
 
 def regrouped(turns: DataFrame, groups: int = 5, modulus: int = 9) -> DataFrame:
@@ -201,17 +237,23 @@ def regrouped(turns: DataFrame, groups: int = 5, modulus: int = 9) -> DataFrame:
     With ``h`` the CRC-32 of the decimal id modulo ``modulus``, conversation ``c`` takes the first
     ``h`` turns of ``c - c % groups`` and then its own turns after its first ``h``.
     """
-    sizes = turns.groupBy("c").agg(F.max("pos").alias("size"))
-    convs = sizes.withColumn("h", F.crc32(F.col("c").cast("string").cast("binary")) % modulus).withColumn("b", F.col("c") - F.col("c") % groups)
-    bases = sizes.select(F.col("c").alias("b"), F.col("size").alias("base"))
-    convs = convs.join(bases, "b", "left").select(
-        "c", "b", "h", F.least("h", F.coalesce("base", F.lit(0))).alias("head"), "size"
-    ).withColumn("length", F.col("head") + F.greatest(F.col("size") - F.col("h"), F.lit(0)))
-    starts = turns.filter(F.col("pos") < modulus).withColumnRenamed("c", "b")
-    heads = convs.join(starts, "b").filter("pos <= h").select("c", "pos", "length", "d", "bytes")
-    tails = turns.join(convs, "c").filter("pos > h").select("c", (F.col("head") + F.col("pos") - F.col("h")).alias("pos"), "length", "d", "bytes")
-    roots = convs.select("c", F.lit(0).cast("long").alias("pos"), "length", F.lit("").alias("d"), F.lit(0).cast("long").alias("bytes"))
-    return heads.unionByName(tails).unionByName(roots)
+    turn = F.struct("pos", "d", "bytes")
+    sizes = turns.groupBy("c").agg(F.max("pos").alias("size"), F.collect_list(F.when(F.col("pos") < modulus, turn)).alias("starts"))
+    convs = sizes.select(
+        "c", "size", (F.crc32(F.col("c").cast("string").cast("binary")) % modulus).alias("h"), (F.col("c") - F.col("c") % groups).alias("b")
+    )
+    bases = sizes.select(F.col("c").alias("b"), F.col("size").alias("base"), "starts")
+    head = F.least("h", F.coalesce("base", F.lit(0)))
+    convs = materialize(
+        convs.join(bases, "b", "left").withColumn("head", head)
+        .withColumn("length", F.col("head") + F.greatest(F.col("size") - F.col("h"), F.lit(0))).drop("base", "size", "b")
+    )
+    root = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("d"), F.lit(0).cast("long").alias("bytes"))
+    taken = F.filter(F.coalesce("starts", F.array().cast("array<struct<pos:bigint,d:string,bytes:bigint>>")), lambda t: t["pos"] <= F.col("h"))
+    heads = convs.select("c", "length", F.inline(F.concat(F.array(root), taken)))
+    tails = turns.filter(F.col("pos") > F.crc32(F.col("c").cast("string").cast("binary")) % modulus).join(convs.drop("starts"), "c")
+    moved = (F.col("head") + F.col("pos") - F.col("h")).alias("pos")
+    return heads.unionByName(tails.select("c", "length", moved, "d", "bytes"))
 
 
 def prefixed(rows: DataFrame, depth: int) -> DataFrame:
@@ -242,8 +284,8 @@ def prefixed(rows: DataFrame, depth: int) -> DataFrame:
     return blocks.withColumn("all", joined).select("c", F.explode(found).alias("f")).select("c", "f.x.*", "f.p", "f.upto")
 
 
-def _digests_of_ends(ends: DataFrame) -> DataFrame:
-    """``p, ends_sha256``: digest of the ids that end at each prefix, ascending, comma-joined.
+def _ends(ends: DataFrame) -> DataFrame:
+    """``rep, ends, ends_sha256`` of each prefix ``p`` that conversations ``c`` end at: smallest id, number, digest of all.
 
     Ids are joined to pieces by tasks over ranges; only pieces of ``PIECE_IDS`` ids meet where a
     prefix's text is hashed, one after the other, as SHA-256 demands.
@@ -251,33 +293,37 @@ def _digests_of_ends(ends: DataFrame) -> DataFrame:
 
     def pieces(batches):
         for batch in batches:
-            p, c = batch.column(0), batch.column(1).to_pylist()
-            names = p.to_pylist()
+            names, c = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             cuts = [i for i in range(len(c)) if i == 0 or names[i] != names[i - 1] or i % PIECE_IDS == 0] + [len(c)]
             spans = list(zip(cuts[:-1], cuts[1:]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([names[i] for i, _ in spans], pa.string()), pa.array([c[i] for i, _ in spans], pa.int64()),
-                 pa.array([",".join(map(str, c[i:j])) for i, j in spans], pa.string())],
-                names=["p", "first", "ids"],
+                 pa.array([j - i for i, j in spans], pa.int64()), pa.array([",".join(map(str, c[i:j])) for i, j in spans], pa.string())],
+                names=["p", "first", "n", "ids"],
             )
 
     def hashed(batches):
-        name, state = None, None
+        name, rep, total, state = None, None, 0, None
         for batch in batches:
             done = []
-            for p, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            for p, first, n, ids in zip(*[batch.column(i).to_pylist() for i in range(4)]):
                 if p == name:
                     state.update(b"," + ids.encode())
+                    total += n
                     continue
                 if name is not None:
-                    done.append((name, state.hexdigest()))
-                name, state = p, hashlib.sha256(ids.encode())
-            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.string()) for k in (0, 1)], names=["p", "ends_sha256"])
+                    done.append((rep, total, state.hexdigest()))
+                name, rep, total, state = p, first, n, hashlib.sha256(ids.encode())
+            yield described(done)
         if name is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([state.hexdigest()])], names=["p", "ends_sha256"])
+            yield described([(rep, total, state.hexdigest())])
+
+    def described(done):
+        kinds = (pa.int64(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate(kinds)], names=["rep", "ends", "ends_sha256"])
 
-    cut = ends.repartitionByRange("p", "c").sortWithinPartitions("p", "c").mapInArrow(pieces, "p string, first long, ids string")
-    return cut.repartition("p").sortWithinPartitions("p", "first").mapInArrow(hashed, "p string, ends_sha256 string")
+    cut = ends.repartitionByRange("p", "c").sortWithinPartitions("p", "c").mapInArrow(pieces, "p string, first long, n long, ids string")
+    return cut.repartition("p").sortWithinPartitions("p", "first").mapInArrow(hashed, "rep long, ends long, ends_sha256 string")
 
 
 # --- the trie ---------------------------------------------------------------------------------
@@ -303,42 +349,26 @@ def conversation_trie(rows: DataFrame) -> DataFrame:
         )
     )
     saving = (F.col("n_convs") - 1) * F.col("bytes")
-    edges = materialize(
-        nodes.groupBy("conv_id", "n_convs").agg(
-            F.min("depth").alias("a"), F.max("depth").alias("z"), F.sum(saving).alias("w"), F.min(F.col("upto") - F.col("bytes")).alias("base")
-        )
+    edges = nodes.groupBy("conv_id", "n_convs").agg(
+        F.min("depth").alias("a"), F.max("depth").alias("z"), F.sum(saving).alias("w"), F.min(F.col("upto") - F.col("bytes")).alias("base"),
+        F.min_by("p", "depth").alias("p"),
     )
-
-    ends = paths.filter("pos = length").select("p", "c")
-    reps = materialize(ends.groupBy("p").agg(F.min("c").alias("rep"), F.count("*").alias("ends")))
-    root = nodes.filter("depth = 0").select("conv_id", "n_convs").first()
-    if root is None:
-        root = (0, 0)
-    steps = (
-        paths.filter("pos > 0").join(reps.select(F.col("rep").alias("c")), "c", "left_semi").select("c", "p")
-        .join(nodes.select("p", "conv_id", "n_convs", "depth"), "p").select(F.col("c").alias("rep"), "conv_id", "n_convs", "depth")
-        .unionByName(reps.select("rep", F.lit(root[0]).alias("conv_id"), F.lit(root[1]).alias("n_convs"), F.lit(0).cast("long").alias("depth")))
-        .groupBy("rep", "conv_id", "n_convs").agg(F.min("depth").alias("depth"))
+    edge = F.struct("a", F.col("conv_id").alias("c"), F.col("n_convs").alias("n"), "z", "base", "w")
+    lists = paths.select("c", "p").join(edges.select("p", edge.alias("e")), "p").groupBy(F.col("c").alias("rep")).agg(
+        F.array_sort(F.collect_list("e")).alias("path")
     )
-    step = F.struct(F.col("depth").alias("a"), F.col("conv_id").alias("c"), F.col("n_convs").alias("n"))
-    lists = steps.groupBy("rep").agg(F.array_sort(F.collect_list(step)).alias("path"))
-    own = edges.groupBy(F.col("conv_id").alias("rep")).agg(F.array_sort(F.collect_list(F.struct("a", "w"))).alias("own"))
-    listed = materialize(reps.join(lists, "rep").join(own, "rep", "left").withColumn("own", F.coalesce("own", F.array().cast("array<struct<a:bigint,w:bigint>>"))))
+    listed = _ends(paths.filter("pos = length").select("p", "c")).join(lists, "rep")
     parts = materialize(
-        listed.select("path", "own", "rep", "ends").repartitionByRange("path").sortWithinPartitions("path").mapInArrow(_shards, _EDGE)
+        materialize(listed).select("path", "rep", "ends", "ends_sha256").repartitionByRange("path").sortWithinPartitions("path").mapInArrow(_shards, _EDGE)
     )
     spines = parts.filter("spine").groupBy("conv_id", "n_convs").agg(
-        F.min("top").alias("top"), F.max("parent_conv_id").alias("parent_conv_id"),
+        *[F.min(c).alias(c) for c in ("a", "z", "base")], *[F.max(c).alias(c) for c in ("parent_conv_id", "ends_sha256")],
         *[F.sum(c).alias(c) for c in ("n_leaves", "saved", "n_children")],
     )
     merged = parts.filter("not spine").drop("spine").unionByName(spines)
-
-    last = F.element_at("path", -1)
-    closing = listed.select("p", last["c"].alias("conv_id"), last["n"].alias("n_convs")).join(_digests_of_ends(ends), "p").drop("p")
-    known = merged.join(edges.select("conv_id", "n_convs", "z", "base"), ["conv_id", "n_convs"]).join(closing, ["conv_id", "n_convs"], "left")
-    at_top, at_end = F.col("depth") == F.col("top"), F.col("depth") == F.col("z")
+    at_top, at_end = F.col("depth") == F.col("a"), F.col("depth") == F.col("z")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
-    return nodes.join(known, ["conv_id", "n_convs"]).select(
+    return nodes.join(merged, ["conv_id", "n_convs"]).select(
         "conv_id", "depth", F.when(at_top, F.col("parent_conv_id")).otherwise(F.col("conv_id")).alias("parent_conv_id"), "n_convs",
         F.when(at_end, F.col("n_children")).otherwise(F.lit(1).cast("long")).alias("n_children"), "n_leaves",
         (F.col("saved") - (F.col("n_convs") - 1) * (F.col("upto") - F.col("bytes") - F.col("base"))).alias("saved_tokens"),

@@ -120,9 +120,10 @@ def test_trie_edges(spark):
 
 
 def test_a_leaf_that_goes_on_in_the_next_shard_is_none():
-    values = shard_edges(
-        np.array([0, 1, 3]), np.array([0, 0, 1]), np.array([1, 1, 2]), np.array([9, 9, 3]), np.array([1, 2]), np.array([5, 4]), False
-    )
+    edges = {"a": [0, 0, 1], "c": [1, 1, 2], "n": [9, 9, 3], "z": [0, 0, 1], "base": [0, 0, 0], "w": [5, 5, 4]}
+    edges = {k: np.array(v) for k, v in edges.items()}
+    values = shard_edges(np.array([0, 1, 3]), edges, np.array([1, 2]), np.array([6, 1]), np.array(["x", "y"], object), False)
+    assert values["ends_sha256"].tolist() == ["x", "y"]
     assert values["n_leaves"].tolist() == [0, 0] and values["saved"].tolist() == [9, 4] and values["n_children"].tolist() == [1, 0]
 
 
