@@ -15,6 +15,7 @@ from ..operators.checks import require_count, require_train, require_unique
 from ..operators.selection import worst_k
 from ..sinks import guard_nested, guard_output, write_json
 from ..sources import scan_npy
+from ..sources.npy_source import Staging
 
 
 def restore(spark: SparkSession, input_dir: str, output_dir: str, predictor=None, overwrite: bool = False,
@@ -22,7 +23,8 @@ def restore(spark: SparkSession, input_dir: str, output_dir: str, predictor=None
     """Restore every array file of a directory to the same relative path; returns a report.
 
     File names are the only rows Spark moves: each task reads, restores, checks, clips
-    and writes its own files.
+    and writes its own files. They appear together when all are written; a failed job
+    leaves nothing.
     """
     predictor = predictor or Bicubic()
     files = require_unique(scan_npy(spark, input_dir))
@@ -30,8 +32,9 @@ def restore(spark: SparkSession, input_dir: str, output_dir: str, predictor=None
     guard_nested(input_dir, output_dir)
     guard_output(output_dir, overwrite)
     started = time.perf_counter()
-    written = files.select(restore_files("path", "relpath", predictor, output_dir.rstrip("/")).alias("w"))
-    total = written.agg(F.count("w.sha256").alias("n"), F.sum("w.bytes").alias("bytes")).first()
+    with Staging(output_dir, overwrite) as staged:
+        written = files.select(restore_files("path", "relpath", predictor, staged).alias("w"))
+        total = written.agg(F.count("w.sha256").alias("n"), F.sum("w.bytes").alias("bytes")).first()
     elapsed = time.perf_counter() - started
     report = {
         "model": getattr(predictor, "name", type(predictor).__name__),

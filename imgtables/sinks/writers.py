@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame, functions as F
 from ..errors import ContractError
 from ..functions.columns import number_text
 from ..functions.restoring import write_bytes, write_image
+from ..sources.npy_source import Staging
 from ..schema import EXPERIMENT_FIELDS, MANIFEST_FIELDS, MANIFEST_NUMBERS, METRIC_FIELDS, METRICS
 from .guards import guard_output
 
 
 def write_npy(df: DataFrame, out: str, image_col: str = "image", relpath_col: str = "relpath") -> int:
-    """Store one float32 ``.npy`` per row at its relative path; returns the file count."""
-    done = df.select(write_image(image_col, relpath_col, out.rstrip("/")).alias("w"))
-    return done.agg(F.count("w.sha256")).first()[0]
+    """Store one float32 ``.npy`` per row at its relative path; returns the file count.
+
+    Files appear when all are written, and replace files of the same names; a failed job leaves nothing.
+    """
+    with Staging(out, overwrite=True) as staged:
+        return df.select(write_image(image_col, relpath_col, staged).alias("w")).agg(F.count("w.sha256")).first()[0]
 
 
 def render_manifest(df: DataFrame) -> DataFrame:

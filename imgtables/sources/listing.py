@@ -37,6 +37,8 @@ def open_fs(uri: str):
     """Filesystem and path of a URI or a local path; clients are shared within a process."""
     if uri.startswith("dbfs:/"):
         uri = "/dbfs/" + uri[len("dbfs:/"):].lstrip("/")
+    if uri.startswith("file:/"):
+        uri = "/" + uri[len("file:/"):].lstrip("/")
     if "://" not in uri:
         return _store("file", "")[0], os.path.abspath(uri)
     scheme, _, rest = uri.partition("://")
