@@ -484,3 +484,21 @@ def test_small_mends(spark):
     assert tensors.compare_tensors(spark.createDataFrame(long, ddl), spark.createDataFrame(short, ddl)).first()["error"] == "tensor metadata differs"
     with pytest.raises(Exception, match="at least two rows"):
         selection.hash_holdout(spark.createDataFrame([("a",)], "stem string")).collect()
+
+
+def test_only_blocks_that_differ_are_compared(spark, rng):
+    x = rng.normal(size=10_000)
+    y, nan = x.copy(), x.copy()
+    y[4097] += 0.5
+    y[9999] -= 0.25
+    nan[5] = float("nan")
+    ddl = "tensor string, dtype string, shape array<int>, values array<double>"
+    row = lambda name, v: (name, "f", [len(v)], v if v is None else [float(e) for e in v])
+    left = spark.createDataFrame([row("same", x), row("moved", x), row("nan", nan), row("empty", []), ("none", "f", [0], None), row("sign", [0.0])], ddl)
+    right = spark.createDataFrame([row("same", x), row("moved", y), row("nan", nan), row("empty", []), ("none", "f", [0], None), row("sign", [-0.0])], ddl)
+    digests = [tensors.tensor_digests(t, 4096) for t in (left, right)]
+    assert sorted(map(tuple, tensors.suspect_blocks(*digests).collect())) == [("moved", 1), ("moved", 2), ("nan", 0), ("sign", 0)]
+    assert tensors.suspect_blocks(digests[0], digests[0]).filter("tensor <> 'nan'").isEmpty()
+    found = {r["tensor"]: (r["error"], r["max_abs_diff"]) for r in tensors.compare_tensors(left, right).collect()}
+    assert found["same"] == found["empty"] == found["none"] == found["sign"] == (None, 0.0)
+    assert found["moved"] == (None, pytest.approx(0.5)) and math.isnan(found["nan"][1])
