@@ -19,6 +19,7 @@ import base64
 import hashlib
 import json
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -218,12 +219,21 @@ class Aligner:
 # --- on tables --------------------------------------------------------------------------------
 
 
+def _width(size: int):
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
 def _packed(ids: list[list[int]], size: int) -> bytes:
-    return np.concatenate([np.array(x, np.uint16 if size <= 1 << 16 else np.uint32) for x in ids] or [np.zeros(0, np.uint16)]).tobytes()
+    """Ids of a block as compressed integers of the least width."""
+    raw = np.fromiter(chain.from_iterable(ids), _width(size), sum(map(len, ids))).tobytes()
+    return pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
 
 
-def _unpacked(raw: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint16 if size <= 1 << 16 else np.uint32).astype(np.int64)
+def _unpacked(packed: bytes, size: int, count: int) -> np.ndarray:
+    if count == 0:
+        return np.zeros(0, np.int64)
+    raw = pa.decompress(packed, count * np.dtype(_width(size)).itemsize, codec="zstd")
+    return np.frombuffer(raw, _width(size)).astype(np.int64)
 
 
 _BLOCK = "block long, rows binary, a binary, b binary"
@@ -266,8 +276,8 @@ def align_texts(docs: DataFrame, pair: TokenizerPair, *, id_col: str = "doc_id",
     blocks = materialize(source.mapInArrow(encode, _BLOCK))
 
     def opened(codec, row):
-        a, b = _unpacked(row["a"], len(codec.a)), _unpacked(row["b"], len(codec.b))
-        return np.frombuffer(row["rows"], _ROW), a, b
+        rows = np.frombuffer(row["rows"], _ROW)
+        return rows, _unpacked(row["a"], len(codec.a), int(rows["n_a"].sum())), _unpacked(row["b"], len(codec.b), int(rows["n_b"].sum()))
 
     def pairs(batches):
         codec = _codec(shared)
