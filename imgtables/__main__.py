@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
 
 from pyspark.sql import SparkSession, functions as F
 
@@ -33,7 +34,7 @@ def _parser() -> argparse.ArgumentParser:
         sub.add_argument("--overwrite", action="store_true")
 
     job("restore", "input_dir", "output_dir", model=(str, None), expected=(int, None), report=(str, None))
-    job("manifest", "input_dir", "target_dir", "manifest", "audit", expected=(int, None))
+    job("manifest", "input_dir", "target_dir", "manifest", "audit", expected=(int, None), dataset_root=(str, None))
     job("hash-split", "manifest", "output", "audit", fraction=(float, 0.15), seed=(int, 2026))
     job("texture-split", "manifest", "root", "output", "audit", clusters=(int, 12),
         ood_fraction=(float, 0.15), id_fraction=(float, 0.15), seed=(int, 2026))
@@ -42,6 +43,10 @@ def _parser() -> argparse.ArgumentParser:
     job("evaluate", "input_dir", "target_dir", "metrics", "summary", manifest=(str, None), split=(str, None),
         model=(str, None), samples=(int, 1000), seed=(int, 2026))
     job("verify", "input_dir", "output_dir", expected=(int, None))
+    job("ablation", "baseline_id", "baseline_ood", "candidate_id", "candidate_ood", "output", experiment=(str, None), change=(str, None),
+        id_psnr_tolerance=(float, 0.15), id_ssim_tolerance=(float, 0.002))
+    job("select", "output")
+    jobs.choices["select"].add_argument("--candidate", nargs=3, action="append", metavar=("NAME", "ID", "OOD"), required=True)
     return parser
 
 
@@ -59,7 +64,8 @@ def run(spark: SparkSession, a: argparse.Namespace):
     if a.job == "restore":
         return plans.restore(spark, a.input_dir, a.output_dir, _predictor(spark, a.model), a.overwrite, a.expected, a.report)
     if a.job == "manifest":
-        return plans.build_manifest(spark, a.input_dir, a.target_dir, a.manifest, a.audit, a.expected, a.overwrite)
+        return plans.build_manifest(spark, a.input_dir, a.target_dir, a.manifest, a.audit, a.expected, a.overwrite,
+                                    dataset_root=a.dataset_root)
     if a.job == "hash-split":
         return plans.assign_hash_holdout(spark, a.manifest, a.output, a.audit, a.fraction, a.seed, a.overwrite)
     if a.job == "texture-split":
@@ -91,14 +97,32 @@ def run(spark: SparkSession, a: argparse.Namespace):
         labels, digest = None, None
         if a.manifest is not None:
             labels, digest = read_labels(spark, a.manifest)[0], manifest_identity(spark, a.manifest)
+        started = time.perf_counter()
         metrics, summary = plans.evaluate_files(
             spark, a.input_dir, a.target_dir, _predictor(spark, a.model), labels,
             a.split.split(",") if a.split else None, samples=a.samples, seed=a.seed,
         )
-        report = plans.summary_document(summary, metrics.count(), manifest_sha256=digest, checkpoint_sha256=_model_digest(spark, a.model))
+        model = "bicubic" if a.model is None else a.model
+        report = plans.evaluation_report(
+            metrics, summary, model=model, elapsed_seconds=time.perf_counter() - started, samples=a.samples, seed=a.seed,
+            manifest_sha256=digest, checkpoint_sha256=_model_digest(spark, a.model),
+        )
         write_metrics(metrics, a.metrics, a.overwrite, format="csv")
         write_json(report, a.summary, a.overwrite)
         return report["aggregates"]["all"]
+    if a.job == "ablation":
+        if not a.experiment or not a.change:
+            raise ContractError("--experiment and --change are needed")
+        return plans.record_ablation(
+            spark, a.baseline_id, a.baseline_ood, a.candidate_id, a.candidate_ood, a.output, experiment=a.experiment, isolated_change=a.change,
+            id_psnr_tolerance=a.id_psnr_tolerance, id_ssim_tolerance=a.id_ssim_tolerance, replace=a.overwrite,
+        ).first().asDict()
+    if a.job == "select":
+        names = [c[0] for c in a.candidate]
+        if len(set(names)) != len(names):
+            raise ContractError("duplicate candidate name: " + ", ".join(sorted({n for n in names if names.count(n) > 1})))
+        table = plans.select_from_files(spark, {n: (i, o) for n, i, o in a.candidate}, a.output, a.overwrite)
+        return {"winner": table.filter("winner").first()["name"]}
     bad = plans.verify_outputs(spark, a.input_dir, a.output_dir, a.expected)
     shown = [r.asDict() for r in bad.orderBy("relpath").limit(20).collect()]
     if shown:

@@ -9,9 +9,10 @@ from ..functions.restoring import Bicubic, score, score_files, score_grid
 from ..operators.checks import require_count, require_unique_nonempty, select_splits
 from ..operators.pairing import BROADCAST_ROWS, attach_labels, pair_listings, require_known
 from ..operators.summaries import paired_deltas, paired_summary, summarize, summarize_scopes
-from ..schema import METRIC_FIELDS, METRICS, SEVERITIES
+from ..schema import GRID_FIELDS, METRIC_FIELDS, METRICS, SEVERITIES
 from ..session import materialize
-from ..sources import list_files
+from ..sinks import guard_output, write_json, write_metrics
+from ..sources import list_files, require_even, scan_jpeg
 from ..sources.listing import spread
 
 
@@ -79,6 +80,73 @@ def summary_document(summary: DataFrame, pair_count: int, **extra) -> dict:
     return {"schema_version": 1, "pair_count": pair_count, "aggregates": nested, **extra}
 
 
+# How the scores of a report are defined, as its readers expect them.
+SSIM_POLICY = {
+    "window_size": 11, "sigma": 1.5, "padding": "valid", "data_range": 1.0, "k1": 0.01, "k2": 0.03, "covariance": "population",
+}
+
+
+def metric_policy(perceptual: bool) -> dict:
+    """The definitions behind a report's scores."""
+    return {
+        "psnr_data_range": 1.0, "ssim": SSIM_POLICY, "lpips": {"enabled": perceptual},
+        "non_finite": "counted apart; left out of mean, median and interval",
+    }
+
+
+def evaluation_report(metrics: DataFrame, summary: DataFrame, *, model: str, elapsed_seconds: float, samples: int, seed: int,
+                      perceptual: bool = False, **extra) -> dict:
+    """The scoring job's document: counts by split, timing, policy and bootstrap setting around the aggregates."""
+    counts = {r["split"]: r["n"] for r in metrics.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    return summary_document(
+        summary, total, model=model, split_counts={k if k is not None else "": counts[k] for k in sorted(counts, key=lambda k: k or "")},
+        timing={"elapsed_seconds": elapsed_seconds, "mean_milliseconds_per_image": elapsed_seconds * 1000.0 / total if total else None},
+        metric_policy=metric_policy(perceptual), bootstrap={"samples": samples, "seed": seed, "confidence": 0.95, "method": "poisson"}, **extra,
+    )
+
+
+def severity_grid_files(spark: SparkSession, image_root: str, output_dir: str, predictors: dict, *, severities: dict | None = None,
+                        expected: int | None = None, samples: int = 0, seed: int = 2026, perceptual=None, overwrite: bool = False) -> dict:
+    """The severity grid over a folder of JPEG files: per-image metrics as text and a summary document.
+
+    Every image must decode and have even sides; the number of images is checked first, and
+    nothing is written before all scores exist. The first predictor is the baseline.
+    """
+    guard_output(output_dir, overwrite)
+    images = materialize(require_even(scan_jpeg(spark, image_root)))  # decoded once for checks, counts and scores
+    rows, summary, paired = severity_grid_eval(images, predictors, severities, seed, samples, expected, perceptual)
+    groups = {r["defect_group"]: r["n"] for r in images.groupBy("defect_group").agg(F.count("*").alias("n")).collect()}
+
+    def stats(r) -> dict:
+        return {
+            "mean": r["mean"], "median": r["median"], "bootstrap_95_ci": [r["ci_lo"], r["ci_hi"]],
+            "finite_count": r["finite_count"], "non_finite_or_missing_count": r["missing_count"],
+        }
+
+    aggregates: dict = {}
+    for r in summary.collect():
+        place = aggregates.setdefault(r["severity"], {}).setdefault(r["method"], {})
+        place["count"] = r["count"]
+        place[r["metric"]] = stats(r)
+    compared: dict = {}
+    for r in paired.collect() if paired is not None else ():
+        place = compared.setdefault(r["severity"], {"candidate_minus_baseline": {}, "win_rate": {}})
+        place["candidate_minus_baseline"][r["metric"]] = stats(r)
+        place["win_rate"][r["metric"]] = r["win_rate"]
+    report = {
+        "schema_version": 1, "dataset": {"image_count": sum(groups.values()), "defect_group_counts": dict(sorted(groups.items()))},
+        "protocol": {
+            "seed": seed, "scale": 2, "severities": severities or SEVERITIES, "metric_policy": metric_policy(perceptual is not None),
+            "bootstrap_samples": samples, "methods": list(predictors),
+        },
+        "aggregates": aggregates, "paired_comparison": compared,
+    }
+    write_metrics(rows.select(*GRID_FIELDS), f"{output_dir.rstrip('/')}/per_image_metrics", overwrite, format="csv")
+    write_json(report, f"{output_dir.rstrip('/')}/summary.json", overwrite)
+    return report
+
+
 def severity_grid_eval(references: DataFrame, predictors: dict, severities: dict | None = None,
                        seed: int = 2026, samples: int = 0, expected: int | None = None, perceptual=None):
     """``(rows, summary, paired)`` over reference images, severities and methods.

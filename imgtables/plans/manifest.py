@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..errors import ContractError
@@ -12,7 +14,7 @@ from ..session import materialize
 from ..sinks import dataset_digest, guard_different, guard_output, render_manifest, write_json, write_manifest
 from ..sources import list_files
 from ..sources.images import profile_npy
-from ..sources.listing import spread
+from ..sources.listing import open_fs, spread, uri_prefix
 
 
 def _counts_map(df: DataFrame, column: str):
@@ -78,13 +80,41 @@ def manifest_rows(pairs: DataFrame, input_folder: str, target_folder: str, scale
     )
 
 
+def dataset_paths(input_dir: str, target_dir: str, dataset_root: str | None = None) -> tuple[str, str, str]:
+    """Dataset root, and both folders relative to it ("." for the root itself).
+
+    Without a root it is the folder that both have in common, or the one above where that is one
+    of the two. A folder outside the root is an error.
+    """
+    given = [d for d in (input_dir, target_dir, dataset_root) if d is not None]
+    stores = {d[:d.find("/", d.find("://") + 3)] if "://" in d else "" for d in given}
+    if len(stores) > 1:
+        raise ContractError("folders of different stores have no common dataset root: " + ", ".join(given))
+    sides = [posixpath.normpath(open_fs(d)[1]) for d in (input_dir, target_dir)]
+    if dataset_root is None:
+        root = posixpath.commonpath(sides)
+        if root in sides:
+            root = posixpath.dirname(root)
+    else:
+        root = posixpath.normpath(open_fs(dataset_root)[1])
+    inner = []
+    for folder, side in zip((input_dir, target_dir), sides):
+        if side != root and not side.startswith(root.rstrip("/") + "/"):
+            raise ContractError(f"{folder} is outside the dataset root {root}")
+        inner.append(posixpath.relpath(side, root))
+    return uri_prefix(input_dir) + root, inner[0], inner[1]
+
+
 def build_manifest(spark: SparkSession, input_dir: str, target_dir: str, manifest_path: str, audit_path: str,
                    expected_pairs: int | None = None, overwrite: bool = False,
-                   digest_mode: str = "tree") -> dict:
+                   digest_mode: str = "tree", dataset_root: str | None = None) -> dict:
     """Validate aligned 2x pairs, then write the manifest and its audit; returns the audit.
 
-    Only file names are shuffled. Everything is checked before anything is written.
+    Paths in the manifest are relative to the dataset root (see :func:`dataset_paths`), under
+    which ``read_pairs`` finds them again. Only file names are shuffled. Everything is checked
+    before anything is written.
     """
+    root, *folders = dataset_paths(input_dir, target_dir, dataset_root)
     guard_different(input_dir, target_dir)
     guard_different(manifest_path, audit_path)
     guard_output(manifest_path, overwrite)
@@ -97,9 +127,8 @@ def build_manifest(spark: SparkSession, input_dir: str, target_dir: str, manifes
     pairs = pair_listings(kept["input"], kept["target"])
     require_count(pairs, expected_pairs, "pairs")
 
-    folders = [d.rstrip("/").rsplit("/", 1)[-1] + "/" for d in (input_dir, target_dir)]
     both = spread(pairs.withColumn("length", F.col("input_length") + F.col("target_length")))
-    rows = materialize(manifest_rows(both, *folders))
+    rows = materialize(manifest_rows(both, *["" if f == "." else f + "/" for f in folders]))
     bad = rows.filter("error is not null").orderBy("stem").select("stem", "error").limit(10).collect()
     if bad:
         raise ContractError("; ".join(f"pair '{r['stem']}': {r['error']}" for r in bad))
@@ -107,9 +136,9 @@ def build_manifest(spark: SparkSession, input_dir: str, target_dir: str, manifes
     audit = dataset_audit(rows).first().asDict(recursive=True)
     audit.update(
         schema_version=1,
-        dataset_root=".",
-        input_directory=folders[0].rstrip("/"),
-        target_directory=folders[1].rstrip("/"),
+        dataset_root=".",  # paths in the manifest begin there
+        input_directory=folders[0],
+        target_directory=folders[1],
         expected_pairs=expected_pairs,
         ignored_metadata_files={s: f.filter("ignored").count() for s, f in listed.items()},
         manifest_sha256=dataset_digest(render_manifest(rows), mode=digest_mode),

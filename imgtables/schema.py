@@ -58,6 +58,9 @@ METRICS_DDL = (
     "prediction_shape:string,target_shape:string>"
 )
 
+# Columns of the severity grid's rows, in order.
+GRID_FIELDS = ("relative_path", "defect_group", "severity", "method") + METRICS
+
 # Texture descriptor names and order.
 TEXTURE_FIELDS = (
     "mean",

@@ -54,7 +54,8 @@ def write_metrics(df: DataFrame, path: str, overwrite: bool = False, format: str
         guard_output(path, overwrite)
         df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
         return
-    fields = [f for f in METRIC_FIELDS if f in df.columns] or df.columns
+    order = METRIC_FIELDS if "stem" in df.columns else df.columns
+    fields = [f for f in order if f in df.columns]
     text = df.select(*[
         F.coalesce(number_text(f), F.lit("")).alias(f) if f in METRICS else F.col(f) for f in fields
     ])
