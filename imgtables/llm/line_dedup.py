@@ -226,14 +226,17 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated lines taken out of ``text_col``; rows that lose every word go.
 
-    Rows that had no word before stay as they are. Other columns pass through.
+    Rows that had no word before, null texts among them, stay as they are. Rows with the same id
+    and text lose the same lines. Other columns pass through under any name; an empty table stays
+    empty.
     """
-    marked, _ = repeated_lines(docs, id_col, text_col)
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])  # no name of the caller's meets one used here
+    id_at, text_at = (f"_c{docs.columns.index(c)}" for c in (id_col, text_col))
+    marked, _ = repeated_lines(plain, id_at, text_at)
     gone = materialize(_per_row(marked))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("d")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("t"))
-    joined = docs.join(gone, same, "left")
-    kept = F.filter(lines_of(F.col(text_col)), lambda line, i: ~F.array_contains("removed_lines", i))
-    text = F.when(F.col("removed_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn(text_col, text).filter(F.col("removed_lines").isNull() | (F.trim(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) != "")).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    same = F.col(id_at).cast("long").eqNullSafe(F.col("d")) & (F.xxhash64(F.col(text_at).cast("string")) == F.col("t"))
+    joined = plain.join(gone, same, "left")
+    kept = F.filter(lines_of(F.col(text_at)), lambda line, i: ~F.array_contains("removed_lines", i))
+    text = F.when(F.col("removed_lines").isNull(), F.col(text_at)).otherwise(F.array_join(kept, "\n"))
+    some = F.trim(F.replace(F.col(text_at), F.lit("\n"), F.lit(""))) != ""
+    return joined.withColumn(text_at, text).filter(F.col("removed_lines").isNull() | some).select(*plain.columns).toDF(*docs.columns)

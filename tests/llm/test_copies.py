@@ -313,6 +313,46 @@ def test_near_copies_of_a_shared_passage_stay(spark):
     assert sorted(r["doc_id"] for r in near_copies.drop_near_copies(frame).collect()) == [*range(60), 100]
 
 
+def test_template_documents_are_not_paired(spark, monkeypatch):
+    """A third of all rows of one template with two words of sixty changed: no near copies, and no pair of them is looked at."""
+    template = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(600):
+        words = template.copy()
+        for p in (15 + i % 13, 40 + i % 11):
+            words[p] = f"x{i}y{p}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(f"d{i}x{k}" for k in range(40))) for i in range(1200)]
+    rows += [(5000 + i, " ".join([f"q{k}" for k in range(50)] + [f"n{i}"])) for i in range(20)]  # these are near copies
+    met, verified = [], near_copies._met
+
+    def counted(rest):
+        pairs = verified(rest)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_copies, "_met", counted)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"] for r in near_copies.drop_near_copies(frame).collect()}
+    assert got == {*range(600), *range(1000, 2200), 5000}
+    assert met[0] < 1200, met
+
+
+def test_stages_stand_every_name_they_use(spark):
+    names = [
+        "d", "t", "removed_lines", "_row", "_words", "row", "token", "label", "n", "p", "last", "node", "a", "b", "key", "h1", "h2", "line", "line_no",
+        "_c0", "_c1", "text_hash", "head", "pos", "tokens", "low", "copies",
+    ]
+    rows = [(1, "one two three four five six\nsecond line here now"), (2, "one two three four five six\nother"), (2, "x y z"), (None, None), (3, "x y z")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    full = plain.select("*", *[F.lit(f"v_{n}").alias(n) for n in names])
+    for stage in (line_dedup.drop_repeated_lines, near_copies.drop_near_copies):
+        bare, wide = stage(plain), stage(full)
+        assert wide.columns == full.columns
+        assert sorted(map(str, wide.select("doc_id", "text").collect())) == sorted(map(str, bare.collect()))
+        assert all(r[n] == f"v_{n}" for r in wide.collect() for n in names)
+
+
 def test_near_copies_without_ids(spark):
     rows = [(None, "one two three"), (None, "One  two three"), (5, "a b c"), (None, "a b c"), (7, None), (8, ""), (9, "a b"), (9, "a b"), (9, "c d")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
