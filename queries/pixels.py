@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from imgtables import materialize
 from imgtables.functions import imaging as I
 from imgtables.functions import pixels as P
+from imgtables.functions import variants
 from imgtables.functions.columns import nearest_upsample_index
 from imgtables.functions.restoring import Bicubic, predict
 from imgtables.schema import SEVERITIES
@@ -151,6 +153,13 @@ def d4_transform_kernel(v):
     return turned.select("stem", "t", F.posexplode("o.pixels").alias("i", "v"))
 
 
+@query("d4_variants", "img ipx", _D4_SUM)
+def d4_variants(v):
+    """All eight from one decode, by a table function."""
+    turned = variants.d4_variants("double")(v.pairs.select("stem", "input").asTable())
+    return turned.select(F.col("key").alias("stem"), "t", F.posexplode("image.pixels").alias("i", "v"))
+
+
 @query("additive_noise")
 def additive_noise(v):
     """Keyed NumPy draws; only the summary of the change is shown."""
@@ -294,11 +303,24 @@ def residual_features(v):
     return v.pairs.select("stem", I.residual_features("input", "target").alias("f")).select("stem", "f.*")
 
 
-@query("prediction_contract", "img", "SELECT stem, true AS shape_ok, true AS finite FROM img")
+@query("prediction_contract", "img", """SELECT stem, kind, kind <> 'half' AS shape_ok, kind <> 'nan' AND (kind <> 'odd' OR stem::INT % 2 = 1) AS finite
+  FROM img, (VALUES ('bicubic'), ('half'), ('nan'), ('odd')) k(kind)""")
 def prediction_contract(v):
-    out = v.pairs.select("stem", "input", predict("input", Bicubic(), "double").alias("o"))
-    shape = (F.col("o.height") == 2 * F.col("input.height")) & (F.col("o.width") == 2 * F.col("input.width"))
-    return out.select("stem", shape.alias("shape_ok"), P.all_finite("o.pixels").alias("finite"))
+    """Good predictions, ones of the wrong size, with a NaN, and with an infinite value for even images."""
+    good = v.pairs.select("stem", "input", predict("input", Bicubic(), "double").alias("o"))
+
+    def first_becomes(value):
+        pixels = F.transform("o.pixels", lambda x, i: F.when(i == 0, value).otherwise(x))
+        return F.struct("o.height", "o.width", pixels.alias("pixels"))
+
+    odd = F.when(F.col("stem").cast("int") % 2 == 1, F.get("o.pixels", F.lit(0))).otherwise(F.lit(float("inf")))
+    kinds = {"bicubic": F.col("o"), "half": F.col("input").cast("struct<height:int,width:int,pixels:array<double>>"),
+             "nan": first_becomes(F.lit(float("nan"))), "odd": first_becomes(odd)}
+    made = good.select("stem", "input", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("kind"), o.cast("struct<height:int,width:int,pixels:array<double>>").alias("p")) for k, o in kinds.items()
+    ])))
+    shape = (F.col("p.height") == 2 * F.col("input.height")) & (F.col("p.width") == 2 * F.col("input.width"))
+    return made.select("stem", "kind", shape.alias("shape_ok"), P.all_finite("p.pixels").alias("finite"))
 
 
 @query("severity_degradation", "img tpx wh down", f"SELECT stem, (y * 8 + x)::INT AS i, {r('v')} AS v FROM down")
@@ -317,3 +339,36 @@ def severity_noise(v):
     return noisy.select("stem", "severity", P.image_stats("o.pixels").alias("s")).select("stem", "severity", "s.*")
 
 
+
+
+@query("severity_variants", "img tpx wh down", f"""SELECT stem, 3 AS variants, (y * 8 + x)::INT AS i, {r('v')} AS v FROM down""")
+def severity_variants(v):
+    """All severities from one decode; the noise-free one is plain bicubic halving."""
+    made = variants.severity_variants(dtype="double")(v.pairs.select("stem", "target").asTable()).withColumnRenamed("key", "stem")
+    pixels = F.max(F.when(F.col("severity") == "downsample_only", F.col("image.pixels")))
+    return made.groupBy("stem").agg(F.count_distinct("severity").cast("int").alias("variants"), pixels.alias("p")).select(
+        "stem", "variants", F.posexplode("p").alias("i", "v")
+    )
+
+
+@query("severity_noise_bounds", "img", """SELECT severity, factor, count(*) AS images, factor = 1.0 AS within
+  FROM img, (VALUES ('profile_low'), ('profile_high')) s(severity), (VALUES (0.8::DOUBLE), (1.0::DOUBLE), (1.25::DOUBLE)) f(factor) GROUP BY ALL""")
+def severity_noise_bounds(v):
+    """The spread of the noise over all pixels is that of its level within a tenth, and not that of a level a quarter off."""
+    made = variants.severity_variants(dtype="double")(v.pairs.select("stem", "target").asTable()).withColumnRenamed("key", "stem")
+    made = materialize(made.select("stem", "severity", "image.pixels"))
+    clean = made.filter("severity = 'downsample_only'").select("stem", F.col("pixels").alias("low"))
+    noisy = made.filter("severity <> 'downsample_only'").join(clean, "stem")
+    level = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for name, values in SEVERITIES.items():
+        here = F.col("severity") == name
+        level = tuple(F.when(here, F.lit(values[k])).otherwise(old) for k, old in zip(("gaussian_noise_std", "speckle_std"), level))
+    pixels = noisy.select("stem", "severity", F.inline(F.arrays_zip("pixels", "low")))
+    spread = pixels.groupBy("severity").agg(
+        F.count_distinct("stem").alias("images"), F.sqrt(F.avg((F.col("pixels") - F.col("low")) ** 2)).alias("found"),
+        F.sqrt(F.avg(level[0] ** 2 + (F.col("low") * level[1]) ** 2)).alias("meant"),
+    )
+    factors = F.explode(F.array(*[F.lit(f) for f in (0.8, 1.0, 1.25)])).alias("factor")
+    return spread.select("severity", factors, "images", "found", "meant").select(
+        "severity", "factor", "images", (F.col("found") / (F.col("factor") * F.col("meant"))).between(0.9, 1.1).alias("within")
+    )
