@@ -67,21 +67,30 @@ def _mix(keys: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _best(scores: np.ndarray, keep: int) -> np.ndarray:
-    """Columns of the ``keep`` largest scores of each row, unordered."""
+def _near_best(scores: np.ndarray, keep: int, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of all scores that come within ``margin`` of the row's ``keep``-th largest."""
     if scores.shape[1] <= keep:
-        return np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
-    return np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+        return tuple(i.ravel() for i in np.indices(scores.shape))
+    least = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
+    return np.nonzero(scores >= (least - margin)[:, None])
 
 
 def _pairs(q_keys, q_vecs, keys, vecs, keep):
-    """Best candidates of each query: rows of (query position, candidate position, score)."""
+    """Best candidates of each query, ties to the smaller key: rows of (query position, candidate position, score).
+
+    The matrix product only nominates; whatever its rounding could have put on the wrong side
+    is scored again, and the exact score and the key decide.
+    """
+    reach = np.sqrt(np.einsum("ij,ij->i", vecs, vecs).max(initial=0.0))
     for start in range(0, len(q_keys), 256):
         block = q_vecs[start:start + 256]
-        cols = _best(block @ vecs.T, keep)
-        rows = np.repeat(np.arange(len(block)), cols.shape[1])
-        cols = cols.ravel()
-        yield rows + start, cols, np.einsum("ij,ij->i", block[rows], vecs[cols])
+        rows, cols = _near_best(block @ vecs.T, keep, 1e-12 * reach * np.sqrt(np.einsum("ij,ij->i", block, block)))
+        cuts = range(0, len(rows), 1 << 16)
+        exact = np.concatenate([np.einsum("ij,ij->i", block[rows[i:i + (1 << 16)]], vecs[cols[i:i + (1 << 16)]]) for i in cuts] or [np.zeros(0)])
+        order = np.lexsort((keys[cols], -exact, rows))
+        place = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
+        kept = order[place < keep]
+        yield rows[kept] + start, cols[kept], exact[kept]
 
 
 def _fold(rows: DataFrame, k: int, is_query) -> tuple[DataFrame, DataFrame]:

@@ -417,3 +417,20 @@ def test_pipeline_rows(spark, reference):
     for r in rows:
         assert r["decoded_sha256"] == H.sha(kept[r["doc_id"]].encode())
         assert r["ids"] == reference.encode_ordinary(kept[r["doc_id"]])
+
+
+def test_candidates_tie_to_the_smaller_id(rng):
+    """Quantised vectors, so that many different ones score alike: exactly the first by score and id are kept."""
+    from imgtables.llm.ann_forest import _pairs
+
+    vecs = rng.integers(-2, 3, (900, 6)).astype(np.float64)
+    keys = rng.permutation(900).astype(np.int64)
+    for start in range(0, 900, 300):
+        q = vecs[start:start + 300:7]
+        got = [[] for _ in q]
+        for rows, cols, scores in _pairs(keys[start:start + 300:7], q, keys, vecs, 21):
+            for r, c, s in zip(rows, cols, scores):
+                got[r].append((-s, int(keys[c])))
+        exact = q @ vecs.T
+        for r, found in enumerate(got):
+            assert sorted(found) == sorted((-s, int(k)) for s, k in zip(exact[r], keys))[:21]
