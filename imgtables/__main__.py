@@ -14,7 +14,7 @@ from .errors import ContractError
 from .functions.columns import path_error
 from .functions.restoring import Bicubic, load_model, model_table
 from .operators.checks import display_keys
-from .session import configure
+from .session import configure, release_tables
 from .sinks import guard_output, write_json, write_metrics
 from .sources import load_pairs, read_labels, read_manifest, read_pairs
 from .sources.images import load_npy
@@ -138,6 +138,8 @@ def main(argv=None) -> int:
     except (ContractError, OSError) as exc:
         print(f"ERROR: {exc}", file=sys.stderr)
         return 1
+    finally:
+        release_tables(spark)
     return 0
 
 

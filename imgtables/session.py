@@ -46,6 +46,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/table-{uuid.uuid4().hex}"
+    _tables(spark).append(path)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -55,6 +56,27 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _tables(spark: SparkSession) -> list:
+    """Paths of this session's intermediate tables."""
+    context = spark.sparkContext
+    if not hasattr(context, "_imgtables_tables"):
+        context._imgtables_tables = []
+    return context._imgtables_tables
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Delete the intermediate tables that :func:`materialize` wrote in this session; returns their number.
+
+    For the end of a job: no DataFrame made from them can be read afterwards.
+    """
+    paths, hadoop = _tables(spark), spark._jsc.hadoopConfiguration()
+    count = len(paths)
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+    return count
+
+
 def ship(spark: SparkSession) -> None:
     """Send the library and the query modules to the Python workers, as ``--py-files`` would; once per session."""
     context = spark.sparkContext

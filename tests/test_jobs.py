@@ -149,3 +149,20 @@ def test_severity_grid_over_a_folder(spark, tmp_path, rng):
     assert rows.count() == 4 * 3 * 2 and rows.columns[:4] == ["relative_path", "defect_group", "severity", "method"]
     with pytest.raises(ContractError, match="expected 5"):
         plans.severity_grid_files(spark, str(tmp_path / "img"), f"{out}2", {"bicubic": Bicubic()}, expected=5)
+
+
+def test_intermediate_tables_can_be_released(spark):
+    import os
+
+    from imgtables.session import _tables, materialize, release_tables
+
+    context = spark.sparkContext
+    before, context._imgtables_tables = _tables(spark), []  # those of other tests stay
+    try:
+        table = materialize(spark.range(5))
+        paths = [p.replace("file:", "") for p in _tables(spark)]
+        assert table.count() == 5 and all(os.path.isdir(p) for p in paths)
+        assert release_tables(spark) == 1 and release_tables(spark) == 0
+        assert not any(os.path.exists(p) for p in paths)
+    finally:
+        context._imgtables_tables = before
