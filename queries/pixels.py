@@ -174,18 +174,28 @@ def speckle_noise(v):
 
 
 def _noise_moments(rows, noise, std: float):
-    """Pixels of each image, and whether mean and spread of its noise are those of ``std`` within five and four deviations."""
-    n = F.size(noise)
-    mean = F.aggregate(noise, F.lit(0.0), lambda s, x: s + x) / n
-    square = F.aggregate(noise, F.lit(0.0), lambda s, x: s + x * x) / n
-    spread = F.sqrt(square - mean * mean) / std
-    return rows.select(
-        "stem", n.alias("pixels"), (F.abs(mean) < 5 * std / F.sqrt(n)).alias("centred"),
-        (F.abs(spread - 1) < 4 / F.sqrt(2.0 * n)).alias("spread_right"),
-    )
+    """Pixels of each image, and whether mean and spread of its noise are those claimed, within five and four deviations.
 
-
-_NOISE_TWIN = "SELECT stem, len(target)::INT AS pixels, len(target) = tg_h * tg_w AS centred, len(target) = tg_h * tg_w AS spread_right FROM img"
+    Besides the right claim a spread half as wide again and a mean one deviation off are put to the test.
+    """
+    n = F.size(noise)
+    found = rows.select(
+        "stem", n.alias("n"), (F.aggregate(noise, F.lit(0.0), lambda s, x: s + x) / n).alias("mean"),
+        (F.aggregate(noise, F.lit(0.0), lambda s, x: s + x * x) / n).alias("square"),
+    ).withColumn("spread", F.sqrt(F.col("square") - F.col("mean") * F.col("mean")))
+    claims = [("right", std, 0.0), ("wider", 1.5 * std, 0.0), ("moved", std, std)]
+    tested = F.array(*[
+        F.struct(
+            F.lit(name).alias("claim"), (F.abs(F.col("mean") - middle) < 5 * width / F.sqrt("n")).alias("centred"),
+            (F.abs(F.col("spread") / width - 1) < 4 / F.sqrt(2.0 * F.col("n"))).alias("spread_right"),
+        )
+        for name, width, middle in claims
+    ])
+    return found.select("stem", F.col("n").alias("pixels"), F.inline(tested))
+
+
+_NOISE_TWIN = """SELECT stem, len(target)::INT AS pixels, claim, claim <> 'moved' AS centred, claim <> 'wider' AS spread_right
+  FROM img, (VALUES ('right'), ('wider'), ('moved')) c(claim)"""
 
 
 @query("additive_noise_moments", "img", _NOISE_TWIN)
