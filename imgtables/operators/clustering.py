@@ -143,9 +143,11 @@ def _seed_centres(points: _Points, k: int, seed: int, restarts: int) -> np.ndarr
 
 
 def kmeans(df: DataFrame, cols, k: int, seed: int = 2026, restarts: int = 8, max_iter: int = 100,
-           key: str = "stem", engine: str = "exact") -> Clustering:
+           key: str = "stem", engine: str = "exact", initial=None) -> Clustering:
     """Lloyd's algorithm from several seedings; the lowest inertia (first on ties) wins.
 
+    ``initial`` gives the ``k`` first centres instead of a seeding, for one run from there.
+
     Points lie on a fixed grid of 2**-30 and are added exactly, so neither the number of rows,
     nor an outlier, nor the order of the sums can change a label. The grid points are stored
     once and each iteration reads them once. Per batch only partial sums leave the tasks, and
@@ -159,8 +161,13 @@ def kmeans(df: DataFrame, cols, k: int, seed: int = 2026, restarts: int = 8, max
     if points.n < k:
         raise ContractError(f"{k} clusters need at least as many rows, found {points.n}")
     unit, dims = points.unit, points.dims
-    centres = _seed_centres(points, k, seed, restarts) * unit
-    active = list(range(restarts))
+    if initial is None:
+        centres = _seed_centres(points, k, seed, restarts) * unit
+    else:
+        centres = np.array(initial, dtype=float)[None]
+        if centres.shape != (1, k, dims) or not np.isfinite(centres).all():
+            raise ContractError(f"initial centres must be {k} rows of {dims} finite numbers")
+    active = list(range(len(centres)))
 
     def nearest(x, centre_set):
         d2 = _distances(x, centre_set)

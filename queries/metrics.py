@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from imgtables import materialize
 from imgtables.functions import columns as C
 from imgtables.operators import selection, summaries, tensors
+from imgtables.operators.clustering import kmeans
 from imgtables.operators.quantiles import clipped_range, exact_quantiles
 from imgtables.plans import decisions, runs
 from imgtables.plans.training import profile_from_quantiles
@@ -416,3 +417,25 @@ def profile_assembly(v):
         F.col("profile.blur_sigma.low").alias("blur_low"), F.col("profile.gaussian_noise_std.high").alias("gaussian_high"),
         F.col("profile.additive_bias.low").alias("bias_low"), F.col("profile.speckle_std.low").alias("speckle_low"),
     )
+
+
+_START = [(0.1, 0.2), (0.4, 0.9), (0.8, 0.3), (0.9, 0.8)]
+
+
+def _lloyd_sql(steps: int) -> str:
+    values = ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, (a, b) in enumerate(_START))
+    sql = f"WITH pt AS MATERIALIZED (SELECT lpad(p_partkey::VARCHAR, 8, '0') AS stem, p_size / 50.0::DOUBLE AS a, (p_partkey % 97) / 97.0::DOUBLE AS b FROM part), c0 AS (SELECT * FROM (VALUES {values}) v(c, a, b))"
+    for i in range(steps + 1):
+        sql += f""", n{i} AS MATERIALIZED (SELECT stem, any_value(p.a) AS a, any_value(p.b) AS b, arg_min(c.c, (p.a - c.a) ** 2 + (p.b - c.b) ** 2) AS c,
+    min((p.a - c.a) ** 2 + (p.b - c.b) ** 2) AS d FROM pt p, c{i} c GROUP BY stem), c{i + 1} AS (SELECT c, avg(a) AS a, avg(b) AS b FROM n{i} GROUP BY c)"""
+    return sql + f" SELECT stem, c::INT AS cluster, {r('d')} AS distance2 FROM n{steps}"
+
+
+@query("lloyd_steps", "", _lloyd_sql(3))
+def lloyd_steps(v):
+    """Three Lloyd steps from given centres: labels and squared distances."""
+    points = v.table("part").select(
+        F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("stem"), (F.col("p_size") / 50.0).alias("a"),
+        ((F.col("p_partkey") % 97) / 97.0).alias("b"),
+    )
+    return kmeans(points, ["a", "b"], 4, max_iter=3, initial=_START).assignments
